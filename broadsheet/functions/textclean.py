@@ -12,7 +12,6 @@ SUBSCRIPTION_ENTITY_REPLACEMENTS = (("&nbsp;", " "), ("&amp;", "&"), ("&quot;",
 INVISIBLE = r"[\x{200b}-\x{200f}\x{feff}]+"
 SPACE_RUN = r"[\s\p{Z}]+"
 WORD_CAP = 12_000
-REPEATED_CHUNK = r"(.{3,})\1{8,}"
 REJECTED_LINK_PARTS_ANY_CASE = "/tags/|/explore/|/media/|/files/|/assets/"
 REJECTED_LINK_PARTS = ("/@", "/users/", "/statuses/")
 TITLE_LIMIT, TITLE_KEPT, TITLE_ENDING = 80, 77, "..."
@@ -141,11 +140,6 @@ def analysis_prompt(title: Column, sender: Column, content: Column) -> Column:
     )
 
 
-def is_repetitive(text: Column) -> Column:
-    """A chunk of three or more characters, nine or more times in a row."""
-    return text.rlike(REPEATED_CHUNK)
-
-
 def strip_fence(response: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(response, r"^```json\s*", ""), r"\s*```$", "")
 
@@ -156,7 +150,7 @@ def join_list(items: Column) -> Column:
 
 def split_list(text: Column) -> Column:
     """Comma list to trimmed array; empty or NULL text gives an empty array."""
-    parts = F.transform(F.split(text, ","), F.trim)
+    parts = F.transform(F.split(text, ","), lambda part: squish_ends(part))
     return F.when(F.coalesce(text, F.lit("")) == "", F.array().cast("array<string>")).otherwise(parts)
 
 

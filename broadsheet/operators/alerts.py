@@ -44,7 +44,7 @@ def with_watermark(searches: DataFrame, articles: DataFrame, by: str = "datetime
 
 def _blocks(searches: DataFrame, max_bytes: int) -> Iterator[DataFrame]:
     """The searches, or hash parts of them, each below ``max_bytes`` of vectors."""
-    size = searches.agg(F.count(F.lit(1)), F.max(F.size("query_vector"))).first()
+    size = searches.agg(F.count("*"), F.max(F.size("query_vector"))).first()
     rows, width = size[0], size[1] or 1
     fits = max(1, max_bytes // (8 * width))
     if rows <= fits:
@@ -134,7 +134,7 @@ def _count_matches(searches: _Searches, batches: Iterator[pa.RecordBatch], schem
     )
 
 
-def _nearest(searches: _Searches, k: int, batches: Iterator[pa.RecordBatch], schema: pa.Schema):
+def _nearest(searches: _Searches, batches: Iterator[pa.RecordBatch], schema: pa.Schema, k: int):
     best: list[list[tuple]] = [[] for _ in searches.ids]
     for uids, titles, _, matrix in _slices(batches, searches.vectors.shape[1]):
         scores = matrix @ searches.vectors.T
@@ -207,7 +207,8 @@ def matches(searches: DataFrame, articles: DataFrame, by: str = "datetime",
     order = [F.desc("at"), F.desc("similarity"), F.asc("uid")]
     newest = top_per_group(merged, ["id"], order)
     return newest.select(
-        "id", "new_results_count", F.col("uid").alias("newest_uid"), F.col("title").alias("newest_title")
+        "id", "new_results_count", F.col("uid").alias("newest_uid"), F.col("title").alias("newest_title"),
+        F.timestamp_micros("at").cast("timestamp_ntz").alias("newest_at"),
     )
 
 
@@ -236,7 +237,7 @@ def nearest_articles(searches: DataFrame, articles: DataFrame, k: int,
     """The k most similar articles of every search."""
     columns = [("uid", T.StringType()), ("title", T.StringType()), ("similarity", T.DoubleType())]
     since = searches.withColumn("since", F.lit(_EPOCH).cast("timestamp_ntz"))
-    partial = _per_block(since, articles, "datetime", _nearest, columns, max_bytes)
+    partial = _per_block(since, articles, "datetime", functools.partial(_nearest, k=k), columns, max_bytes)
     window = Window.partitionBy("id").orderBy(F.round("similarity", 6).desc(), F.asc("uid"))
     ranked = partial.withColumn("rank", F.row_number().over(window))
     return ranked.filter(F.col("rank") <= k)

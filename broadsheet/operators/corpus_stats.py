@@ -4,30 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-_ROWS = F.lit(1)
 
 
 def total_articles(articles: DataFrame) -> DataFrame:
-    return articles.agg(F.count(_ROWS).alias("total_articles"))
+    return articles.agg(F.count("*").alias("total_articles"))
 
 
 def by_language(articles: DataFrame) -> DataFrame:
-    counts = articles.groupBy("detected_language").agg(F.count(_ROWS).alias("count"))
+    counts = articles.groupBy("detected_language").agg(F.count("*").alias("count"))
     return counts.orderBy(F.desc("count"), F.asc("detected_language"))
 
 
 def top_sources(articles: DataFrame, k: int = 10) -> DataFrame:
-    counts = articles.groupBy("source").agg(F.count(_ROWS).alias("count"))
+    counts = articles.groupBy("source").agg(F.count("*").alias("count"))
     return counts.orderBy(F.desc("count"), F.asc("source")).limit(k)
 
 
 def top_entities(entities: DataFrame, k: int = 10) -> DataFrame:
-    counts = entities.groupBy("canonical_name", "entity_type").agg(F.count(_ROWS).alias("count"))
+    counts = entities.groupBy("canonical_name", "entity_type").agg(F.count("*").alias("count"))
     return counts.orderBy(F.desc("count"), F.asc("canonical_name"), F.asc("entity_type")).limit(k)
 
 
 def marketing_count(articles: DataFrame) -> DataFrame:
-    return articles.filter("subscription_marketing").agg(F.count(_ROWS).alias("marketing_count"))
+    return articles.filter("subscription_marketing").agg(F.count("*").alias("marketing_count"))
 
 
 def languages(articles: DataFrame) -> DataFrame:
@@ -41,7 +40,7 @@ def entity_directory(entities: DataFrame) -> DataFrame:
     Mentions collapse to one row per spelling first, so the list step never
     sees more than the distinct spellings of an entity.
     """
-    spellings = entities.groupBy("canonical_name", "entity_type", "raw_name").agg(F.count(_ROWS).alias("n"))
+    spellings = entities.groupBy("canonical_name", "entity_type", "raw_name").agg(F.count("*").alias("n"))
     directory = spellings.groupBy("canonical_name", "entity_type").agg(
         F.array_sort(F.collect_list("raw_name")).alias("aliases"),
         F.sum("n").alias("occurrence_count"),

@@ -8,7 +8,6 @@ anything downstream can evaluate it twice.
 from __future__ import annotations
 
 import json
-import re
 import time
 from collections.abc import Callable, Iterator, Sequence
 
@@ -16,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from broadsheet.functions import textclean
+from broadsheet.functions.repetition import is_degenerate
 from broadsheet.schemas import ANALYSIS, JUDGEMENT
 from broadsheet.session import cut_lineage
 
@@ -30,13 +30,16 @@ IMAGE_NOTE = "\n\n*(Note: This content was extracted via multimodal LLM analysis
 REPEATS, BAD_JSON, EMPTY = "recurring characters detected", "malformed JSON/truncated", "empty response"
 SCORES = ("semantic_accuracy", "tone_alignment", "nuance_retention", "idiomatic_mapping")
 
-_REJECTS = "array<struct<attempt:int,reason:string,response:string>>"
+_REJECTS = T.ArrayType(T.StructType([
+    T.StructField("attempt", T.IntegerType()), T.StructField("reason", T.StringType()),
+    T.StructField("response", T.StringType()),
+]))
 
 
 def _reason(response: str | None, json_mode: bool) -> str | None:
     if not response:
         return EMPTY
-    if re.search(textclean.REPEATED_CHUNK, response):
+    if is_degenerate(response):
         return REPEATS
     if json_mode:
         try:
@@ -52,7 +55,7 @@ def infer(rows: DataFrame, prompt: str, model: Infer, json_mode: bool = True,
     schema = T.StructType(
         [*rows.schema.fields, T.StructField("response", T.StringType()),
          T.StructField("attempts", T.IntegerType()),
-         T.StructField("rejects", T._parse_datatype_string(_REJECTS))]
+         T.StructField("rejects", _REJECTS)]
     )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -116,8 +119,7 @@ def parsed(responses: DataFrame, response: str = "response") -> DataFrame:
     rows = responses.withColumn("clean_response", clean)
     return rows.withColumns({
         "analysis": F.from_json("clean_response", ANALYSIS),
-        "is_valid": F.coalesce(F.is_valid_utf8("clean_response"), F.lit(False))
-        & F.try_parse_json("clean_response").isNotNull(),
+        "is_valid": F.try_parse_json("clean_response").isNotNull(),
     })
 
 
@@ -228,8 +230,8 @@ def embed(rows: DataFrame, texts: Sequence[str], vectors: Sequence[str], model:
 
 def embedding_texts(rows: DataFrame) -> DataFrame:
     """The two texts to embed: English summary, and original summary or else the English one."""
-    original = F.coalesce(textclean.blank_to_null(F.col("summary_orig")), F.col("summary_en"))
-    original = F.when(textclean.blank_to_null(F.col("summary_orig")).isNotNull(), F.col("summary_orig")).otherwise(original)
+    is_blank = textclean.blank_to_null(F.col("summary_orig")).isNull()
+    original = F.when(is_blank, F.col("summary_en")).otherwise(F.col("summary_orig"))
     return rows.withColumns({
         "text_en": textclean.embedding_text(F.col("summary_en"), F.col("topics"), F.col("themes")),
         "text_orig": textclean.embedding_text(original, F.col("topics"), F.col("themes")),
@@ -287,7 +289,7 @@ def judged(pairs: DataFrame, model: Infer) -> DataFrame:
 
 def judge_report(scores: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     means = [F.round(F.avg(s), 2).alias(f"avg_{s}") for s in SCORES]
-    return scores.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *means)
+    return scores.groupBy(*by).agg(F.count("*").alias("n"), *means)
 
 
 def compare_models(texts: DataFrame, prompt: str, models: dict[str, Infer]) -> DataFrame:

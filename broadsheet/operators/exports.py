@@ -13,7 +13,7 @@ RESULT_TITLES = (
     "Detected Language", "Content Type", "Topics", "Themes", "Keywords",
     "Cosine Similarity Score", "Resolved Entities",
 )
-BOM = "﻿"
+BOM = chr(0xFEFF)
 
 
 def result_rows(rows: DataFrame) -> DataFrame:

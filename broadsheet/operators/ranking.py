@@ -28,7 +28,7 @@ def number_within(df: DataFrame, keys: Sequence[str], order: Sequence[str], name
     """
     spread = df.repartitionByRange(*[F.col(c) for c in (*keys, *order)])
     placed = cut_lineage(spread.withColumn("_part", F.spark_partition_id()))
-    sizes = placed.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = placed.groupBy(*keys, "_part").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     local = Window.partitionBy(*keys, "_part").orderBy(*order)

@@ -23,7 +23,6 @@ LENGTHS = {
 OPTIONAL_LENGTHS = {"languages_spoken": 200, "geographic_focus": 200}
 REQUIRED_FLAGS = ("gating_passed", "activity_passed", "telegram_passed")
 
-_ROWS = F.lit(1)
 
 
 def _auditor(df: DataFrame, input_by: str | None, normalise: bool) -> DataFrame:
@@ -181,7 +180,7 @@ def by_platform(sources: DataFrame) -> DataFrame:
 
 
 def by_column(sources: DataFrame, column: str) -> DataFrame:
-    return sources.filter(~F.col("is_deleted")).groupBy(column).agg(F.count(_ROWS).alias("count"))
+    return sources.filter(~F.col("is_deleted")).groupBy(column).agg(F.count("*").alias("count"))
 
 
 def by_country(sources: DataFrame) -> DataFrame:

@@ -103,11 +103,11 @@ def hits(articles: DataFrame, request: SearchRequest) -> DataFrame:
 
 
 def total(found: DataFrame) -> DataFrame:
-    return found.agg(F.count(F.lit(1)).alias("total_count"))
+    return found.agg(F.count("*").alias("total_count"))
 
 
 def timeline(found: DataFrame) -> DataFrame:
-    return found.groupBy(F.to_date("datetime").alias("dt")).agg(F.count(F.lit(1)).alias("cnt"))
+    return found.groupBy(F.to_date("datetime").alias("dt")).agg(F.count("*").alias("cnt"))
 
 
 def gap_filled(days: DataFrame) -> DataFrame:
@@ -142,7 +142,7 @@ def page_numbers(totals: DataFrame, offset: int, page_size: int = PAGE_SIZE) ->
 
 def entity_counts(entities: DataFrame) -> DataFrame:
     """Mentions per article and entity: the form that survives a hot article."""
-    return entities.groupBy("uid", "canonical_name", "entity_type").agg(F.count(F.lit(1)).alias("mentions"))
+    return entities.groupBy("uid", "canonical_name", "entity_type").agg(F.count("*").alias("mentions"))
 
 
 def entity_lists(counts: DataFrame) -> DataFrame:

@@ -28,6 +28,7 @@ def build_session(app_name: str = "broadsheet", master: str | None = None) -> Sp
         builder = (
             builder.master(master)
             .config("spark.ui.enabled", "false")
+            .config("spark.ui.showConsoleProgress", "false")
             .config("spark.driver.memory", "8g")
             .config("spark.sql.shuffle.partitions", width)
         )

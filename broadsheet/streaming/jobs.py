@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from broadsheet.operators import alerts, ingest
@@ -14,6 +14,8 @@ from broadsheet.session import cut_lineage
 # Fixed value: how far back a sync looks for mail.
 LOOKBACK = "7 days"
 
+STATE = T.StructType([*SAVED_SEARCHES.fields, T.StructField("since", T.TimestampNTZType())])
+
 
 def article_stream(spark: SparkSession, path: str, files_per_trigger: int = 50) -> DataFrame:
     """Landed articles, at most ``files_per_trigger`` files per micro-batch."""
@@ -43,7 +45,13 @@ def ingest_stream(stream: DataFrame, store: str, checkpoint: str, available_now:
     return _started(rows, write, checkpoint, available_now)
 
 
-def alert_stream(stream: DataFrame, store: str, state: str, checkpoint: str, now: Callable[[], object],
+def save_initial_searches(searches: DataFrame, articles: DataFrame, state: str, by: str = "datetime") -> None:
+    """First snapshot: the searches with the time of their newest known article."""
+    dated = alerts.with_watermark(searches, articles, by)
+    dated.select(STATE.names).write.mode("overwrite").parquet(f"{state}/searches/0")
+
+
+def alert_stream(stream: DataFrame, state: str, checkpoint: str, now: Callable[[], object],
                  available_now: bool = True, by: str = "datetime") -> StreamingQuery:
     """Checks every saved search on each micro-batch.
 
@@ -53,29 +61,20 @@ def alert_stream(stream: DataFrame, store: str, state: str, checkpoint: str, now
     """
 
     def check(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        searches = spark.read.schema(SAVED_SEARCHES).parquet(f"{state}/searches/{batch_id}")
-        batch.persist()
-        known = spark.read.schema(ARTICLES).parquet(store).select("uid", "datetime", "ingested_at")
-        known = known.unionByName(batch.select("uid", "datetime", "ingested_at"))
-        dated = alerts.with_watermark(searches, known, by)
-        found = cut_lineage(alerts.matches(dated, batch, by))
+        searches = batch.sparkSession.read.schema(STATE).parquet(f"{state}/searches/{batch_id}")
+        found = cut_lineage(alerts.matches(searches, batch, by))
         joined = searches.join(found, "id", "left")
         joined.filter("new_results_count is not null").select(
             F.col("id").alias("search_id"), "username", "search_text", "new_results_count", "newest_title",
             F.lit(now()).cast("timestamp_ntz").alias("created_at"), F.lit(False).alias("is_read"),
         ).write.mode("overwrite").parquet(f"{state}/notifications/batch={batch_id}")
-        advanced = joined.withColumn("latest_id", F.coalesce("newest_uid", "latest_id"))
-        advanced.select(SAVED_SEARCHES.names).write.mode("overwrite").parquet(f"{state}/searches/{batch_id + 1}")
-        batch.unpersist()
+        joined.withColumns({
+            "latest_id": F.coalesce("newest_uid", "latest_id"), "since": F.coalesce("newest_at", "since"),
+        }).select(STATE.names).write.mode("overwrite").parquet(f"{state}/searches/{batch_id + 1}")
 
     return _started(stream, check, checkpoint, available_now)
 
 
-def save_initial_searches(searches: DataFrame, state: str) -> None:
-    searches.select(SAVED_SEARCHES.names).write.mode("overwrite").parquet(f"{state}/searches/0")
-
-
 def daily_counts(stream: DataFrame, lateness: str = "1 day") -> DataFrame:
     """Articles per day, final once the watermark has passed the day."""
     timed = stream.withColumn("event_time", F.col("datetime").cast("timestamp"))
