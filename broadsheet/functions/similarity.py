@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 from collections.abc import Sequence
@@ -90,26 +91,67 @@ def jaro_winkler(left: Column, right: Column) -> Column:
 #   Jaro >= J_p = (t - 0.1 p) / (1 - 0.1 p),
 # and Jaro >= J needs m / l1 + m / l2 >= 3 J - 1 matched letters m. So the two letter
 # multisets share at least a = ceil((3 J_p - 1) * l1 * l2 / (l1 + l2)) letters, p of them in
-# the prefix. Number repeated letters (e, e2, ...), sort both letter sets in one fixed order,
+# the prefix. Number repeated letters (e1, e2, ...), sort both letter sets in one fixed order,
 # and two sets of sizes r1, r2 that share b letters have at least k of them in common among
 # their first r1 - b + k and r2 - b + k letters. Every k-subset of those first letters is a
-# key. For the shorter word the weakest bound is a partner of its own length; for the longer
-# one it is the shortest partner the ratio allows. Words so short that fewer than k letters
-# are guaranteed get one key without letters, which longer words of the allowed length carry
-# as well. Nothing at or above the threshold is lost; the score itself decides afterwards.
+# key, together with p, the prefix and both lengths (lengths above 16 in bands of four, with
+# the bound of the band's lowest lengths). Every word states its keys as the longer and as the
+# shorter one of a pair, for each partner length the ratio m / l allows. Nothing at or above
+# the threshold is lost; the score itself decides afterwards.
 
 # Fixed order of letters, rare ones first, so that keys are selective; others sort before.
 _RARE_FIRST = "zqxjkvbpygfwmucldrhsnioate"
 _RANK = {c: i + 1 for i, c in enumerate(_RARE_FIRST)}
 _SLACK = 1e-9
-
-
-def _need(x: float, l1: int, l2: int) -> int:
-    return math.ceil(x * l1 * l2 / (l1 + l2) - _SLACK)
-
-
-def _subset_size(shorter: int) -> int:
-    return 3 if shorter <= 12 else 2 if shorter <= 24 else 1
+_EXACT_LENGTHS, _BAND = 16, 4
+
+
+def needed_share(prefix: int, threshold: float) -> float:
+    """Least m / l1 + m / l2 of a pair with ``prefix`` equal leading letters."""
+    least = (threshold - PREFIX_BONUS * prefix) / (1 - PREFIX_BONUS * prefix)
+    if 3 * least <= 1:
+        raise ValueError("threshold too low for lossless keys")
+    return 3 * least - 1
+
+
+def _band(length: int) -> tuple[int, int]:
+    if length <= _EXACT_LENGTHS:
+        return length, length
+    low = length - (length - _EXACT_LENGTHS - 1) % _BAND
+    return low, low + _BAND - 1
+
+
+def _subset_size(bound: int, longer_missing: int, shorter_missing: int, most_keys: int) -> int:
+    k = 1
+    while k < bound and max(
+        math.comb(longer_missing + k + 1, k + 1), math.comb(shorter_missing + k + 1, k + 1)
+    ) <= most_keys:
+        k += 1
+    return k
+
+
+@functools.lru_cache(maxsize=4096)
+def _partners(length: int, prefix: int, threshold: float) -> list[tuple[str, str, int, int]]:
+    """(role, key head, letters guaranteed, subset size) for every possible partner length."""
+    x = needed_share(prefix, threshold)
+    own = _band(length)
+    lowest = max(1, prefix, math.ceil((x - 1) * length - _SLACK))
+    highest = math.floor(length / (x - 1) + _SLACK)
+    plans = []
+    for other in sorted({_band(n) for n in range(lowest, highest + 1)}):
+        for role, longer, shorter in (("longer", own, other), ("shorter", other, own)):
+            if longer[0] < shorter[0]:
+                continue
+            low_l, low_s = longer[0], max(shorter[0], prefix)
+            bound = math.ceil(x * low_l * low_s / (low_l + low_s) - _SLACK) - prefix
+            size = 0
+            if bound > 0:
+                size = _subset_size(
+                    bound, longer[1] - prefix - bound, shorter[1] - prefix - bound,
+                    24 if longer[0] <= 12 else 10,
+                )
+            plans.append((role, f"{longer[0]},{shorter[0]}|", max(bound, 0), size))
+    return plans
 
 
 def _letters(word: str) -> list[str]:
@@ -122,61 +164,54 @@ def _letters(word: str) -> list[str]:
     return [f"{c}{-n}" for n, _, c in numbered]
 
 
-def _subsets(letters: list[str], missing: int, k: int) -> list[str]:
-    return ["".join(s) for s in itertools.combinations(letters[: missing + k], k)]
-
-
-def join_keys(word: str, threshold: float) -> tuple[list[str], list[str]]:
-    """(keys as the longer word, keys as the shorter or equal word) of a pair."""
-    n = len(word)
-    as_longer: list[str] = []
-    as_shorter: list[str] = []
-    for p in range(min(PREFIX_LETTERS, n) + 1):
-        least = (threshold - PREFIX_BONUS * p) / (1 - PREFIX_BONUS * p)
-        x = 3 * least - 1
-        if x <= 0:
-            raise ValueError("threshold too low for lossless keys")
-        head = f"{p}|{word[:p]}|"
+def join_keys(word: str, threshold: float) -> dict[str, list[str]]:
+    """Keys of a word as the longer and as the shorter one of a pair, each led by its p."""
+    keys: dict[str, list[str]] = {"longer": [], "shorter": []}
+    for p in range(min(PREFIX_LETTERS, len(word)) + 1 if word else 0):
         letters = _letters(word[p:])
-
-        def size_for(shorter: int) -> int:
-            return min(_subset_size(shorter), 3 if p < 2 else 2 if p == 2 else 1)
-
-        k = size_for(n)
-        bound = _need(x, n, n) - p
-        if bound < k:
-            as_shorter.append(f"{head}tiny{n}")
+        for role, head, bound, size in _partners(len(word), p, threshold):
+            start = f"{p}|{word[:p]}|{head}"
+            first = letters[: len(letters) - bound + size] if size else []
+            keys[role] += [start + "".join(s) for s in itertools.combinations(first, size)]
+    return keys
+
+
+def letter_mask(word: str) -> int:
+    """64 bits, one per numbered letter; letters beyond a-z and third copies share the last twelve."""
+    mask = 0
+    for numbered in _letters(word):
+        letter, copy = numbered[0], int(numbered[1:])
+        if "a" <= letter <= "z" and copy <= 2:
+            place = (copy - 1) * 26 + ord(letter) - ord("a")
         else:
-            as_shorter += [f"{head}{k}|{s}" for s in _subsets(letters, len(letters) - bound, k)]
-
-        # m <= shorter length, so shorter / longer >= x - 1.
-        first = max(1, p, math.ceil((x - 1) * n - _SLACK))
-        weakest: dict[int, int] = {}
-        for shorter in range(first, n + 1):
-            k = size_for(shorter)
-            if _need(x, shorter, shorter) - p < k:
-                as_longer.append(f"{head}tiny{shorter}")
-            else:
-                weakest.setdefault(k, _need(x, n, shorter) - p)
-        for k, bound in weakest.items():
-            as_longer += [f"{head}{k}|{s}" for s in _subsets(letters, len(letters) - bound, k)]
-    return as_longer, as_shorter
+            place = 52 + (ord(letter) + copy) % 12
+        mask |= 1 << place
+    return mask - (1 << 64) if mask >> 63 else mask
 
 
 def join_keys_column(word: Column, threshold: float) -> Column:
-    """struct(longer array<string>, shorter array<string>) of join keys."""
+    """struct(longer array<string>, shorter array<string>, mask bigint) of a lower-case word."""
 
-    @F.pandas_udf("struct<longer:array<string>,shorter:array<string>>")
+    @F.pandas_udf("struct<longer:array<string>,shorter:array<string>,mask:bigint>")
     def keys(words: pd.Series) -> pd.DataFrame:
         both = [join_keys(w or "", threshold) for w in words]
-        return pd.DataFrame({"longer": [b[0] for b in both], "shorter": [b[1] for b in both]})
+        return pd.DataFrame({
+            "longer": [b["longer"] for b in both], "shorter": [b["shorter"] for b in both],
+            "mask": [letter_mask(w or "") for w in words],
+        })
 
     return keys(word)
 
 
-def possible_match(a: Column, b: Column, threshold: float) -> Column:
-    """Cheap length bound implied by the threshold, checked before scoring."""
-    la, lb = F.char_length(a), F.char_length(b)
-    best = (threshold - PREFIX_BONUS * PREFIX_LETTERS) / (1 - PREFIX_BONUS * PREFIX_LETTERS)
-    ratio = 3 * best - 2
-    return F.least(la, lb) >= F.lit(ratio - _SLACK) * F.greatest(la, lb)
+def possible_match(length_a: Column, length_b: Column, mask_a: Column, mask_b: Column,
+                   prefix: Column, threshold: float) -> Column:
+    """Bound that a pair with ``prefix`` equal leading letters meets; built-in expressions only.
+
+    A mask bit that only one word has stands for at least one letter the other
+    word lacks, which limits the letters the two can share.
+    """
+    only_a = F.bit_count(mask_a.bitwiseAND(F.bitwise_not(mask_b)))
+    only_b = F.bit_count(mask_b.bitwiseAND(F.bitwise_not(mask_a)))
+    shared = F.least(length_a - only_a, length_b - only_b).cast("double")
+    needed = F.array(*[F.lit(needed_share(p, threshold) - _SLACK) for p in range(PREFIX_LETTERS + 1)])
+    return shared / length_a + shared / length_b >= F.get(needed, prefix)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from broadsheet.functions import similarity, textclean
 from broadsheet.operators.ranking import top_per_group
-from broadsheet.session import cut_lineage
+from broadsheet.session import cut_lineage, spread
 
 # Fixed value: least similarity at which two names are the same entity.
 THRESHOLD = 0.88
@@ -84,22 +84,29 @@ def similar_pairs(left: DataFrame, right: DataFrame, threshold: float = THRESHOL
     share is split by the adaptive skew join.
     """
     def keyed(df: DataFrame, side: str) -> DataFrame:
-        with_keys = df.select("type", "word", similarity.join_keys_column(F.col("word"), threshold).alias("keys"))
+        with_keys = spread(df, "word").select("type", "word", similarity.join_keys_column(F.col("word"), threshold).alias("keys"))
         # A left word meets the right one either as the longer or as the shorter.
         first, second = ("longer", "shorter") if side == "left" else ("shorter", "longer")
-        tagged = lambda role, tag: F.transform(
-            F.col(f"keys.{role}"), lambda k: F.xxhash64(F.col("type"), F.lit(tag), k)
+        # The last three bits of a hashed key are its number of equal leading letters.
+        hashed = lambda role, tag: F.transform(
+            F.col(f"keys.{role}"),
+            lambda k: F.shiftleft(F.xxhash64(F.col("type"), F.lit(tag), k), 3) + F.substring(k, 1, 1).cast("long"),
+        )
+        both = F.array_distinct(F.concat(hashed(first, 0), hashed(second, 1)))
+        return with_keys.select(
+            F.explode(both).alias("join_key"), F.col("type").alias(f"{side}_type"), F.col("word").alias(f"{side}_word"),
+            F.col("keys.mask").alias(f"{side}_mask"), F.char_length("word").alias(f"{side}_length"),
+        )
+
+    # Exploded keys are far larger than the planner's estimate, so never broadcast them.
+    met = keyed(left, "left").join(keyed(right, "right").hint("merge"), "join_key").filter(
+        (F.col("left_type") == F.col("right_type"))
+        & similarity.possible_match(
+            F.col("left_length"), F.col("right_length"), F.col("left_mask"), F.col("right_mask"),
+            F.col("join_key").bitwiseAND(F.lit(7).cast("long")).cast("int"), threshold,
         )
-        both = F.array_distinct(F.concat(tagged(first, 0), tagged(second, 1)))
-        return with_keys.select("type", F.col("word").alias(f"{side}_word"), F.explode(both).alias("join_key"))
-
-    met = keyed(left, "left").join(
-        keyed(right, "right").withColumnRenamed("type", "right_type"), "join_key"
-    ).filter(
-        (F.col("type") == F.col("right_type"))
-        & similarity.possible_match(F.col("left_word"), F.col("right_word"), threshold)
     )
-    candidates = met.select("type", "left_word", "right_word").distinct()
+    candidates = met.select(F.col("left_type").alias("type"), "left_word", "right_word").distinct()
     scored = candidates.withColumn(
         "similarity", similarity.jaro_winkler(F.col("left_word"), F.col("right_word"))
     )

@@ -94,7 +94,7 @@ def translation_routing(spark, sf):
 
 def translation_fallback(spark, sf):
     rows = _documents(spark, sf).select("doc_id", "text", F.col("lang").alias("language"))
-    return enrich.translate(rows, stand_ins.upper_translator, stand_ins.reverse_translator)
+    return enrich.translate(rows, stand_ins.first_translator, stand_ins.second_translator)
 
 
 def publisher_fallback(spark, sf):
@@ -119,7 +119,7 @@ def cache_hit_miss(spark, sf):
 
 def cached_translation(spark, sf):
     filled, _ = enrich.cached_translations(
-        _requests(spark, sf), _cache(spark, sf), "model-a", stand_ins.upper_translator
+        _requests(spark, sf), _cache(spark, sf), "model-a", stand_ins.second_translator
     )
     return filled.select("doc_id", "is_hit", "translation")
 
@@ -180,7 +180,7 @@ def model_times(spark, sf):
 
 def compare_models(spark, sf):
     texts = b.table(spark, sf, "benchmark").select("item_id", "text")
-    models = {"upper": stand_ins.upper_translator, "reverse": stand_ins.reverse_translator}
+    models = {"first": stand_ins.first_translator, "second": stand_ins.second_translator}
     return enrich.compare_models(texts, "text", models).select("item_id", "model", "response")
 
 
@@ -279,6 +279,13 @@ _ANALYSED = f"""WITH a AS (SELECT *, {_LANG} AS given, {_NO_TEXT} AS no_text FRO
 _NOTE = "'" + enrich.IMAGE_NOTE.replace("\n", "' || chr(10) || '") + "'"
 _DONE_TEXTS = "doc_id % 7 = 0 AND NOT no_text"
 
+_KINDS = f"""SELECT doc_id, CASE WHEN length(text) % 11 = 0 THEN '{enrich.EMPTY}' WHEN length(text) % 7 = 0 THEN '{enrich.BAD_JSON}'
+ WHEN length(text) % 5 = 0 THEN '{enrich.REPEATS}' END AS kind FROM documents"""
+_SCORES = ", ".join(
+    f"round(avg(1 + CAST('0x' || substr(code, {1 + 2 * i}, 2) AS INTEGER) % 5), 2) AS avg_{score}"
+    for i, score in enumerate(enrich.SCORES)
+)
+
 _SEPARATOR = "chr(1)"
 _KEY = f"sha256(text || {_SEPARATOR} || lang || {_SEPARATOR} || 'model-a')"
 _HIT = f"""(SELECT {_KEY} FROM documents WHERE source IN ('src0', 'src2', 'src4', 'src6', 'src8'))"""
@@ -299,17 +306,30 @@ SELECT CAST(doc_id AS VARCHAR) AS uid, CAST(pos AS INTEGER) AS pos, raw_name, en
     "translation_routing": (translation_routing, f"""
 SELECT doc_id, language, CASE WHEN language IN ('xh', 'zu', 'tn', 'rw', 'st', 'ss', 'wo') THEN 'low_resource'
  WHEN language <> 'en' THEN 'other' ELSE 'none' END AS tier FROM (SELECT doc_id, coalesce({_LANG}, 'en') AS language FROM documents)"""),
-    "translation_fallback": (translation_fallback, None),
+    "translation_fallback": (translation_fallback, """
+SELECT doc_id, text, lang AS language, CASE WHEN length(text) % 2 = 0 THEN 'T:' || md5(text) WHEN length(text) % 3 <> 0 THEN 'R:' || md5(text)
+ ELSE '[Translation Failed - Original Language: ' || lang || ']' || chr(10) || chr(10) || text END AS translation FROM documents"""),
     "publisher_fallback": (publisher_fallback, """
 SELECT doc_id, 'Unknown' AS author, source, CASE WHEN doc_id % 5 <> 0 THEN 'rss' ELSE 'Web' END AS content_type
 FROM documents WHERE doc_id % 10 <> 2"""),
     "cache_hit_miss": (cache_hit_miss, f"SELECT doc_id, {_KEY} IN {_HIT} AS is_hit FROM documents"),
-    "cached_translation": (cached_translation, None),
-    "infer_stage": (infer_stage, None),
-    "audit_log": (audit_log, None),
-    "embed_stage": (embed_stage, None),
-    "reembed": (reembed, None),
-    "judge_stage": (judge_stage, None),
+    "cached_translation": (cached_translation, f"""
+SELECT doc_id, hit AS is_hit, CASE WHEN hit THEN 'cached ' || text WHEN length(text) % 3 <> 0 THEN 'R:' || md5(text) END AS translation
+FROM (SELECT *, {_KEY} IN {_HIT} AS hit FROM documents)"""),
+    "infer_stage": (infer_stage, f"""
+SELECT doc_id, CASE WHEN kind IS NULL THEN 1 ELSE 3 END AS attempts, kind IS NULL AS accepted,
+ CASE WHEN kind IS NULL THEN '' ELSE kind || '|' || kind || '|' || kind END AS reasons FROM ({_KINDS})"""),
+    "audit_log": (audit_log, f"""
+SELECT DATE '2024-02-01' AS day, 'stand-in' AS provider, 'analyst' AS model, kind AS rejected_reason,
+ CAST(sum(CASE WHEN kind IS NULL THEN 1 ELSE 3 END) AS BIGINT) AS calls FROM ({_KINDS}) GROUP BY kind"""),
+    "embed_stage": (embed_stage,
+        "SELECT doc_id, 64 AS dimension, CAST(1.0 AS DOUBLE) AS squared_norm FROM documents WHERE doc_id % 10 <> 2"),
+    "reembed": (reembed, "SELECT CAST(doc_id AS VARCHAR) AS uid, 64 AS en, 64 AS ml FROM documents"),
+    "judge_stage": (judge_stage, with_views("articles", f"""
+, p AS (SELECT detected_language AS lang, md5('TEXT A (Original Language):' || chr(10) || original_language_summary || chr(10) || chr(10)
+  || 'TEXT B (English Translation):' || chr(10) || summary) AS code FROM articles
+  WHERE detected_language <> 'en' AND original_language_summary <> '' AND summary <> '')
+SELECT lang, count(*) AS n, {_SCORES} FROM p GROUP BY lang""")),
     "judge_report": (judge_report, """
 SELECT l_returnflag AS lang, count(*) AS n, round(avg(CASE WHEN l_linenumber <> 7 THEN 1 + l_partkey % 5 END), 2) AS avg_semantic_accuracy,
  round(avg(CASE WHEN l_linenumber <> 7 THEN 1 + l_suppkey % 5 END), 2) AS avg_tone_alignment,
@@ -320,7 +340,9 @@ WITH t AS (SELECT l_returnflag AS provider, 'model-' || (l_suppkey % 3) AS model
  avg(l_quantity) AS mean_seconds FROM lineitem GROUP BY ALL)
 SELECT provider, model, stage, round(mean_seconds, 6) AS mean_seconds FROM t
 UNION ALL SELECT provider, model, 'total', round(sum(mean_seconds), 6) FROM t GROUP BY provider, model"""),
-    "compare_models": (compare_models, None),
+    "compare_models": (compare_models, """
+SELECT item_id, 'first' AS model, CASE WHEN length(text) % 2 = 0 THEN 'T:' || md5(text) ELSE text END AS response FROM benchmark
+UNION ALL SELECT item_id, 'second', CASE WHEN length(text) % 3 <> 0 THEN 'R:' || md5(text) END FROM benchmark"""),
     "lexicon_exact": (lexicon_exact, with_views("mentions lexicon", """
 , known AS (SELECT lower(raw_name) AS key, canonical_name FROM lexicon
  QUALIFY row_number() OVER (PARTITION BY lower(raw_name) ORDER BY created_at, raw_name) = 1)

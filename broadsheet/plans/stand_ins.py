@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 import zlib
@@ -22,27 +23,31 @@ def hashing_embedder(texts: list[str], width: int = 64) -> list[list[float]]:
     return vectors
 
 
+def _digest(text: str) -> str:
+    return hashlib.md5(text.encode()).hexdigest()
+
+
 def analyst(prompts: list[str]) -> list[str | None]:
-    """A JSON analysis per prompt; some prompts get unusable answers every time."""
+    """A JSON answer per prompt; some prompts get unusable answers every time."""
     answers: list[str | None] = []
     for prompt in prompts:
-        words = prompt.split()
-        if len(words) % 11 == 0:
+        if len(prompt) % 11 == 0:
             answers.append(None)
-        elif len(words) % 7 == 0:
+        elif len(prompt) % 7 == 0:
             answers.append('{"summary_en": "cut off')
-        elif len(words) % 5 == 0:
+        elif len(prompt) % 5 == 0:
             answers.append("na na " * 12)
         else:
-            answers.append(json.dumps({"summary_en": prompt, "words": len(words)}, ensure_ascii=False))
+            answers.append(json.dumps({"summary_en": _digest(prompt)}))
     return answers
 
 
 def judge(prompts: list[str]) -> list[str]:
+    """Scores from the first four bytes of the prompt's digest."""
     answers = []
     for prompt in prompts:
-        code = zlib.crc32(prompt.encode())
-        scores = [1 + (code >> shift) % 5 for shift in (0, 8, 16, 24)]
+        code = _digest(prompt)
+        scores = [1 + int(code[i : i + 2], 16) % 5 for i in (0, 2, 4, 6)]
         answers.append(json.dumps({
             "semantic_accuracy": scores[0], "tone_alignment": scores[1], "nuance_retention": scores[2],
             "idiomatic_mapping": scores[3], "justification": f"{len(prompt)} characters",
@@ -50,11 +55,11 @@ def judge(prompts: list[str]) -> list[str]:
     return answers
 
 
-def upper_translator(texts: list[str]) -> list[str | None]:
-    """Upper-cases; texts of odd length come back unchanged, which counts as a failure."""
-    return [t.upper() if len(t) % 2 == 0 else t for t in texts]
+def first_translator(texts: list[str]) -> list[str | None]:
+    """A digest; texts of odd length come back unchanged, which counts as a failure."""
+    return [f"T:{_digest(t)}" if len(t) % 2 == 0 else t for t in texts]
 
 
-def reverse_translator(texts: list[str]) -> list[str | None]:
-    """Backup translator: reverses; gives nothing for lengths divisible by three."""
-    return [t[::-1] if len(t) % 3 else None for t in texts]
+def second_translator(texts: list[str]) -> list[str | None]:
+    """Another digest; nothing for lengths divisible by three."""
+    return [f"R:{_digest(t)}" if len(t) % 3 else None for t in texts]
