@@ -28,7 +28,8 @@ _EPOCH = "1970-01-01 00:00:00"
 @dataclass(frozen=True)
 class _Searches:
     ids: list
-    vectors: np.ndarray  # normalised rows
+    vectors: np.ndarray
+    norms: np.ndarray
     thresholds: np.ndarray
     since: np.ndarray  # microseconds
 
@@ -67,14 +68,16 @@ def _load(block: DataFrame) -> _Searches | None:
     norms[norms == 0] = 1.0
     return _Searches(
         [r["id"] for r in rows],
-        vectors / norms[:, None],
+        vectors,
+        norms,
         np.array([r["threshold"] for r in rows], dtype=np.float64),
         np.array([r["since"] for r in rows], dtype=np.int64),
     )
 
 
-def _slices(batches: Iterator[pa.RecordBatch], width: int):
-    """(uids, titles, microseconds, unit vectors) of at most _ROWS_PER_PRODUCT rows."""
+def _scored_slices(searches: _Searches, batches: Iterator[pa.RecordBatch]):
+    """(uids, titles, microseconds, cosine matrix) of at most _ROWS_PER_PRODUCT articles."""
+    width = searches.vectors.shape[1]
     for batch in batches:
         for start in range(0, batch.num_rows, _ROWS_PER_PRODUCT):
             part = batch.slice(start, _ROWS_PER_PRODUCT)
@@ -85,10 +88,11 @@ def _slices(batches: Iterator[pa.RecordBatch], width: int):
             matrix = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
             norms = np.sqrt(np.einsum("ij,ij->i", matrix, matrix))
             with np.errstate(divide="ignore", invalid="ignore"):
-                matrix = np.nan_to_num(matrix / norms[:, None], nan=0.0, posinf=0.0, neginf=0.0)
+                scores = (matrix @ searches.vectors.T) / (norms[:, None] * searches.norms)
             yield (
                 part.column("uid").to_pylist(), part.column("title").to_pylist(),
-                part.column("at").to_numpy(zero_copy_only=False), matrix,
+                part.column("at").to_numpy(zero_copy_only=False),
+                np.nan_to_num(scores, nan=0.0, posinf=0.0, neginf=0.0),
             )
 
 
@@ -109,8 +113,7 @@ def _better(a: tuple | None, b: tuple) -> tuple:
 def _count_matches(searches: _Searches, batches: Iterator[pa.RecordBatch], schema: pa.Schema):
     count = np.zeros(len(searches.ids), dtype=np.int64)
     newest: list[tuple | None] = [None] * len(searches.ids)
-    for uids, titles, at, matrix in _slices(batches, searches.vectors.shape[1]):
-        scores = matrix @ searches.vectors.T
+    for uids, titles, at, scores in _scored_slices(searches, batches):
         matching = (scores >= searches.thresholds) & (at[:, None] > searches.since)
         found = matching.sum(axis=0)
         count += found
@@ -136,8 +139,7 @@ def _count_matches(searches: _Searches, batches: Iterator[pa.RecordBatch], schem
 
 def _nearest(searches: _Searches, batches: Iterator[pa.RecordBatch], schema: pa.Schema, k: int):
     best: list[list[tuple]] = [[] for _ in searches.ids]
-    for uids, titles, _, matrix in _slices(batches, searches.vectors.shape[1]):
-        scores = matrix @ searches.vectors.T
+    for uids, titles, _, scores in _scored_slices(searches, batches):
         rounded = np.round(scores, 6)
         for s in range(len(searches.ids)):
             column = rounded[:, s]
