@@ -104,6 +104,8 @@ _RARE_FIRST = "zqxjkvbpygfwmucldrhsnioate"
 _RANK = {c: i + 1 for i, c in enumerate(_RARE_FIRST)}
 _SLACK = 1e-9
 _EXACT_LENGTHS, _BAND = 16, 4
+# Subsets per word and partner length: more make keys more selective, fewer keep the shuffle small.
+_MOST_KEYS = 6
 
 
 def needed_share(prefix: int, threshold: float) -> float:
@@ -147,8 +149,7 @@ def _partners(length: int, prefix: int, threshold: float) -> list[tuple[str, str
             size = 0
             if bound > 0:
                 size = _subset_size(
-                    bound, longer[1] - prefix - bound, shorter[1] - prefix - bound,
-                    24 if longer[0] <= 12 else 10,
+                    bound, longer[1] - prefix - bound, shorter[1] - prefix - bound, _MOST_KEYS
                 )
             plans.append((role, f"{longer[0]},{shorter[0]}|", max(bound, 0), size))
     return plans
@@ -212,6 +213,8 @@ def possible_match(length_a: Column, length_b: Column, mask_a: Column, mask_b: C
     """
     only_a = F.bit_count(mask_a.bitwiseAND(F.bitwise_not(mask_b)))
     only_b = F.bit_count(mask_b.bitwiseAND(F.bitwise_not(mask_a)))
-    shared = F.least(length_a - only_a, length_b - only_b).cast("double")
-    needed = F.array(*[F.lit(needed_share(p, threshold) - _SLACK) for p in range(PREFIX_LETTERS + 1)])
-    return shared / length_a + shared / length_b >= F.get(needed, prefix)
+    shared = F.least(length_a - only_a, length_b - only_b)
+    needed = F.lit(needed_share(PREFIX_LETTERS, threshold) - _SLACK)
+    for p in range(PREFIX_LETTERS):
+        needed = F.when(prefix == p, F.lit(needed_share(p, threshold) - _SLACK)).otherwise(needed)
+    return shared * (length_a + length_b) >= needed * (length_a * length_b)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,7 +34,24 @@ def build_session(app_name: str = "broadsheet", master: str | None = None) -> Sp
             .config("spark.driver.memory", "8g")
             .config("spark.sql.shuffle.partitions", width)
         )
-    return builder.getOrCreate()
+    session = builder.getOrCreate()
+    ship_package(session)
+    return session
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Makes this package importable in Python workers, wherever the driver was started."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="broadsheet-package-")
+    archive = shutil.make_archive(f"{folder}/{package.name}", "zip", package.parent, package.name)
+    context.addPyFile(archive)
+    _shipped.add(context.applicationId)
 
 
 def shared_folder(spark: SparkSession) -> str:
