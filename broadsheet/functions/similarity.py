@@ -82,7 +82,8 @@ def jaro_winkler(left: Column, right: Column) -> Column:
     def score(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series(jaro_winkler_pairs(a.fillna("").tolist(), b.fillna("").tolist()))
 
-    return score(left, right)
+    # Kept from being repeated inside pushed-down filters.
+    return score.asNondeterministic()(left, right)
 
 
 # --- keys that every pair above the threshold shares -------------------------------------
@@ -201,7 +202,8 @@ def join_keys_column(word: Column, threshold: float) -> Column:
             "mask": [letter_mask(w or "") for w in words],
         })
 
-    return keys(word)
+    # Kept from being repeated inside pushed-down filters.
+    return keys.asNondeterministic()(word)
 
 
 def possible_match(length_a: Column, length_b: Column, mask_a: Column, mask_b: Column,

@@ -119,11 +119,12 @@ def display_title(title: Column, fallback: Column) -> Column:
 
 def capped_words(text: Column, cap: int = WORD_CAP) -> Column:
     """struct(text, truncated): first ``cap`` words when longer, else unchanged."""
-    words = F.split(squish(text), " ")
-    longer = F.size(words) > cap
+    # n words need at least 2 n - 1 characters, so most texts are never split.
+    words = F.when(F.char_length(text) >= 2 * cap, F.split(squish(text), " "))
+    longer = F.coalesce(F.size(words) > cap, F.lit(False))
     return F.struct(
         F.when(longer, F.array_join(F.slice(words, 1, cap), " ")).otherwise(text).alias("text"),
-        F.coalesce(longer, F.lit(False)).alias("truncated"),
+        longer.alias("truncated"),
     )
 
 

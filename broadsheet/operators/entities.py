@@ -29,27 +29,33 @@ def entity_array(entities_json: Column) -> Column:
     A list of objects, a list of plain names (type Unknown) or one object of
     two parallel lists; entries without name or type are dropped.
     """
-    blank = F.lit(None).cast("string")
-
-    def element(item: Column) -> Column:
-        parsed = F.from_json(item, _ELEMENT)
-        is_object = item.startswith("{")
-        name = F.coalesce(F.nullif(parsed["raw_name"], F.lit("")), parsed["name"])
-        kind = F.coalesce(F.nullif(parsed["entity_type"], F.lit("")), parsed["type"])
+    def named(item: Column) -> Column:
+        found = item["parsed"]
+        is_object = item["text"].startswith("{")
+        name = F.coalesce(F.nullif(found["raw_name"], F.lit("")), found["name"])
+        kind = F.coalesce(F.nullif(found["entity_type"], F.lit("")), found["type"])
         return F.struct(
-            F.when(is_object, name).otherwise(item).alias("raw_name"),
+            F.when(is_object, name).otherwise(item["text"]).alias("raw_name"),
             F.when(is_object, kind).otherwise(F.lit("Unknown")).alias("entity_type"),
         )
 
-    listed = F.transform(F.from_json(entities_json, "array<string>"), element)
-    table = F.from_json(entities_json, _TABLE)
-    names = F.coalesce(table["raw_name"], table["name"])
-    kinds = F.coalesce(table["entity_type"], table["type"])
-    zipped = F.zip_with(names, kinds, lambda n, k: F.struct(n.alias("raw_name"), k.alias("entity_type")))
-    chosen = F.when(F.ltrim(entities_json).startswith("{"), zipped).otherwise(listed)
+    def zipped(table: Column) -> Column:
+        return F.zip_with(
+            F.coalesce(table["raw_name"], table["name"]), F.coalesce(table["entity_type"], table["type"]),
+            lambda n, k: F.struct(n.alias("raw_name"), k.alias("entity_type")),
+        )
+
+    # Each nested step binds a parsed value once instead of parsing it per use.
+    items = F.transform(
+        F.from_json(entities_json, "array<string>"),
+        lambda text: F.struct(text.alias("text"), F.from_json(text, _ELEMENT).alias("parsed")),
+    )
+    tables = F.transform(F.array(F.from_json(entities_json, _TABLE)), zipped)
+    is_table = F.ltrim(entities_json).startswith("{")
+    chosen = F.when(is_table, F.get(tables, F.lit(0))).otherwise(F.transform(items, named))
     return F.filter(
         chosen,
-        lambda e: (F.coalesce(e["raw_name"], blank, F.lit("")) != "") & (F.coalesce(e["entity_type"], F.lit("")) != ""),
+        lambda e: (F.coalesce(e["raw_name"], F.lit("")) != "") & (F.coalesce(e["entity_type"], F.lit("")) != ""),
     )
 
 

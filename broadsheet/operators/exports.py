@@ -20,10 +20,9 @@ def result_rows(rows: DataFrame) -> DataFrame:
     """A result page (see ``search.results``) as export columns, all text."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     listed = lambda c: F.coalesce(F.array_join(c, ";"), F.lit(""))
-    entities = F.array_join(F.transform("entities", lambda e: F.concat(e["name"], F.lit(":"), e["type"])), ";")
     columns = [text(c) for c in search.RESULT_COLUMNS[:10]]
     columns += [listed(c) for c in ("topics", "themes", "keywords")]
-    columns += [F.format_string("%.4f", F.col("similarity")), F.coalesce(entities, F.lit(""))]
+    columns += [F.format_string("%.4f", F.col("similarity")), search.entity_text(F.col("entities"))]
     return rows.select(*[c.alias(title) for c, title in zip(columns, RESULT_TITLES)])
 
 

@@ -56,7 +56,8 @@ def append_articles(spark: SparkSession, rows: DataFrame, path: str) -> None:
             raise
     else:
         dated = dated.join(stored.select("uid"), "uid", "left_anti")
-    dated.write.mode("append").partitionBy("day").parquet(path)
+    # Ranges of (day, uid) give few files per day and split a day that holds most rows.
+    dated.repartitionByRange("day", "uid").write.mode("append").partitionBy("day").parquet(path)
 
 
 def highest_mail_uid(raw: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from broadsheet.functions import keyword, textclean, vectors
+from broadsheet.session import cut_lineage
 
 # Fixed values of the search page.
 PAGE_SIZE = 20
@@ -145,51 +146,51 @@ def entity_counts(entities: DataFrame) -> DataFrame:
     return entities.groupBy("uid", "canonical_name", "entity_type").agg(F.count("*").alias("mentions"))
 
 
-def entity_lists(counts: DataFrame) -> DataFrame:
-    """Per article one ';' list ``name:type``, each entity once per mention, sorted."""
-    label = F.concat(F.col("canonical_name"), F.lit(":"), F.col("entity_type"))
-    labels = counts.select("uid", F.struct(label.alias("label"), F.col("mentions")).alias("e"))
-    grouped = labels.groupBy("uid").agg(F.array_sort(F.collect_list("e")).alias("es"))
-    repeated = F.flatten(F.transform("es", lambda e: F.array_repeat(e["label"], e["mentions"].cast("int"))))
-    return grouped.select("uid", F.array_join(repeated, ";").alias("entity_list"))
+def entity_arrays(counts: DataFrame) -> DataFrame:
+    """Per article its distinct entities, sorted, each with its number of mentions."""
+    entry = F.struct(
+        F.concat_ws(":", "canonical_name", "entity_type").alias("label"), F.col("canonical_name").alias("name"),
+        F.col("entity_type").alias("type"), "mentions",
+    )
+    grouped = counts.groupBy("uid").agg(F.array_sort(F.collect_list(entry)).alias("entities"))
+    return grouped.withColumn(
+        "entities", F.transform("entities", lambda e: F.struct(e["name"].alias("name"), e["type"].alias("type"), e["mentions"].alias("mentions")))
+    )
 
 
 def with_entities(rows: DataFrame, entities: DataFrame) -> DataFrame:
-    """Adds ``entity_list`` to a result page.
+    """Adds ``entities`` to a materialised result page.
 
     Only the page's own articles are aggregated. A page has at most MAX_LIMIT
     rows, which is what bounds the broadcast of its uids.
     """
     wanted = F.broadcast(rows.select("uid").distinct())
-    lists = entity_lists(entity_counts(entities.join(wanted, "uid", "left_semi")))
-    return rows.join(lists, "uid", "left")
-
-
-def entity_structs(entity_list: Column) -> Column:
-    """The list text back to array<struct<name, type>>."""
-    parts = F.filter(F.split(entity_list, ";"), lambda p: F.contains(p, F.lit(":")))
-    return F.coalesce(
-        F.transform(
-            parts,
-            lambda p: F.struct(
-                F.substring_index(p, ":", 1).alias("name"),
-                F.regexp_replace(p, r"^[^:]*:", "").alias("type"),
-            ),
-        ),
-        F.array().cast("array<struct<name:string,type:string>>"),
+    arrays = entity_arrays(entity_counts(entities.join(wanted, "uid", "left_semi")))
+    empty = F.array().cast("array<struct<name:string,type:string,mentions:bigint>>")
+    return rows.join(arrays, "uid", "left").withColumn("entities", F.coalesce("entities", empty))
+
+
+def entity_text(entities: Column) -> Column:
+    """``name:type`` once per mention, joined by ';'."""
+    repeated = F.transform(
+        entities, lambda e: F.array_repeat(F.concat(e["name"], F.lit(":"), e["type"]), e["mentions"].cast("int"))
     )
+    return F.array_join(F.flatten(repeated), ";")
 
 
 def results(articles: DataFrame, entities: DataFrame, request: SearchRequest) -> DataFrame:
-    """The result page as the search box shows it."""
-    rows = page(hits(articles, request), request).select(
+    """The result page as the search box shows it.
+
+    The page is materialised once (at most MAX_LIMIT rows), as looking up its
+    entities would otherwise scan and score the articles a second time.
+    """
+    rows = cut_lineage(page(hits(articles, request), request).select(
         *RESULT_COLUMNS,
         "similarity",
         (F.coalesce(F.col("raw_email"), F.lit("")) != "").alias("has_raw_email"),
         "flag_status",
-    )
-    listed = with_entities(rows, entities)
-    return listed.withColumn("entities", entity_structs(F.col("entity_list"))).drop("entity_list").orderBy(*_order(request))
+    ))
+    return with_entities(rows, entities).orderBy(*_order(request))
 
 
 def search(articles: DataFrame, entities: DataFrame, request: SearchRequest) -> dict[str, DataFrame]:

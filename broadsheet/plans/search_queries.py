@@ -130,10 +130,9 @@ def entities_per_article(spark, sf):
 def search_results(spark, sf):
     request = _request(spark, sf, limit=100)
     rows = search.results(b.articles(spark, sf, labels=False), b.entities(spark, sf), request)
-    joined = F.array_join(F.transform("entities", lambda e: F.concat(e["name"], F.lit(":"), e["type"])), ";")
     return rows.select(
         "uid", "title", "summary", "source", "detected_language", "content_type", "has_raw_email",
-        F.round("similarity", 6).alias("similarity"), joined.alias("entity_list"),
+        F.round("similarity", 6).alias("similarity"), search.entity_text(F.col("entities")).alias("entity_list"),
         F.array_join("topics", "|").alias("topics"),
     )
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from broadsheet.functions import dates, textclean
+from broadsheet.session import cut_lineage
 from broadsheet.sources import feeds as feed_source
 from broadsheet.sources import pages as page_source
 
@@ -12,21 +13,21 @@ from broadsheet.sources import pages as page_source
 def with_linked_text(posts: DataFrame, texts: DataFrame) -> DataFrame:
     """Left join posts (target_link, body, url) to landed texts (url, text).
 
-    Many posts can share one link and most have none; rows without a link keep
-    out of the join, so they cannot pile up on one key.
+    Posts without a link get a key of their own that matches nothing, so they
+    cannot pile up in one task.
     """
-    one_text = texts.groupBy(F.col("url").alias("target_link")).agg(F.min("text").alias("linked_text"))
-    linked = posts.filter(F.col("target_link").isNotNull()).join(one_text, "target_link", "left")
-    found = F.col("linked_text").isNotNull()
+    one_text = texts.groupBy(F.col("url").alias("_key")).agg(F.min("text").alias("_linked"))
+    own_key = F.concat(F.lit("no link "), F.xxhash64("body", "url").cast("string"))
+    linked = posts.withColumn("_key", F.coalesce("target_link", own_key)).join(one_text, "_key", "left")
+    found = F.col("_linked").isNotNull()
     augmented = F.concat(
         F.lit("[Fediverse Update]: "), F.col("body"),
-        F.lit("\n\n[Scraped Article Content from "), F.col("target_link"), F.lit("]:\n"), F.col("linked_text"),
+        F.lit("\n\n[Scraped Article Content from "), F.col("target_link"), F.lit("]:\n"), F.col("_linked"),
     )
-    linked = linked.withColumns({
+    return linked.withColumns({
         "body": F.when(found, augmented).otherwise(F.col("body")),
         "url": F.when(found, F.col("target_link")).otherwise(F.col("url")),
-    }).drop("linked_text")
-    return linked.unionByName(posts.filter(F.col("target_link").isNull()))
+    }).drop("_key", "_linked")
 
 
 def posts_with_links(feeds: DataFrame) -> DataFrame:
@@ -50,8 +51,12 @@ def posts_with_links(feeds: DataFrame) -> DataFrame:
 
 
 def fediverse_articles(feeds: DataFrame, pages: DataFrame) -> DataFrame:
-    """Feeds (handle, content) and landed pages (url, html) to raw articles."""
-    posts = posts_with_links(feeds)
+    """Feeds (handle, content) and landed pages (url, html) to raw articles.
+
+    Posts are materialised, so the feeds are parsed once; of the pages only
+    those a post links to are read as HTML.
+    """
+    posts = cut_lineage(posts_with_links(feeds))
     wanted = posts.select(F.col("target_link").alias("url")).filter("url is not null").distinct()
     texts = page_source.linked_texts(pages.join(wanted, "url", "left_semi"))
     return with_linked_text(posts, texts).drop("target_link")

@@ -92,7 +92,8 @@ def mail_parts(raw: Column, prefer: str = "html", pick: str = "last") -> Column:
     def read(mails: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([read_mail(m or "", prefer, pick) for m in mails], columns=_FIELDS)
 
-    return read(raw)
+    # Kept from being repeated inside pushed-down filters.
+    return read.asNondeterministic()(raw)
 
 
 def mail_articles(mails: DataFrame, prefer: str = "html", pick: str = "last") -> DataFrame:

@@ -40,7 +40,8 @@ def page_parts(html: Column, containers: tuple[str, ...]) -> Column:
             ))
         return pd.DataFrame(rows, columns=["title", "container", "paragraphs", "published"])
 
-    return parts(html)
+    # Kept from being repeated inside pushed-down filters.
+    return parts.asNondeterministic()(html)
 
 
 def _text(parts: Column) -> Column:

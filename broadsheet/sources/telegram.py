@@ -24,7 +24,8 @@ def messages(html: Column) -> Column:
     def read(pages: pd.Series) -> pd.Series:
         return pd.Series([_read_page(page or "") for page in pages])
 
-    return read(html)
+    # Kept from being repeated inside pushed-down filters.
+    return read.asNondeterministic()(html)
 
 
 def _read_page(page: str) -> list[dict]:
