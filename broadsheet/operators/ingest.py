@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from broadsheet.functions import textclean
+from broadsheet.operators import search
 from broadsheet.operators.ranking import top_per_group
 from broadsheet.schemas import RAW_ARTICLE, align_schema
 
@@ -47,8 +48,8 @@ def with_word_cap(raw: DataFrame, cap: int = textclean.WORD_CAP) -> DataFrame:
 
 
 def append_articles(spark: SparkSession, rows: DataFrame, path: str) -> None:
-    """Adds rows not stored yet, partitioned by publication day for pruning."""
-    dated = rows.withColumn("day", F.to_date("datetime"))
+    """Adds rows not stored yet, with vector norms, partitioned by publication day."""
+    dated = search.with_norms(rows).withColumn("day", F.to_date("datetime"))
     try:
         stored = spark.read.parquet(path)
     except Exception as error:  # first write: nothing is there yet
@@ -56,8 +57,8 @@ def append_articles(spark: SparkSession, rows: DataFrame, path: str) -> None:
             raise
     else:
         dated = dated.join(stored.select("uid"), "uid", "left_anti")
-    # Ranges of (day, uid) give few files per day and split a day that holds most rows.
-    dated.repartitionByRange("day", "uid").write.mode("append").partitionBy("day").parquet(path)
+    # Rebalancing gives each day few files and splits a day that holds most of the rows.
+    dated.hint("rebalance", "day").write.mode("append").partitionBy("day").parquet(path)
 
 
 def highest_mail_uid(raw: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from broadsheet.functions import keyword, vectors
-from broadsheet.operators import exports, search
+from broadsheet.operators import exports, ingest, search
 from broadsheet.operators.search import SearchRequest
 from broadsheet.plans import bindings
 from broadsheet.schemas import ARTICLES, align_schema
@@ -227,6 +227,19 @@ def test_filters_and_columns_reach_the_scan(spark, tmp_path):
     assert "raw_email" not in scan and "summary" not in scan
 
 
+def test_store_prunes_days_and_reuses_norms(spark, tmp_path):
+    path = str(tmp_path / "store")
+    ingest.append_articles(spark, _articles(spark), path)
+    stored = spark.read.parquet(path)
+    request = SearchRequest(query_vector=[1.0, 0.0, 0.0], start_date="2024-01-03", end_date="2024-01-06", threshold=0.5)
+    found = search.hits(stored, request)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan and "english_norm" in plan
+    same = search.hits(_articles(spark), request)
+    pick = lambda df: sorted((r.uid, round(r.similarity, 9)) for r in df.collect())
+    assert pick(found) == pick(same) != []
+
+
 def test_request_validation():
     for bad in ({"limit": 0}, {"limit": 10_001}, {"offset": -1}, {"threshold": 1.5}, {"space": "x"}, {"sort_by": "x"}):
         with pytest.raises(ValueError):
