@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from broadsheet.operators.ranking import top_per_group
 from broadsheet.operators.search import vector_column
+from broadsheet.session import cut_lineage
 
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 _ROWS_PER_PRODUCT = 2048
@@ -169,6 +170,8 @@ def _per_block(searches: DataFrame, articles: DataFrame, by: str, work, columns,
     arrow_kinds = {"bigint": pa.int64(), "double": pa.float64(), "string": pa.string()}
     arrow = pa.schema([("id", arrow_id), *[(n, arrow_kinds[t.simpleString()]) for n, t in columns]])
     context = searches.sparkSession.sparkContext
+    # Sized and read block by block, so computed once.
+    searches = cut_lineage(searches)
     partials = []
     for space in ("english", "multilingual"):
         in_space = searches.filter((F.col("space") == "english") == F.lit(space == "english"))

@@ -14,12 +14,12 @@ from broadsheet.plans import stand_ins
 from broadsheet.plans.bindings import with_views
 from broadsheet.plans.corpus_queries import _match_sql
 from broadsheet.schemas import ARTICLES
-from broadsheet.session import shared_folder
+from broadsheet.session import shared_folder, widen
 from broadsheet.streaming import jobs
 
 
 def _documents(spark, sf):
-    return b.table(spark, sf, "documents")
+    return widen(b.table(spark, sf, "documents"))
 
 
 def _fresh_folder(spark, name: str) -> str:

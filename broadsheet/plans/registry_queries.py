@@ -8,7 +8,7 @@ from broadsheet.operators import exports, ingest, registry
 from broadsheet.plans import bindings as b
 from broadsheet.plans.bindings import with_views
 from broadsheet.schemas import ARTICLES, align_schema
-from broadsheet.session import shared_folder
+from broadsheet.session import shared_folder, widen
 
 
 def _registry(function, *args, **options):
@@ -122,7 +122,8 @@ def append_sink(spark, sf):
 
 
 def word_cap(spark, sf):
-    rows = b.table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("uid"), F.col("text").alias("body"))
+    rows = widen(b.table(spark, sf, "documents"))
+    rows = rows.select(F.col("doc_id").cast("string").alias("uid"), F.col("text").alias("body"))
     return ingest.with_word_cap(rows, 400)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from broadsheet.functions import dates, repetition, textclean
 from broadsheet.plans import bindings as b
 from broadsheet.plans.bindings import date_text, escaped, sql_date_text, with_views
+from broadsheet.session import widen
 from broadsheet.sources import fediverse, feeds, mail, pages, telegram
 
 SPACE = r"[\s\p{Z}]+"
@@ -40,11 +41,11 @@ def sql_date(x: str) -> str:
 
 
 def _documents(spark, sf):
-    return b.table(spark, sf, "documents")
+    return widen(b.table(spark, sf, "documents"))
 
 
 def _pages(spark, sf):
-    return b.table(spark, sf, "pages")
+    return widen(b.table(spark, sf, "pages"))
 
 
 def html_clean(spark, sf):
@@ -288,7 +289,7 @@ def _mails(spark, sf):
         .when(number % 3 == 1, F.concat(F.lit("Content-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: base64\n\n"), encoded(F.col("text"))))
         .otherwise(F.concat(F.lit("Content-Type: text/html; charset=utf-8\nContent-Transfer-Encoding: base64\n\n"), encoded(html))),
     )
-    return b.table(spark, sf, "conversations").select(number.cast("string").alias("uid"), content.alias("content"))
+    return widen(b.table(spark, sf, "conversations")).select(number.cast("string").alias("uid"), content.alias("content"))
 
 
 def mail_extract(spark, sf):

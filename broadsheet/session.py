@@ -81,3 +81,13 @@ def spread(df: DataFrame, *columns: str) -> DataFrame:
     back into a few tasks.
     """
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
+def widen(df: DataFrame) -> DataFrame:
+    """Rows over all cores when the input has fewer splits than there are cores.
+
+    Meant in front of costly per-row work on few or unsplittable files. A large
+    input has more splits than cores and is returned as it is, without shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
