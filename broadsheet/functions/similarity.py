@@ -206,6 +206,12 @@ def join_keys_column(word: Column, threshold: float) -> Column:
     return keys.asNondeterministic()(word)
 
 
+def exactly_shared(a: Column, b: Column, prefix: Column) -> Column:
+    """Whether ``prefix`` is all the two words share at the front, so a pair counts under one p only."""
+    next_a, next_b = (F.substr(w, prefix + 1, F.lit(1)) for w in (a, b))
+    return (prefix == PREFIX_LETTERS) | (next_a != next_b) | (next_a == "")
+
+
 def possible_match(length_a: Column, length_b: Column, mask_a: Column, mask_b: Column,
                    prefix: Column, threshold: float) -> Column:
     """Bound that a pair with ``prefix`` equal leading letters meets; built-in expressions only.

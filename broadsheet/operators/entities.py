@@ -104,12 +104,14 @@ def similar_pairs(left: DataFrame, right: DataFrame, threshold: float = THRESHOL
             F.col("keys.mask").alias(f"{side}_mask"), F.char_length("word").alias(f"{side}_length"),
         )
 
+    # Exploded keys are far larger than the planner's estimate, so never broadcast them.
+    prefix = F.col("join_key").bitwiseAND(F.lit(7).cast("long")).cast("int")
     # Exploded keys are far larger than the planner's estimate, so never broadcast them.
     met = keyed(left, "left").join(keyed(right, "right").hint("merge"), "join_key").filter(
         (F.col("left_type") == F.col("right_type"))
+        & similarity.exactly_shared(F.col("left_word"), F.col("right_word"), prefix)
         & similarity.possible_match(
-            F.col("left_length"), F.col("right_length"), F.col("left_mask"), F.col("right_mask"),
-            F.col("join_key").bitwiseAND(F.lit(7).cast("long")).cast("int"), threshold,
+            F.col("left_length"), F.col("right_length"), F.col("left_mask"), F.col("right_mask"), prefix, threshold
         )
     )
     candidates = met.select(F.col("left_type").alias("type"), "left_word", "right_word").distinct()
