@@ -9,6 +9,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, functions as F
 
 # Fixed values of the similarity: bonus per shared leading letter, at most four letters.
@@ -16,27 +17,31 @@ PREFIX_BONUS, PREFIX_LETTERS = 0.1, 4
 _BATCH_CELLS = 2_000_000
 
 
-def _codes(words: Sequence[str], width: int) -> np.ndarray:
-    """Code points, one row per word, padded with 0."""
-    fixed = np.array(words, dtype=f"<U{width}")
-    return fixed.view(np.uint32).reshape(len(words), width)
+def _codes(words: Sequence[str], width: int, ascii_only: bool) -> np.ndarray:
+    """Character codes, one row per word, padded with 0; single bytes where possible."""
+    if ascii_only:
+        return np.array(words, dtype=f"S{width}").view(np.uint8).reshape(len(words), width)
+    return np.array(words, dtype=f"<U{width}").view(np.uint32).reshape(len(words), width)
 
 
 def _jaro_winkler_block(left: Sequence[str], right: Sequence[str]) -> np.ndarray:
-    n1 = np.array([len(w) for w in left])
-    n2 = np.array([len(w) for w in right])
+    n1 = np.fromiter(map(len, left), dtype=np.int32, count=len(left))
+    n2 = np.fromiter(map(len, right), dtype=np.int32, count=len(right))
     w1, w2 = max(int(n1.max()), 1), max(int(n2.max()), 1)
-    a, b = _codes(left, w1), _codes(right, w2)
+    ascii_only = "".join(left).isascii() and "".join(right).isascii()
+    a, b = _codes(left, w1, ascii_only), _codes(right, w2, ascii_only)
     reach = np.maximum(1, np.maximum(n1, n2) // 2 - 1)[:, None]
-    at = np.arange(w2)[None, :]
+    at = np.arange(w2, dtype=np.int32)[None, :]
     free = at < n2[:, None]
     hit1 = np.zeros(a.shape, dtype=bool)
     rows = np.arange(len(left))
     for i in range(w1):
         # Leftmost unused equal letter of the other word inside the window.
-        open_ = free & (b == a[:, i : i + 1]) & (np.abs(at - i) <= reach) & (i < n1)[:, None]
-        found = open_.any(axis=1)
+        open_ = (b == a[:, i : i + 1]) & free
+        open_ &= np.abs(at - i) <= reach
+        open_ &= (i < n1)[:, None]
         spot = open_.argmax(axis=1)
+        found = open_[rows, spot]
         hit1[:, i] = found
         free[rows[found], spot[found]] = False
     hit2 = (at < n2[:, None]) & ~free
@@ -60,7 +65,11 @@ def _jaro_winkler_block(left: Sequence[str], right: Sequence[str]) -> np.ndarray
 def jaro_winkler_pairs(left: Sequence[str], right: Sequence[str]) -> np.ndarray:
     """Scores of aligned pairs; pairs are blocked by length so memory stays bounded."""
     total = len(left)
-    longest = np.array([max(len(x), len(y)) for x, y in zip(left, right)], dtype=int)
+    longest = np.maximum(
+        np.fromiter(map(len, left), dtype=np.int32, count=total), np.fromiter(map(len, right), dtype=np.int32, count=total)
+    )
+    if total and total * int(longest.max()) <= _BATCH_CELLS:
+        return _jaro_winkler_block(left, right)
     order = np.argsort(longest, kind="stable")
     scores = np.zeros(total)
     start = 0
@@ -78,9 +87,9 @@ def jaro_winkler_pairs(left: Sequence[str], right: Sequence[str]) -> np.ndarray:
 def jaro_winkler(left: Column, right: Column) -> Column:
     """Similarity in 0..1 as an Arrow-batched expression; NULL counts as empty."""
 
-    @F.pandas_udf("double")
-    def score(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series(jaro_winkler_pairs(a.fillna("").tolist(), b.fillna("").tolist()))
+    @F.arrow_udf("double")
+    def score(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array(jaro_winkler_pairs(a.fill_null("").to_pylist(), b.fill_null("").to_pylist()))
 
     # Kept from being repeated inside pushed-down filters.
     return score.asNondeterministic()(left, right)

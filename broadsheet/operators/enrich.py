@@ -247,10 +247,15 @@ def embedded(rows: DataFrame, model: Embed) -> DataFrame:
 def publisher_columns(rows: DataFrame) -> DataFrame:
     """author, source and content_type with their fallbacks to the raw article."""
     meta = F.col("analysis.publisher_metadata")
+
+    def text(value: Column) -> Column:
+        # A model may name several; a list arrives as its JSON text.
+        return F.when(value.startswith("["), F.array_join(F.from_json(value, "array<string>"), ", ")).otherwise(value)
+
     return rows.withColumns({
-        "author": F.coalesce(meta["author"], F.lit("Unknown")),
-        "content_type": F.coalesce(F.col("platform"), meta["platform"], F.col("source")),
-        "source": F.coalesce(meta["publisher"], F.col("source")),
+        "author": F.coalesce(text(meta["author"]), F.lit("Unknown")),
+        "content_type": F.coalesce(F.col("platform"), text(meta["platform"]), F.col("source")),
+        "source": F.coalesce(text(meta["publisher"]), F.col("source")),
     })
 
 

@@ -114,11 +114,13 @@ def similar_pairs(left: DataFrame, right: DataFrame, threshold: float = THRESHOL
             F.col("left_length"), F.col("right_length"), F.col("left_mask"), F.col("right_mask"), prefix, threshold
         )
     )
-    candidates = met.select(F.col("left_type").alias("type"), "left_word", "right_word").distinct()
-    scored = candidates.withColumn(
-        "similarity", similarity.jaro_winkler(F.col("left_word"), F.col("right_word"))
+    # A pair may meet on a few keys. Scoring it again is cheaper than shuffling all
+    # candidates to make them distinct, so only qualifying pairs are made distinct.
+    scored = met.select(
+        F.col("left_type").alias("type"), "left_word", "right_word",
+        similarity.jaro_winkler(F.col("left_word"), F.col("right_word")).alias("similarity"),
     )
-    return scored.filter(F.col("similarity") >= threshold)
+    return scored.filter(F.col("similarity") >= threshold).distinct()
 
 
 def fuzzy_lookup(names: DataFrame, lexicon: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

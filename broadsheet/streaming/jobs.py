@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from broadsheet.operators import alerts, ingest
+from broadsheet.operators.ranking import top_per_group
 from broadsheet.schemas import ARTICLES, SAVED_SEARCHES
 from broadsheet.session import cut_lineage
 
@@ -39,7 +40,7 @@ def ingest_stream(stream: DataFrame, store: str, checkpoint: str, available_now:
     rows = stream if lookback is None else deduplicated(stream, lookback)
 
     def write(batch: DataFrame, _: int) -> None:
-        once = ingest.first_per_uid(batch, "datetime")
+        once = top_per_group(batch, ["uid"], [F.asc("datetime"), F.asc("ingested_at"), F.asc("url")])
         ingest.append_articles(batch.sparkSession, once, store)
 
     return _started(rows, write, checkpoint, available_now)

@@ -3,7 +3,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from broadsheet.operators import enrich, ingest, ranking, registry, user_state
+from broadsheet.operators import enrich, exports, ingest, ranking, registry, user_state
 from broadsheet.plans import stand_ins
 from broadsheet.schemas import ARTICLES, SOURCES, align_schema
 from broadsheet.streaming import jobs
@@ -169,3 +169,25 @@ def test_cache_computes_each_distinct_miss_once(spark):
     assert fresh.count() == 2 and {(r.text, r.translation) for r in filled.collect()} == {("a", "aa"), ("b", "bb")}
     again, none = enrich.cached_translations(requests, fresh, "m", lambda ts: [None for _ in ts])
     assert none.count() == 0 and again.filter("is_hit").count() == 51
+
+
+def test_publisher_may_be_a_list(spark):
+    answers = [
+        '{"publisher_metadata": {"publisher": ["A", "B"], "author": null, "platform": "Ghost"}}',
+        '{"publisher_metadata": {"publisher": "C", "author": ["x", "y"]}}', "{}",
+    ]
+    frame = spark.createDataFrame([(i, a, "feed", None) for i, a in enumerate(answers)],
+                                  "i int, response string, source string, platform string")
+    rows = enrich.publisher_columns(enrich.parsed(frame)).orderBy("i").collect()
+    assert [(r.author, r.source, r.content_type) for r in rows] == [
+        ("Unknown", "A, B", "Ghost"), ("x, y", "C", "feed"), ("Unknown", "feed", "feed")]
+
+
+def test_logs_append_by_day(spark, tmp_path):
+    path = str(tmp_path / "log")
+    frame = spark.createDataFrame([("q", "{}")], "prompt string, note string")
+    done = enrich.infer(frame, "prompt", lambda ps: ["{}" for _ in ps])
+    for day in ("2026-01-01", "2026-01-02"):
+        exports.append_log(enrich.audit_rows(done, "p", "m", "prompt", F.lit(f"{day} 10:00:00")), path)
+    rows = spark.read.parquet(path)
+    assert rows.count() == 2 and rows.filter("day = '2026-01-02'").first().rejected_reason is None
