@@ -39,6 +39,7 @@ def phrase(text: str, space: str = "english") -> Column:
 
 
 def near_pattern(first: str, second: str, distance: int) -> str:
+    # Fixed value: what may lie between the two words.
     a, b = (re.escape(re.sub(r"[*?]", "", w)) for w in (first, second))
     gap = rf"(?:\W+\w+){{0,{distance}}}\W+"
     return f"{a}{gap}{b}|{b}{gap}{a}"

@@ -187,24 +187,36 @@ def translate(rows: DataFrame, first: Infer, second: Infer) -> DataFrame:
     return both.withColumn("translation", value).drop("first", "second")
 
 
+def _keyed(requests: DataFrame, model: str) -> DataFrame:
+    key = textclean.translation_key(F.col("text"), F.col("language"), F.lit(model))
+    return requests.withColumn("cache_key", key)
+
+
+def _known(cache: DataFrame) -> DataFrame:
+    return cache.groupBy("cache_key").agg(F.min("translation").alias("cached"))
+
+
 def with_cache(requests: DataFrame, cache: DataFrame, model: str) -> DataFrame:
     """Adds cache_key, cached translation and is_hit to (text, language) requests."""
-    keyed = requests.withColumn(
-        "cache_key", textclean.translation_key(F.col("text"), F.col("language"), F.lit(model))
-    )
-    one = cache.groupBy("cache_key").agg(F.min("translation").alias("cached"))
-    return keyed.join(one, "cache_key", "left").withColumn("is_hit", F.col("cached").isNotNull())
+    joined = _keyed(requests, model).join(_known(cache), "cache_key", "left")
+    return joined.withColumn("is_hit", F.col("cached").isNotNull())
 
 
 def cached_translations(requests: DataFrame, cache: DataFrame, model_name: str, model: Infer):
-    """(requests with translation, new cache rows). Each distinct miss is computed once."""
-    looked_up = with_cache(requests, cache, model_name)
-    misses = looked_up.filter(~F.col("is_hit")).select("cache_key", "text").dropDuplicates(["cache_key"])
-    computed = infer(misses, "text", model, json_mode=False)
+    """(requests with translation, new cache rows). Each distinct miss is computed once.
+
+    Lookup and computation work on distinct texts, so a text that fills a third
+    of the requests counts once; the requests themselves are joined only at the end.
+    """
+    keyed = _keyed(requests, model_name)
+    distinct = keyed.select("cache_key", "text").dropDuplicates(["cache_key"])
+    looked_up = cut_lineage(distinct.join(_known(cache), "cache_key", "left"))
+    hits = looked_up.filter("cached is not null").select("cache_key", F.col("cached").alias("translation"))
+    computed = infer(looked_up.filter("cached is null").select("cache_key", "text"), "text", model, json_mode=False)
     fresh = answered(computed).select("cache_key", F.col("response").alias("translation"))
-    filled = looked_up.join(fresh, "cache_key", "left")
-    filled = filled.withColumn("translation", F.coalesce("cached", "translation")).drop("cached")
-    return filled, fresh
+    answers = hits.withColumn("is_hit", F.lit(True)).unionByName(fresh.withColumn("is_hit", F.lit(False)))
+    filled = keyed.join(answers, "cache_key", "left")
+    return filled.withColumn("is_hit", F.coalesce("is_hit", F.lit(False))), fresh
 
 
 def embed(rows: DataFrame, texts: Sequence[str], vectors: Sequence[str], model: Embed) -> DataFrame:

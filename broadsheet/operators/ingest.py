@@ -39,6 +39,11 @@ def first_per_uid(raw: DataFrame, arrival: str = "arrival") -> DataFrame:
 
 
 def new_items(raw: DataFrame, stored: DataFrame, arrival: str = "arrival", mail: bool = False) -> DataFrame:
+    """First row per unseen uid.
+
+    Copies go first: they collapse before the one shuffle by uid, which the
+    join then reuses, so a uid with very many copies never gathers in a task.
+    """
     return unseen(first_per_uid(raw, arrival), stored, mail)
 
 
