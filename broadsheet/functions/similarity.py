@@ -115,7 +115,7 @@ _RANK = {c: i + 1 for i, c in enumerate(_RARE_FIRST)}
 _SLACK = 1e-9
 _EXACT_LENGTHS, _BAND = 16, 4
 # Subsets per word and partner length: more make keys more selective, fewer keep the shuffle small.
-_MOST_KEYS = 6
+_MOST_KEYS = 10
 
 
 def needed_share(prefix: int, threshold: float) -> float:

@@ -122,6 +122,10 @@ def notifications_newest(spark, sf):
     return user_state.newest_first(b.notifications(spark, sf), "8").select("id", "search_text", "created_at", "is_read")
 
 
+def saved_searches_newest(spark, sf):
+    return user_state.newest_first(b.saved_searches(spark, sf), "user1").select("id", "search_text", "threshold", "created_at")
+
+
 _SIM = f"CASE WHEN s.space = 'english' THEN {_cos('a.english_embedding', 's.query_vector')} ELSE {_cos('a.multilingual_embedding', 's.query_vector')} END"
 _VEC = "CASE WHEN s.space = 'english' THEN a.english_embedding ELSE a.multilingual_embedding END"
 
@@ -202,6 +206,8 @@ SELECT id, username, search_text, new_results_count, newest_title, created_at, i
 FROM notifications""")),
     "notifications_unread": (notifications_unread, with_views("notifications", """
 SELECT username, count(*) FILTER (WHERE NOT is_read) AS unread FROM notifications GROUP BY username""")),
+    "saved_searches_newest": (saved_searches_newest, with_views("saved", """
+SELECT id, search_text, threshold, created_at FROM saved WHERE username = 'user1'""")),
     "notifications_newest": (notifications_newest, with_views("notifications", """
 SELECT id, search_text, created_at, is_read FROM notifications WHERE username = '8'""")),
 }
