@@ -12,6 +12,16 @@ FORMATS = (
 )
 
 
+def utc_instant(wall: Column) -> Column:
+    """UTC wall time (no zone) to the instant, whatever the session zone."""
+    return F.convert_timezone(F.lit("UTC"), F.current_timezone(), wall).cast("timestamp")
+
+
+def utc_wall(instant: Column) -> Column:
+    """Instant to UTC wall time (no zone), whatever the session zone."""
+    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), instant.cast("timestamp_ntz"))
+
+
 def normalised_date_text(raw: Column) -> Column:
     """Weekday and trailing zone comment dropped; the offset always as +hhmm."""
     text = F.trim(raw)
@@ -31,8 +41,7 @@ def parse_date(raw: Column) -> Column:
     """
     text = normalised_date_text(raw)
     # A trailing hyphenated date such as 2024-01-05 must not read as an offset.
-    instant = F.coalesce(*[F.try_to_timestamp(text, F.lit(fmt)) for fmt in FORMATS])
-    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), instant.cast("timestamp_ntz"))
+    return utc_wall(F.coalesce(*[F.try_to_timestamp(text, F.lit(fmt)) for fmt in FORMATS]))
 
 
 def date_or(raw: Column, fallback: Column) -> Column:

@@ -9,6 +9,7 @@ The searches travel to the tasks as a broadcast; a set larger than
 
 from __future__ import annotations
 
+import datetime
 import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -17,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from broadsheet.functions import dates
 from broadsheet.operators.ranking import top_per_group
 from broadsheet.operators.search import vector_column
 from broadsheet.session import cut_lineage
@@ -60,7 +62,7 @@ def _blocks(searches: DataFrame, max_bytes: int) -> Iterator[DataFrame]:
 
 def _load(block: DataFrame) -> _Searches | None:
     rows = block.select(
-        "id", "query_vector", "threshold", F.unix_micros(F.col("since").cast("timestamp")).alias("since")
+        "id", "query_vector", "threshold", F.unix_micros(dates.utc_instant(F.col("since"))).alias("since")
     ).collect()
     if not rows:
         return None
@@ -100,7 +102,7 @@ def _scored_slices(searches: _Searches, batches: Iterator[pa.RecordBatch]):
 def _candidates(articles: DataFrame, space: str, by: str) -> DataFrame:
     vector = F.col(vector_column(space))
     return articles.filter(vector.isNotNull()).select(
-        "uid", "title", F.unix_micros(F.col(by).cast("timestamp")).alias("at"), vector.alias("vector")
+        "uid", "title", F.unix_micros(dates.utc_instant(F.col(by))).alias("at"), vector.alias("vector")
     )
 
 
@@ -181,8 +183,9 @@ def _per_block(searches: DataFrame, articles: DataFrame, by: str, work, columns,
                 continue
             shared = context.broadcast(loaded)
             # Nothing older than the oldest watermark can match; this reaches the scan.
-            oldest = F.timestamp_micros(F.lit(int(loaded.since.min()))).cast("timestamp_ntz")
-            rows = articles.filter(F.col(by) > oldest) if work is _count_matches else articles
+            oldest = datetime.datetime(1970, 1, 1) + datetime.timedelta(microseconds=int(loaded.since.min()))
+            newer = F.col(by) > F.lit(oldest.isoformat(sep=" ")).cast("timestamp_ntz")
+            rows = articles.filter(newer) if work is _count_matches else articles
             partials.append(
                 _candidates(rows, space, by).mapInArrow(
                     functools.partial(_run, work, shared, arrow), schema
@@ -213,7 +216,7 @@ def matches(searches: DataFrame, articles: DataFrame, by: str = "datetime",
     newest = top_per_group(merged, ["id"], order)
     return newest.select(
         "id", "new_results_count", F.col("uid").alias("newest_uid"), F.col("title").alias("newest_title"),
-        F.timestamp_micros("at").cast("timestamp_ntz").alias("newest_at"),
+        dates.utc_wall(F.timestamp_micros("at")).alias("newest_at"),
     )
 
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from broadsheet.functions import dates
 from broadsheet.operators import alerts, ingest
 from broadsheet.operators.ranking import top_per_group
 from broadsheet.schemas import ARTICLES, SAVED_SEARCHES
@@ -25,8 +26,8 @@ def article_stream(spark: SparkSession, path: str, files_per_trigger: int = 50)
 
 def deduplicated(stream: DataFrame, lookback: str = LOOKBACK) -> DataFrame:
     """First row per uid; state is kept only for the lookback, older rows are not picked up."""
-    # A watermark needs a zoned timestamp; the session runs in UTC.
-    timed = stream.withColumn("event_time", F.col("datetime").cast("timestamp"))
+    # A watermark needs an instant.
+    timed = stream.withColumn("event_time", dates.utc_instant(F.col("datetime")))
     return timed.withWatermark("event_time", lookback).dropDuplicatesWithinWatermark(["uid"]).drop("event_time")
 
 
@@ -78,9 +79,9 @@ def alert_stream(stream: DataFrame, state: str, checkpoint: str, now: Callable[[
 
 def daily_counts(stream: DataFrame, lateness: str = "1 day") -> DataFrame:
     """Articles per day, final once the watermark has passed the day."""
-    timed = stream.withColumn("event_time", F.col("datetime").cast("timestamp"))
+    timed = stream.withColumn("event_time", dates.utc_instant(F.col("datetime")))
     counts = timed.withWatermark("event_time", lateness).groupBy(F.window("event_time", "1 day")).count()
-    return counts.select(F.to_date(F.col("window.start")).alias("dt"), F.col("count").alias("cnt"))
+    return counts.select(F.to_date(dates.utc_wall(F.col("window.start"))).alias("dt"), F.col("count").alias("cnt"))
 
 
 def _started(stream: DataFrame, each, checkpoint: str, available_now: bool) -> StreamingQuery:
