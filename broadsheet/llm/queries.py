@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from broadsheet.llm import bpe, suffixes, toxicity
+from broadsheet.llm import bpe, leaks, near_copies, suffixes, toxicity
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -26,6 +26,15 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def op1_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copies.classes(table(spark, sf_dir, "documents"))
+
+
+def op7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumn("item_id", F.col("item_id").cast("long"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -43,6 +52,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
+    "op1_near_copies": (op1_near_copies, None),
+    "op7_leaks": (op7_leaks, None),
     "op8_bpe": (op8_bpe, None),
     "op9_suffixes": (op9_suffixes, None),
     "op10_toxicity": (op10_toxicity, None),

@@ -17,7 +17,8 @@ so the work is cut into buckets that hold all suffixes that can be equal:
     buckets run long, are resolved by ranks computed beforehand for the positions of a
     difference cover: any two positions i and j have a shift k below ``PERIOD`` at which i + k
     and j + k both belong to the cover, so one comparison of ranks settles what lies between.
-    A bucket is held alone, in batches of at most ``BATCH`` spans that keep the first of each kind.
+    Buckets are sorted in batches of ``BATCH`` spans; of a bucket that is longer, the spans
+    that hold the first suffix of a kind are kept for its next batch.
 
 Document ids order the documents. Defined cases: null text is the empty text;
 rows whose id is null are returned unchanged and are nobody's source; rows that
@@ -42,7 +43,7 @@ LENGTH = 100
 GRAM = 28
 #: A difference cover of the numbers modulo 7: each difference occurs among 1, 2 and 4.
 PERIOD, COVER = 7, (1, 2, 4)
-BATCH = 20_000
+BATCH = 8_000
 _HELD = 400_000
 _LOW = 20  # bits of a position inside a block
 
@@ -281,55 +282,55 @@ def _bucket_repeats(length: int):
         return docs[begin].tolist(), places[begin].tolist(), (stop - begin).tolist(), [rows[k] for k in firsts]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, rows, kept = None, [], []
-        docs, places, more = [], [], []
-
-        def take() -> None:
-            """Settles the rows held. The spans with first occurrences stay for the rest of the bucket."""
-            nonlocal rows, kept
-            if len(rows) + len(kept) > 1:
-                d, p, m, kept = settle(kept + rows)
-                docs.extend(d), places.extend(p), more.extend(m)
-            else:
-                kept = kept + rows
-            rows = []
-
-        def out() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(places, pa.int64()), pa.array(more, pa.int32())], names=["doc", "place", "more"])
-            docs.clear(), places.clear(), more.clear()
-            return made
+        bucket, rows, own = None, [], 0  # own: where the rows of the last bucket begin
 
+        def take() -> pa.RecordBatch:
+            nonlocal rows, own
+            before = rows[own:]
+            docs, places, more, firsts = settle(rows) if len(rows) > 1 else ([], [], [], before)
+            mine = {x[:2] for x in before}
+            rows, own = [x for x in firsts if x[:2] in mine], 0
+            return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(places, pa.int64()), pa.array(more, pa.int32())], names=["doc", "place", "more"])
+
+        fresh = 0
         for batch in batches:
             for name, doc, place, said in zip(*(batch.column(k).to_pylist() for k in ("bucket", "doc", "place", "bytes")), strict=True):
                 if name != bucket:
-                    take()
-                    bucket, kept = name, []
+                    if fresh >= BATCH:
+                        yield take()
+                        rows, fresh = [], 0
+                    bucket, own = name, len(rows)
+                elif fresh >= 2 * BATCH:
+                    yield take()
+                    fresh = 0
                 rows.append((doc, place, said))
-                if len(rows) >= BATCH:
-                    take()
-            yield out()
-        take()
-        yield out()
+                fresh += 1
+        yield take()
 
     return run
 
 
-def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """Runs of repeated suffixes: doc, place (checksum of the text and offset of the first), more (how many follow)."""
-    texts = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
-    known = texts.filter("doc IS NOT NULL").withColumn("tag", _tag("text"))
-    sent = known.mapInArrow(_span_rows(length, gram), _SPAN)
+def _known(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Rows with an id, and a column that tells apart different texts under one."""
+    return docs.filter(F.col(key).isNotNull()).withColumn("_tag", _tag(text))
+
+
+def repeats(known: DataFrame, key: str, text: str, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """Runs of repeated suffixes: id, _tag, place (of the first, with the tag), more (how many follow)."""
+    texts = known.select(F.col(key).cast("long").alias("doc"), F.col("_tag").alias("tag"), F.col(text).cast("string").alias("text"))
+    sent = texts.mapInArrow(_span_rows(length, gram), _SPAN)
     ordered = sent.repartition("bucket").sortWithinPartitions("bucket", "span", "doc", "place")
     told = cut_lineage(ordered.mapInArrow(_whole_spans, "bucket long, doc long, place long, more int, sure boolean"))
-    open_spans = told.filter("NOT sure").withColumn("tag", F.shiftleft(F.shiftright("place", 48), 48))
-    whole = known.select("doc", "tag", F.col("text").cast("binary").alias("bytes"))
-    with_bytes = open_spans.join(whole.hint("merge"), ["doc", "tag"]).select(
-        "bucket", "doc", "place",
-        F.expr(f"substring(bytes, int(place & {(1 << 48) - 1}) + 1, more + {length})").alias("bytes"),
+    tag = F.shiftleft(F.shiftright("place", 48), 48).alias("_tag")
+    open_spans = told.filter("NOT sure").select("bucket", F.col("doc").alias(key), tag, "place", "more")
+    offset = f"int(place & {(1 << 48) - 1})"
+    with_bytes = open_spans.join(known.hint("merge"), [key, "_tag"]).select(
+        "bucket", F.col(key).cast("long").alias("doc"), "place",
+        F.expr(f"substring(cast(`{text}` AS binary), {offset} + 1, more + {length})").alias("bytes"),
     )
     sorted_buckets = with_bytes.repartition("bucket").sortWithinPartitions("bucket", "doc", "place")
     settled = sorted_buckets.mapInArrow(_bucket_repeats(length), "doc long, place long, more int")
-    return told.filter("sure").select("doc", "place", "more").unionByName(settled)
+    return told.filter("sure").select("doc", "place", "more").unionByName(settled).select(F.col("doc").alias(key), tag, "place", "more")
 
 
 def _cut(said: bytes, stretches: list[tuple[int, int]], length: int) -> tuple[bytes, int, int]:
@@ -351,12 +352,9 @@ def _cut(said: bytes, stretches: list[tuple[int, int]], length: int) -> tuple[by
 
 def removed(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """``docs`` with the columns ``kept`` (remaining bytes), ``n_bytes``, ``n_removed`` and ``n_spans``."""
-    low = (1 << 48) - 1
-    stretches = (
-        repeats(docs, key, text, length, gram)
-        .groupBy(F.col("doc").alias("_doc"), F.shiftleft(F.shiftright("place", 48), 48).alias("_tag"))
-        .agg(F.collect_list(F.struct(F.col("place").bitwiseAND(F.lit(low)).alias("first"), "more")).alias("_stretches"))
-    )
+    known = _known(docs, key, text)
+    first = F.col("place").bitwiseAND(F.lit((1 << 48) - 1)).alias("first")
+    stretches = repeats(known, key, text, length, gram).groupBy(key, "_tag").agg(F.collect_list(F.struct(first, "more")).alias("_stretches"))
 
     @F.pandas_udf("kept binary, n_bytes long, n_removed long, n_spans long")
     def cut(text: pd.Series, found: pd.Series) -> pd.DataFrame:
@@ -367,11 +365,10 @@ def removed(docs: DataFrame, key: str = "doc_id", text: str = "text", length: in
             rows.append((kept, len(said), gone, runs))
         return pd.DataFrame(rows, columns=["kept", "n_bytes", "n_removed", "n_spans"])
 
-    marked = docs.withColumns({"_doc": F.col(key).cast("long"), "_tag": _tag(text)})
-    return (
-        marked.join(stretches, ["_doc", "_tag"], "left").withColumn("_cut", cut(F.col(text).cast("string"), "_stretches"))
-        .select(*docs.columns, "_cut.*")
-    )
+    # Both joins read the same shuffled documents.
+    found = known.hint("merge").join(stretches, [key, "_tag"], "left").drop("_tag")
+    nameless = docs.filter(F.col(key).isNull()).withColumn("_stretches", F.lit(None).cast(stretches.schema["_stretches"].dataType))
+    return found.unionByName(nameless).withColumn("_cut", cut(F.col(text).cast("string"), "_stretches")).select(*docs.columns, "_cut.*")
 
 
 def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
