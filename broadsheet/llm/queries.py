@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from broadsheet.llm import bpe, leaks, near_copies, suffixes, toxicity
+from broadsheet.llm import bpe, leaks, licenses, near_copies, quality_rules, suffixes, toxicity
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -30,6 +30,14 @@ def op1_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies.classes(table(spark, sf_dir, "documents"))
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judged(table(spark, sf_dir, "documents"))
+
+
 def op7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.withColumn("item_id", F.col("item_id").cast("long"))
@@ -53,6 +61,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_near_copies": (op1_near_copies, None),
+    "op2_licenses": (op2_licenses, licenses.oracle_sql()),
+    "op3_quality_rules": (op3_quality_rules, quality_rules.oracle_sql()),
     "op7_leaks": (op7_leaks, None),
     "op8_bpe": (op8_bpe, None),
     "op9_suffixes": (op9_suffixes, None),
