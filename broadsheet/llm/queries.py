@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from broadsheet.llm import bpe, leaks, licenses, near_copies, quality_rules, suffixes, toxicity
+from broadsheet.llm import bpe, discriminant, languages, leaks, licenses, main_text, near_copies, quality_rules, suffixes, toxicity
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -38,6 +38,22 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(table(spark, sf_dir, "documents"))
 
 
+def op4_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = discriminant.scored(docs, table(spark, sf_dir, "labels"), fold(5) != 0)
+    return rows.select("doc_id", (fold(5) == 0).alias("held_out"), "score", (F.col("score") >= discriminant.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = main_text.extracted(table(spark, sf_dir, "pages"))
+    return rows.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op6_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = languages.predicted(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), fold(4) != 2)
+    return rows.select("doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def op7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.withColumn("item_id", F.col("item_id").cast("long"))
@@ -63,6 +79,9 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op1_near_copies": (op1_near_copies, None),
     "op2_licenses": (op2_licenses, licenses.oracle_sql()),
     "op3_quality_rules": (op3_quality_rules, quality_rules.oracle_sql()),
+    "op4_discriminant": (op4_discriminant, None),
+    "op5_main_text": (op5_main_text, None),
+    "op6_languages": (op6_languages, None),
     "op7_leaks": (op7_leaks, None),
     "op8_bpe": (op8_bpe, None),
     "op9_suffixes": (op9_suffixes, None),

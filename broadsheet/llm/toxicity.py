@@ -369,9 +369,9 @@ def score(docs: DataFrame, model: np.ndarray, scorer: Scorer, to: str = "score",
     return docs.withColumn(to, F.pandas_udf(run, "double")(F.col(text).cast("string")))
 
 
-def scored(spark: SparkSession, docs: DataFrame, labels: DataFrame, learn_from=None) -> DataFrame:
+def scored(spark: SparkSession, docs: DataFrame, labels: DataFrame, learn_from=None, to: str = "score") -> DataFrame:
     """Gathers the character model from all of ``docs``, learns from ``labels`` (those
     ``learn_from`` allows) and scores every row."""
     model = log_model(trigram_counts(docs))
     allowed = labels if learn_from is None else labels.filter(learn_from)
-    return score(docs, model, fit(docs, allowed, model))
+    return score(docs, model, fit(docs, allowed, model), to)
