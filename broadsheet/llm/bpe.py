@@ -51,8 +51,10 @@ class Vocabulary:
     """What a tokenizer file of kind BPE with word ends says, as plain tables."""
 
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as file:
-            said = json.load(file)
+        with open(path, "rb") as file:
+            raw = file.read()
+        self.digest = sha256(raw).hexdigest()
+        said = json.loads(raw)
         model = said["model"]
         self.end = model.get("end_of_word_suffix") or ""
         self.ids: dict[str, int] = model["vocab"]
@@ -213,15 +215,16 @@ class TrieEncoder:
         return out
 
 
-_encoders: dict[int, TrieEncoder] = {}
+_encoders: dict[str, TrieEncoder] = {}
 
 
 def _encoder(shared) -> TrieEncoder:
     """The encoder of this Python worker; its tables are built once."""
-    if shared.id not in _encoders:
+    vocabulary = shared.value
+    if vocabulary.digest not in _encoders:
         _encoders.clear()
-        _encoders[shared.id] = TrieEncoder(shared.value)
-    return _encoders[shared.id]
+        _encoders[vocabulary.digest] = TrieEncoder(vocabulary)
+    return _encoders[vocabulary.digest]
 
 
 def _groups(texts: list, size: int = 256) -> Iterator[list[str]]:
