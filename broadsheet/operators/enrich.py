@@ -49,6 +49,23 @@ def _reason(response: str | None, json_mode: bool) -> str | None:
     return None
 
 
+def _asked(model: Callable, values: list) -> list[tuple[object, str | None]]:
+    """Answer and error for each value. A call that fails or answers too few or too
+    many is repeated in halves, so only the values that fail alone are lost."""
+    if not values:
+        return []
+    try:
+        answers = list(model(values))
+        if len(answers) != len(values):
+            raise ValueError(f"{len(answers)} answers to {len(values)} inputs")
+        return [(answer, None) for answer in answers]
+    except Exception as error:  # a failing provider must not fail the job
+        if len(values) == 1:
+            return [(None, f"error: {error}")]
+        half = len(values) // 2
+        return _asked(model, values[:half]) + _asked(model, values[half:])
+
+
 def infer(rows: DataFrame, prompt: str, model: Infer, json_mode: bool = True,
           attempts: int = ATTEMPTS) -> DataFrame:
     """Adds response, attempts and rejects; response is NULL after the last failure."""
@@ -68,13 +85,8 @@ def infer(rows: DataFrame, prompt: str, model: Infer, json_mode: bool = True,
             for attempt in range(1, attempts + 1):
                 if not waiting:
                     break
-                try:
-                    answers = model([prompts[i] for i in waiting])
-                    error = None
-                except Exception as e:  # a failing provider must not fail the job
-                    answers, error = [None] * len(waiting), f"error: {e}"
                 retry = []
-                for i, answer in zip(waiting, answers):
+                for i, (answer, error) in zip(waiting, _asked(model, [prompts[i] for i in waiting]), strict=True):
                     used[i] = attempt
                     reason = error or _reason(answer, json_mode)
                     if reason is None:
@@ -220,7 +232,7 @@ def cached_translations(requests: DataFrame, cache: DataFrame, model_name: str,
 
 
 def embed(rows: DataFrame, texts: Sequence[str], vectors: Sequence[str], model: Embed) -> DataFrame:
-    """Adds one vector column per text column; a blank text has no vector."""
+    """Adds one vector column per text column; a blank text, or one the model fails on, has no vector."""
     kind = T.ArrayType(T.FloatType())
     schema = T.StructType([*rows.schema.fields, *[T.StructField(v, kind) for v in vectors]])
 
@@ -231,9 +243,8 @@ def embed(rows: DataFrame, texts: Sequence[str], vectors: Sequence[str], model:
                 values = batch[text].fillna("").tolist()
                 at = [i for i, v in enumerate(values) if v.strip()]
                 column: list = [None] * len(values)
-                if at:
-                    for i, found in zip(at, model([values[i] for i in at])):
-                        column[i] = found
+                for i, (found, _) in zip(at, _asked(model, [values[i] for i in at]), strict=True):
+                    column[i] = found
                 added[vector] = column
             yield batch.assign(**added)
 

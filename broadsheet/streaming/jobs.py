@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from broadsheet.functions import dates
@@ -24,27 +24,35 @@ def article_stream(spark: SparkSession, path: str, files_per_trigger: int = 50)
     return spark.readStream.schema(ARTICLES).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def deduplicated(stream: DataFrame, lookback: str = LOOKBACK) -> DataFrame:
-    """First row per uid; state is kept only for the lookback, older rows are not picked up."""
-    # A watermark needs an instant.
-    timed = stream.withColumn("event_time", dates.utc_instant(F.col("datetime")))
-    return timed.withWatermark("event_time", lookback).dropDuplicatesWithinWatermark(["uid"]).drop("event_time")
+def _arrival() -> Column:
+    """When a row came in, as an instant; rows that don't say count as coming in now."""
+    return F.coalesce(dates.utc_instant(F.col("ingested_at")), F.current_timestamp())
+
+
+def in_lookback(lookback: str = LOOKBACK) -> Column:
+    """Whether a row was published within the lookback before it came in; undated rows were."""
+    published = dates.utc_instant(F.col("datetime"))
+    return F.coalesce(published >= _arrival() - F.expr(f"INTERVAL {lookback}"), F.lit(True))
 
 
 def ingest_stream(stream: DataFrame, store: str, checkpoint: str, available_now: bool = True,
-                  lookback: str | None = LOOKBACK) -> StreamingQuery:
+                  lookback: str | None = LOOKBACK, left_out: str | None = None) -> StreamingQuery:
     """Appends unseen articles to the store; ``lookback=None`` is the historical backfill.
 
-    The checkpoint replaces a cursor file: a batch counts as done only after
+    What was published before the lookback is not picked up; it is measured
+    from each row's own arrival, so one wrong date cannot hold back others. ``left_out`` names a
+    folder for those rows. The checkpoint replaces a cursor file: a batch counts as done only after
     its write. A batch repeated after a failure finds its own rows stored.
     """
-    rows = stream if lookback is None else deduplicated(stream, lookback)
 
-    def write(batch: DataFrame, _: int) -> None:
-        once = top_per_group(batch, ["uid"], [F.asc("datetime"), F.asc("ingested_at"), F.asc("url")])
+    def write(batch: DataFrame, batch_id: int) -> None:
+        rows = batch if lookback is None else batch.filter(in_lookback(lookback))
+        once = top_per_group(rows, ["uid"], [F.asc("datetime"), F.asc("ingested_at"), F.asc("url")])
         ingest.append_articles(batch.sparkSession, once, store)
+        if lookback is not None and left_out is not None:
+            batch.filter(~in_lookback(lookback)).write.mode("overwrite").parquet(f"{left_out}/batch={batch_id}")
 
-    return _started(rows, write, checkpoint, available_now)
+    return _started(stream, write, checkpoint, available_now)
 
 
 def save_initial_searches(searches: DataFrame, articles: DataFrame, state: str, by: str = "datetime") -> None:
@@ -78,8 +86,12 @@ def alert_stream(stream: DataFrame, state: str, checkpoint: str, now: Callable[[
 
 
 def daily_counts(stream: DataFrame, lateness: str = "1 day") -> DataFrame:
-    """Articles per day, final once the watermark has passed the day."""
-    timed = stream.withColumn("event_time", dates.utc_instant(F.col("datetime")))
+    """Articles per day, final once the watermark has passed the day.
+
+    An article dated after its arrival counts on the day it arrived, so a wrong
+    date closes no day that is still open.
+    """
+    timed = stream.withColumn("event_time", F.least(dates.utc_instant(F.col("datetime")), _arrival()))
     counts = timed.withWatermark("event_time", lateness).groupBy(F.window("event_time", "1 day")).count()
     return counts.select(F.to_date(dates.utc_wall(F.col("window.start"))).alias("dt"), F.col("count").alias("cnt"))
 

@@ -111,19 +111,34 @@ def _dated(spark, rows):
     return align_schema(spark.createDataFrame(rows, "uid string, datetime timestamp_ntz"), ARTICLES).select(ARTICLES.names)
 
 
-def test_stream_ingest_is_idempotent_and_drops_late_rows(spark, tmp_path):
-    landing, store, progress = (str(tmp_path / n) for n in ("landing", "store", "progress"))
+def test_stream_ingest_is_idempotent_and_outlives_a_wrong_date(spark, tmp_path):
+    landing, store, progress, late = (str(tmp_path / n) for n in ("landing", "store", "progress", "late"))
     day = lambda d: datetime.datetime(2026, 1, d)
 
-    def run():
-        jobs.ingest_stream(jobs.article_stream(spark, landing), store, progress).awaitTermination()
+    def land(*rows):
+        _dated(spark, rows).withColumn("ingested_at", F.lit(day(22))).coalesce(1).write.mode("append").parquet(landing)
+        stream = jobs.article_stream(spark, landing)
+        jobs.ingest_stream(stream, store, progress, left_out=late).awaitTermination()
         return sorted(r.uid for r in spark.read.parquet(store).collect())
 
-    _dated(spark, [("1", day(20)), ("1", day(20)), ("2", day(19))]).coalesce(1).write.mode("append").parquet(landing)
-    assert run() == ["1", "2"]
-    _dated(spark, [("2", day(19)), ("3", day(21)), ("old", day(1))]).coalesce(1).write.mode("append").parquet(landing)
-    assert run() == ["1", "2", "3"]
-    assert run() == ["1", "2", "3"]
+    assert land(("a", day(20)), ("a", day(20)), ("undated", None)) == ["a", "undated"]
+    assert land(("future", datetime.datetime(2031, 1, 1))) == ["a", "future", "undated"]
+    assert land(("b", day(19)), ("a", day(20)), ("old", day(1))) == ["a", "b", "future", "undated"]
+    assert land(("c", day(21))) == ["a", "b", "c", "future", "undated"]
+    assert [r.uid for r in spark.read.parquet(late).collect()] == ["old"]
+
+
+def test_a_bad_prompt_fails_alone(spark):
+    def picky(prompts):
+        if "bad" in prompts:
+            raise RuntimeError("refused")
+        return ["{}" for _ in prompts][: 1 if len(prompts) > 3 else None]
+
+    frame = spark.createDataFrame([(p,) for p in ("a", "b", "bad", "c", "d", "e")], "prompt string").coalesce(1)
+    rows = {r.prompt: r for r in enrich.infer(frame, "prompt", picky).collect()}
+    assert [p for p, r in rows.items() if r.response is None] == ["bad"] and len(rows) == 6
+    vectors = enrich.embed(frame, ["prompt"], ["v"], lambda texts: [[1.0] for t in texts if t != "bad" or 1 / 0]).collect()
+    assert sorted(r.prompt for r in vectors if r.v is None) == ["bad"]
 
 
 def test_inference_retries_and_keeps_failures(spark):
