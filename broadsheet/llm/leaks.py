@@ -1,8 +1,8 @@
 """Documents that hold benchmark items: rare word n-grams as seeds, Smith-Waterman on words.
 
 Three-word runs of an item are its seeds. How many documents hold each is
-counted over the whole corpus, and the rarest half of an item's seeds look for it. Where a
-seed hits, the item is aligned locally with the words around, and the score, as a share
+counted over the whole corpus, and those look for it that no more than ``RARE`` times as many documents
+hold as the middle one of the item's seeds. Where a seed hits, the item is aligned locally with the words around, and the score, as a share
 of the score of a verbatim copy, tells copies (also edited ones: a fifth
 of the words changed leaves about two thirds) from chance.
 
@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 from broadsheet.llm.arrow_text import columns, per_row, row_blocks, scramble, words_of
 
 SEED = 3
+RARE = 8
 BLOCK_BYTES = 8 << 20
 MATCH, MISMATCH, GAP = 3, -2, -2
 THRESHOLD = 0.45
@@ -57,15 +58,18 @@ class Items:
         self.seeds, self.item = seeds[order], rows[at[order]]
         self.place = at[order] - self.bounds[self.item]
 
-    def keep_rarest(self, held: dict[int, int]) -> None:
-        """Keeps the rarer half of each item's seeds, given how many documents hold each."""
-        counts = np.array([held.get(int(s), 0) for s in self.seeds])
-        order = np.lexsort((self.seeds, counts, self.item))
-        item = self.item[order]
-        first = np.searchsorted(item, item)
-        sizes = np.bincount(item, minlength=len(self.bounds) - 1)
-        keep = np.zeros(len(order), bool)
-        keep[order] = np.arange(len(order)) - first < (sizes[item] + 1) // 2
+    def keep_rare(self, held: dict[int, int]) -> None:
+        """Drops seeds far more frequent than the middle one of their item, given how many documents hold each.
+
+        At least half of an item's seeds stay. The slack keeps copies from hiding
+        others: each copy adds to the counts of the seeds it has left.
+        """
+        counts = np.array([held.get(int(s), 0) for s in self.seeds], float)
+        order = np.lexsort((counts, self.item))
+        sizes = np.bincount(self.item, minlength=len(self.bounds) - 1)
+        first = np.cumsum(sizes) - sizes
+        middle = counts[order][np.minimum(first + sizes // 2, max(len(order) - 1, 0))] if len(order) else np.zeros(0)
+        keep = counts <= RARE * np.maximum(middle[self.item], 1) if len(order) else np.zeros(0, bool)
         self.seeds, self.item, self.place = self.seeds[keep], self.item[keep], self.place[keep]
 
 
@@ -192,7 +196,7 @@ def with_leaks(docs: DataFrame, items: DataFrame, to: str = "leaks", item_key: s
     for block in range(blocks):
         own = said.filter(F.pmod(F.xxhash64("name"), F.lit(blocks)) == block).orderBy("name", "said").collect()  # about BLOCK_BYTES
         table = Items([r["said"] for r in own])
-        table.keep_rarest(document_counts(docs, spark.sparkContext.broadcast(table), text))
+        table.keep_rare(document_counts(docs, spark.sparkContext.broadcast(table), text))
         shared = spark.sparkContext.broadcast((table, [r["name"] for r in own]))
 
         parts.append(_searcher(shared, least)(F.col(text).cast("string")))

@@ -324,7 +324,7 @@ def repeats(known: DataFrame, key: str, text: str, length: int = LENGTH, gram: i
     tag = F.shiftleft(F.shiftright("place", 48), 48).alias("_tag")
     open_spans = told.filter("NOT sure").select("bucket", F.col("doc").alias(key), tag, "place", "more")
     offset = f"int(place & {(1 << 48) - 1})"
-    with_bytes = open_spans.join(known.hint("merge"), [key, "_tag"]).select(
+    with_bytes = open_spans.join(known.select(key, "_tag", text).hint("merge"), [key, "_tag"]).select(
         "bucket", F.col(key).cast("long").alias("doc"), "place",
         F.expr(f"substring(cast(`{text}` AS binary), {offset} + 1, more + {length})").alias("bytes"),
     )

@@ -48,9 +48,9 @@ _LETTER = r"[^\W\d_]"
 _SIGN = r"[0-9@$!|+€*]"
 _DISGUISED = re.compile(
     # letters spaced out by one sign each
-    rf"(?<![\w@$!|+€]){_LETTER}([ .\-_])(?:{_LETTER}|[0-9@$!|+€])(?:\1(?:{_LETTER}|[0-9@$!|+€])){{2,}}(?![\w@$!|+€])"
+    rf"(?<![\w@$!|+€]){_LETTER}([ .\-_])(?:{_LETTER}|[0-9@$!|+€])(?:\1(?:{_LETTER}|[0-9@$!|+€])){{2,}}(?![\w@$|+€])"
     # a sign between letters, in front of two letters, or a digit behind three
-    rf"|(?<![\w@$!|+€])(?:{_SIGN}{{1,2}}{_LETTER}{{2}}|{_LETTER}+{_SIGN}{{1,2}}{_LETTER})(?:{_LETTER}|{_SIGN}(?={_LETTER}))*(?:[0-9$@+]{{1,2}}(?![\w@$!|+€*]))?"
+    rf"|(?<![\w@$!|+€])(?:{_SIGN}{{1,2}}{_LETTER}(?:{_LETTER}|{_SIGN}{_LETTER})|{_LETTER}+{_SIGN}{{1,2}}{_LETTER})(?:{_LETTER}|{_SIGN}(?={_LETTER}))*(?:[0-9$@+]{{1,2}}(?![\w@$!|+€*]))?"
     rf"|(?<![\w@$!|+€]){_LETTER}{{3,}}[0-9@$+](?![\w@$!|+€*])"
     # a letter three times
     rf"|(?<!\w){_LETTER}*?({_LETTER})\2\2{_LETTER}*(?!\w)"
