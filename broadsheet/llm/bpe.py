@@ -30,8 +30,8 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
-WORDS_KEPT = 300_000
-_SEAMS_KEPT = 1_000_000
+WORDS_KEPT = 100_000
+_SEAMS_KEPT = 250_000
 _ROWS = 128  # texts looked at together
 _NEVER = 1 << 30
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -85,7 +85,7 @@ class TrieEncoder:
         if not end:
             self._final = self._inner
         self._starts = {stem[:k] for table in (self._inner, self._final) for stem in table for k in range(1, len(stem) + 1)}
-        self._left, self._right = self._edges(0), self._edges(1)
+        self._edges: tuple[dict, dict] = ({}, {})
         self._seams: dict[tuple[int, int], bool] = {}
         self.known: dict[str, tuple[str, str]] = {}
 
@@ -102,27 +102,28 @@ class TrieEncoder:
             self._halves.setdefault(made, (*pair, rank))
         return parts == [token]
 
-    def _edges(self, side: int) -> dict[int, list[tuple[int, int]]]:
-        """For each token the pieces on its left (0) or right (1) edge, the smallest
+    def _edge(self, token: int, side: int) -> list[tuple[int, int]]:
+        """The pieces on the left (0) or right (1) edge of a token, the smallest
         first, each with the rank of the merge that takes it in."""
-        edges: dict[int, list[tuple[int, int]]] = {}
-        for token in self._text:
-            chain, piece, taken = [], token, _NEVER
+        known = self._edges[side].get(token)
+        if known is None:
+            known, piece, taken = [], token, _NEVER
             while True:
-                chain.append((piece, taken))
+                known.append((piece, taken))
                 if piece not in self._halves:
                     break
                 taken = self._halves[piece][2]
                 piece = self._halves[piece][side]
-            edges[token] = chain[::-1]
-        return edges
+            known.reverse()
+            self._edges[side][token] = known
+        return known
 
     def _may_follow(self, before: int, after: int) -> bool:
         """Whether merging keeps the seam between two tokens open until both are whole."""
         known = self._seams.get((before, after))
         if known is not None:
             return known
-        left, right, ranks = self._right[before], self._left[after], self._v.ranks
+        left, right, ranks = self._edge(before, 1), self._edge(after, 0), self._v.ranks
         i = j = 0
         while True:
             (a, a_taken), (b, b_taken) = left[i], right[j]
