@@ -5,6 +5,9 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F
 
 
@@ -41,6 +44,42 @@ def cosine_to(vector: Column, query: Sequence[float], stored_norm: Column | None
     return zero_if_undefined(checked)
 
 
+def batch_cosine_to(vector: Column, query: Sequence[float], stored_norm: Column | None = None) -> Column:
+    """As ``cosine_to``, one matrix product per Arrow batch.
+
+    Marked as not deterministic, so that a filter on the score reads it instead of computing it again.
+    """
+    wanted = np.asarray(query, np.float64)
+    size = float(np.sqrt(wanted @ wanted)) or 1.0
+
+    def scores(vectors: pa.Array, norms: np.ndarray | None) -> pa.Array:
+        out = np.zeros(len(vectors))
+        there = np.flatnonzero(vectors.is_valid().to_numpy(zero_copy_only=False))
+        found = vectors.drop_null()
+        if len(found) and not pc.all(pc.equal(pc.list_value_length(found), len(wanted))).as_py():
+            raise ValueError(f"vector length differs from query length {len(wanted)}")
+        rows = found.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(found), len(wanted))
+        lengths = np.sqrt(np.einsum("ij,ij->i", rows, rows)) if norms is None else norms[there]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            found_scores = rows @ wanted / (lengths * size)
+        out[there] = np.where(np.isfinite(found_scores), found_scores, 0.0)
+        return pa.array(out)
+
+    if stored_norm is None:
+
+        @F.arrow_udf("double")
+        def plain(vectors: pa.Array) -> pa.Array:
+            return scores(vectors, None)
+
+        return plain.asNondeterministic()(vector)
+
+    @F.arrow_udf("double")
+    def normed(vectors: pa.Array, norms: pa.Array) -> pa.Array:
+        return scores(vectors, norms.to_numpy(zero_copy_only=False).astype(np.float64))
+
+    return normed.asNondeterministic()(vector, stored_norm)
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two vector columns; an all-zero query side counts as norm 1."""
     length_b = norm(b)

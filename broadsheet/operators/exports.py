@@ -26,10 +26,16 @@ def result_rows(rows: DataFrame) -> DataFrame:
     return rows.select(*[c.alias(title) for c, title in zip(columns, RESULT_TITLES)])
 
 
-def result_export(articles: DataFrame, entities: DataFrame, request: search.SearchRequest) -> DataFrame:
-    """Export rows of a search: at most the page limit, never filtered by language."""
-    wide = search.SearchRequest(**{**request.__dict__, "language": None, "limit": search.MAX_LIMIT, "offset": 0})
-    return result_rows(search.results(articles, entities, wide))
+def result_export(articles: DataFrame, entities: DataFrame, request: search.SearchRequest,
+                  limit: int | None = search.MAX_LIMIT) -> DataFrame:
+    """Export rows of a search, never filtered by language: the first ``limit``, or all of them for ``None``.
+
+    All rows come unordered, for ``write_csv``; a limited export is a page in its order.
+    """
+    wide = {**request.__dict__, "language": None, "offset": 0}
+    if limit is None:
+        return result_rows(search.every_result(articles, entities, search.SearchRequest(**wide)))
+    return result_rows(search.results(articles, entities, search.SearchRequest(**{**wide, "limit": limit})))
 
 
 def _quoted(value: Column) -> Column:

@@ -48,8 +48,9 @@ def new_items(raw: DataFrame, stored: DataFrame, arrival: str = "arrival", mail:
 
 
 def with_word_cap(raw: DataFrame, cap: int = textclean.WORD_CAP) -> DataFrame:
+    """Adds model_text, the first ``cap`` words that a model gets to see, and truncated; the body stays whole."""
     capped = raw.withColumn("_capped", textclean.capped_words(F.col("body"), cap))
-    return capped.withColumns({"body": F.col("_capped.text"), "truncated": F.col("_capped.truncated")}).drop("_capped")
+    return capped.withColumns({"model_text": F.col("_capped.text"), "truncated": F.col("_capped.truncated")}).drop("_capped")
 
 
 def append_articles(spark: SparkSession, rows: DataFrame, path: str) -> None:

@@ -76,7 +76,7 @@ def similarity(request: SearchRequest, columns: Sequence[str] = ()) -> Column:
         return F.lit(1.0)
     name = norm_column(request.space)
     stored = F.col(name) if name in columns else None
-    return vectors.cosine_to(F.col(vector_column(request.space)), request.query_vector, stored)
+    return vectors.batch_cosine_to(F.col(vector_column(request.space)), request.query_vector, stored)
 
 
 def content_types(requested: str | None) -> list[str]:
@@ -86,7 +86,7 @@ def content_types(requested: str | None) -> list[str]:
 
 
 def predicates(request: SearchRequest, columns: Sequence[str] = ()) -> list[Column]:
-    """Cheap, pushable conditions first; text and vector work last.
+    """Cheap, pushable conditions first, text last; the threshold is for ``hits``.
 
     A table partitioned by ``day`` also gets the dates as partition filters.
     """
@@ -112,8 +112,6 @@ def predicates(request: SearchRequest, columns: Sequence[str] = ()) -> list[Colu
         found.append(F.col("detected_language") == request.language.lower())
     if request.is_keyword:
         found.append(keyword.matches(request.text, request.space))
-    elif request.threshold > 0:
-        found.append(similarity(request, columns) >= request.threshold)
     return found
 
 
@@ -121,7 +119,10 @@ def hits(articles: DataFrame, request: SearchRequest) -> DataFrame:
     """Every matching article with its similarity."""
     columns = articles.columns
     matching = articles.filter(functools.reduce(operator.and_, predicates(request, columns)))
-    return matching.withColumn("similarity", similarity(request, columns))
+    scored = matching.withColumn("similarity", similarity(request, columns))
+    if request.is_keyword or request.threshold <= 0:
+        return scored
+    return scored.filter(F.col("similarity") >= request.threshold)
 
 
 def total(found: DataFrame) -> DataFrame:
@@ -142,7 +143,7 @@ def gap_filled(days: DataFrame) -> DataFrame:
 def _order(request: SearchRequest) -> list[Column]:
     if request.is_keyword or request.sort_by == "date":
         return [F.desc("datetime"), F.asc("uid")]
-    return [F.round("similarity", 6).desc(), F.asc("uid")]
+    return [F.desc("similarity"), F.asc("uid")]
 
 
 def page(found: DataFrame, request: SearchRequest) -> DataFrame:
@@ -179,13 +180,14 @@ def entity_arrays(counts: DataFrame) -> DataFrame:
     )
 
 
-def with_entities(rows: DataFrame, entities: DataFrame) -> DataFrame:
-    """Adds ``entities`` to a materialised result page.
+def with_entities(rows: DataFrame, entities: DataFrame, is_page: bool = True) -> DataFrame:
+    """Adds ``entities`` to materialised results.
 
-    Only the page's own articles are aggregated. A page has at most MAX_LIMIT
-    rows, which is what bounds the broadcast of its uids.
+    Only their own articles are aggregated. A page has at most MAX_LIMIT
+    rows, which is what bounds the broadcast of its uids; other results are joined by shuffle.
     """
-    wanted = F.broadcast(rows.select("uid").distinct())
+    uids = rows.select("uid").distinct()
+    wanted = F.broadcast(uids) if is_page else uids.hint("merge")
     arrays = entity_arrays(entity_counts(entities.join(wanted, "uid", "left_semi")))
     empty = F.array().cast("array<struct<name:string,type:string,mentions:bigint>>")
     return rows.join(arrays, "uid", "left").withColumn("entities", F.coalesce("entities", empty))
@@ -205,13 +207,22 @@ def results(articles: DataFrame, entities: DataFrame, request: SearchRequest) ->
     The page is materialised once (at most MAX_LIMIT rows), as looking up its
     entities would otherwise scan and score the articles a second time.
     """
-    rows = cut_lineage(page(hits(articles, request), request).select(
+    rows = cut_lineage(_shown(page(hits(articles, request), request)))
+    return with_entities(rows, entities).orderBy(*_order(request))
+
+
+def every_result(articles: DataFrame, entities: DataFrame, request: SearchRequest) -> DataFrame:
+    """All matching articles in the form of a result page, in no order and without limit."""
+    return with_entities(cut_lineage(_shown(hits(articles, request))), entities, is_page=False)
+
+
+def _shown(found: DataFrame) -> DataFrame:
+    return found.select(
         *RESULT_COLUMNS,
         "similarity",
         (F.coalesce(F.col("raw_email"), F.lit("")) != "").alias("has_raw_email"),
         "flag_status",
-    ))
-    return with_entities(rows, entities).orderBy(*_order(request))
+    )
 
 
 def search(articles: DataFrame, entities: DataFrame, request: SearchRequest) -> dict[str, DataFrame]:

@@ -146,7 +146,7 @@ def raw_exports(spark, sf):
     return exports.raw_exports(b.articles(spark, sf, vectors=False, labels=False))
 
 
-_PAGE_SQL = "ORDER BY round({cos}, 6) DESC, uid LIMIT {n} OFFSET {o}"
+_PAGE_SQL = "ORDER BY {cos} DESC, uid LIMIT {n} OFFSET {o}"
 _ENTITY_LIST = (
     "lists AS (SELECT uid, string_agg(canonical_name || ':' || entity_type, ';' "
     "ORDER BY canonical_name || ':' || entity_type) AS entity_list FROM entities GROUP BY uid)"

@@ -238,7 +238,7 @@ def linked_text_join(spark, sf):
     posts = _documents(spark, sf).select(
         "doc_id", F.col("text").alias("body"), F.concat(F.lit("https://x.example/"), "source").alias("url"),
     ).join(_pages(spark, sf).select(F.col("page_id").alias("doc_id"), F.col("url").alias("target_link")), "doc_id", "left")
-    texts = _pages(spark, sf).filter("page_id % 2 = 0").select("url", F.col("html").alias("text"))
+    texts = _pages(spark, sf).select("url", F.col("html").alias("text"))
     return fediverse.with_linked_text(posts, texts).select("doc_id", "url", "body")
 
 
@@ -391,8 +391,8 @@ SELECT md5('https://x.example/@me/' || doc_id) AS uid, 'Fediverse: @' || source
   ELSE clean END AS body, 'fediverse' AS platform
 FROM (SELECT *, trim({_FIRST_LINE}) AS t FROM cleaned)"""),
     "linked_text_join": (linked_text_join, """
-SELECT d.doc_id, CASE WHEN p.page_id % 2 = 0 THEN p.url ELSE 'https://x.example/' || source END AS url,
- CASE WHEN p.page_id % 2 = 0 THEN '[Fediverse Update]: ' || text || chr(10) || chr(10) || '[Scraped Article Content from ' || p.url || ']:' || chr(10) || html
+SELECT d.doc_id, CASE WHEN p.html IS NOT NULL THEN p.url ELSE 'https://x.example/' || source END AS url,
+ CASE WHEN p.html IS NOT NULL THEN '[Fediverse Update]: ' || text || chr(10) || chr(10) || '[Scraped Article Content from ' || p.url || ']:' || chr(10) || html
   ELSE text END AS body FROM documents d LEFT JOIN pages p ON p.page_id = d.doc_id"""),
     "telegram_extract": (telegram_extract, f"""
 WITH m AS (

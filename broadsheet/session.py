@@ -43,9 +43,18 @@ def build_session(app_name: str = "broadsheet", master: str | None = None) -> Sp
 
 _shipped: set[str] = set()
 
+#: Rows of an Arrow batch: bounds what a Python worker holds at a time where rows carry whole texts.
+BATCH_ROWS = 2_000
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 
 def ship_package(spark: SparkSession) -> None:
-    """Makes this package importable in Python workers, wherever the driver was started."""
+    """Makes this package importable in Python workers, wherever the driver was started.
+
+    Lowers the size of Arrow batches where the session has Spark's own default.
+    """
+    if spark.conf.get(_BATCH_ROWS) == "10000":
+        spark.conf.set(_BATCH_ROWS, BATCH_ROWS)
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return

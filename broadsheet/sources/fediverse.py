@@ -34,7 +34,7 @@ def posts_with_links(feeds: DataFrame) -> DataFrame:
     rows = feed_source.feed_rows(feeds).withColumn("account", textclean.fediverse_handle(F.col("handle")))
     account = F.col("account")
     return rows.filter(account.isNotNull()).select(
-        textclean.link_uid(F.col("link")).alias("uid"),
+        feed_source.entry_uid(F.col("handle")).alias("uid"),
         dates.parse_date(F.col("date_text")).alias("datetime"),
         F.concat(F.lit("Fediverse: @"), account["username"], F.lit("@"), account["domain"]).alias("source"),
         account["username"].alias("sender"),

@@ -68,8 +68,8 @@ def _part_text(part: Message) -> str:
         return payload.decode("utf-8", "replace")
 
 
-def read_mail(raw: str, prefer: str, pick: str) -> tuple:
-    message = email.message_from_bytes(raw.encode("utf-8", "surrogateescape"))
+def read_mail(raw: str | bytes, prefer: str, pick: str) -> tuple:
+    message = email.message_from_bytes(raw if isinstance(raw, bytes) else raw.encode("utf-8", "surrogateescape"))
     parts = [p for p in message.walk() if p.get_content_disposition() != "attachment"]
     plain = [p for p in parts if p.get_content_type() == "text/plain"]
     marked = [p for p in parts if p.get_content_type() == "text/html"]
@@ -79,7 +79,8 @@ def read_mail(raw: str, prefer: str, pick: str) -> tuple:
     chosen = next((group[at] for group in order if group), None)
     body, url = "", None
     if chosen is None:
-        body = re.split(r"\r?\n\r?\n", raw, maxsplit=1)[-1]
+        whole = raw.decode("utf-8", "replace") if isinstance(raw, bytes) else raw
+        body = re.split(r"\r?\n\r?\n", whole, maxsplit=1)[-1]
     elif chosen.get_content_type() == "text/html":
         body, url = html_mail_text(_part_text(chosen), pick)
     else:
@@ -97,7 +98,7 @@ def mail_parts(raw: Column, prefer: str = "html", pick: str = "last") -> Column:
 
 
 def mail_articles(mails: DataFrame, prefer: str = "html", pick: str = "last") -> DataFrame:
-    """Mails (uid, content) to raw articles."""
+    """Mails (uid, content as bytes or text) to raw articles."""
     if prefer not in ("html", "plain") or pick not in ("last", "first"):
         raise ValueError("prefer is 'html' or 'plain', pick is 'last' or 'first'")
     rows = mails.withColumn("m", mail_parts(F.col("content"), prefer, pick))
@@ -112,6 +113,6 @@ def mail_articles(mails: DataFrame, prefer: str = "html", pick: str = "last") ->
         F.col("m.browser_url").alias("url"),
         textclean.squish_ends(body).alias("body"),
         F.lit("email").alias("platform"),
-        F.col("content").alias("raw_source"),
+        F.make_valid_utf8(F.col("content").cast("string")).alias("raw_source"),
         F.lit(None).cast("string").alias("image_url"),
     )

@@ -92,6 +92,34 @@ def test_rss_and_atom(spark):
     assert rows["https://a.example/alt"].datetime == datetime.datetime(2026, 5, 21, 10, 30)
 
 
+def test_mail_in_another_charset_and_broken_bytes(spark, tmp_path):
+    head = b"Subject: s\r\nFrom: A <a@b.example>\r\nContent-Type: text/plain; charset=iso-8859-1\r\nContent-Transfer-Encoding: 8bit\r\n\r\n"
+    (tmp_path / "1.eml").write_bytes(head + "caf\xe9".encode("latin-1"))
+    (tmp_path / "2.eml").write_bytes(b"\xff\xfe no header")
+    files = landing.read_payload_files(spark, str(tmp_path), "email", "inbox").withColumn("uid", landing.file_uid(F.col("path")))
+    rows = {r.uid: r for r in mail.mail_articles(files).collect()}
+    assert rows["1"].body == "caf\xe9" and len(rows) == 2
+
+
+def test_feed_files_are_read_by_their_charset(spark, tmp_path):
+    xml = '<?xml version="1.0" encoding="ISO-8859-1"?><rss><item><title>\xe9t\xe9</title><link>https://x.example/1</link></item></rss>'
+    (tmp_path / "a.xml").write_bytes(xml.encode("latin-1"))
+    (tmp_path / "b.xml").write_bytes(xml.replace("ISO-8859-1", "UTF-8").replace("/1<", "/2<").encode())
+    landed = landing.read_payload_files(spark, str(tmp_path), "rss", "feed")
+    assert [r.title for r in feeds.feed_articles(landed).collect()] == ["\xe9t\xe9"] * 2
+
+
+def test_feed_items_without_link_or_with_html_entities(spark):
+    xml = """<rss><item><title>A</title><guid>g-1</guid></item><item><title>B</title><pubDate>x</pubDate></item>
+<item><title>C&nbsp;&eacute; R&D &amp; &unknown;</title><link>https://x.example/3</link><description><![CDATA[<p>&nbsp;a & b</p>]]></description></item>
+<item><title>D</link></item></rss>"""
+    landed = _feeds(spark, xml)
+    rows = {(r.title or "")[0]: r for r in feeds.feed_articles(landed).collect()}
+    assert set(rows) == {"A", "B", "C"} and len({r.uid for r in rows.values()} - {None}) == 3
+    assert rows["C"].title == "C\xa0\xe9 R&D & &unknown;" and rows["C"].body == "a & b" and rows["C"].url == "https://x.example/3"
+    assert [r.xml for r in feeds.unreadable_items(landed).collect()] == ["<item><title>D</link></item>"]
+
+
 def test_subscription_feed_prefers_full_content(spark):
     xml = RSS.replace("<description>only text", "<content:encoded><![CDATA[<b>full</b> &lt;x]]></content:encoded><description>only text")
     rows = {r.url: r.body for r in feeds.subscription_feed_articles(_feeds(spark, xml, "not xml <item>")).collect()}
