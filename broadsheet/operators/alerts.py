@@ -19,12 +19,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from broadsheet.functions import dates
-from broadsheet.operators.ranking import top_per_group
 from broadsheet.operators.search import vector_column
 from broadsheet.session import cut_lineage
 
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
-_ROWS_PER_PRODUCT = 2048
+#: Articles of one matrix product, fewer where the searches are many: a product has at most so many cells.
+_ROWS_PER_PRODUCT, _CELLS = 2048, 4_000_000
 _EPOCH = "1970-01-01 00:00:00"
 
 
@@ -81,9 +81,10 @@ def _load(block: DataFrame) -> _Searches | None:
 def _scored_slices(searches: _Searches, batches: Iterator[pa.RecordBatch]):
     """(uids, titles, microseconds, cosine matrix) of at most _ROWS_PER_PRODUCT articles."""
     width = searches.vectors.shape[1]
+    step = max(1, min(_ROWS_PER_PRODUCT, _CELLS // len(searches.ids)))
     for batch in batches:
-        for start in range(0, batch.num_rows, _ROWS_PER_PRODUCT):
-            part = batch.slice(start, _ROWS_PER_PRODUCT)
+        for start in range(0, batch.num_rows, step):
+            part = batch.slice(start, step)
             vectors = part.column("vector")
             lengths = vectors.value_lengths().to_numpy(zero_copy_only=False)
             if (lengths != width).any():
@@ -210,13 +211,14 @@ def matches(searches: DataFrame, articles: DataFrame, by: str = "datetime",
     columns = [("n", T.LongType()), ("at", T.LongType()), ("similarity", T.DoubleType()),
                ("uid", T.StringType()), ("title", T.StringType())]
     partial = _per_block(searches, articles, by, _count_matches, columns, max_bytes)
-    counts = Window.partitionBy("id")
-    merged = partial.withColumn("new_results_count", F.sum("n").over(counts))
-    order = [F.desc("at"), F.desc("similarity"), F.asc("uid")]
-    newest = top_per_group(merged, ["id"], order)
+    # One row per search and task goes in; aggregates merge before the shuffle, unlike a window.
+    place = F.struct((-F.col("at")).alias("at"), (-F.col("similarity")).alias("similarity"), "uid")
+    newest = partial.groupBy("id").agg(
+        F.sum("n").alias("new_results_count"), F.min_by(F.struct("uid", "title", "at"), place).alias("newest")
+    )
     return newest.select(
-        "id", "new_results_count", F.col("uid").alias("newest_uid"), F.col("title").alias("newest_title"),
-        dates.utc_wall(F.timestamp_micros("at")).alias("newest_at"),
+        "id", "new_results_count", F.col("newest.uid").alias("newest_uid"), F.col("newest.title").alias("newest_title"),
+        dates.utc_wall(F.timestamp_micros("newest.at")).alias("newest_at"),
     )
 
 

@@ -124,30 +124,41 @@ def cached_translation(spark, sf):
     return filled.select("doc_id", "is_hit", "translation")
 
 
+def cached_translation_new(spark, sf):
+    """The rows that the cache gains."""
+    return enrich.cached_translations(_requests(spark, sf), _cache(spark, sf), "model-a", stand_ins.second_translator)[1]
+
+
 def infer_stage(spark, sf):
     rows = _documents(spark, sf).select("doc_id", F.col("text").alias("prompt"))
-    done = enrich.infer(rows, "prompt", stand_ins.analyst)
+    done = enrich.infer(rows, "prompt", stand_ins.HesitantAnalyst())
     return done.select("doc_id", "attempts", F.col("response").isNotNull().alias("accepted"),
                        F.array_join(F.col("rejects.reason"), "|").alias("reasons"))
 
 
 def audit_log(spark, sf):
     rows = _documents(spark, sf).select(F.col("text").alias("prompt"))
-    done = enrich.infer(rows, "prompt", stand_ins.analyst)
+    done = enrich.infer(rows, "prompt", stand_ins.HesitantAnalyst())
     calls = enrich.audit_rows(done, "stand-in", "analyst", "prompt", F.lit("2024-02-01 00:00:00"))
     return calls.groupBy("day", "provider", "model", "rejected_reason").agg(F.count("*").alias("calls"))
 
 
 def embed_stage(spark, sf):
-    rows = _analysed(spark, sf).select("doc_id", "summary_en", "summary_orig", "topics", "themes")
-    done = enrich.embedded(rows, stand_ins.hashing_embedder)
-    return done.select("doc_id", F.size("english_embedding").alias("dimension"),
-                       F.round(F.aggregate("english_embedding", F.lit(0.0), lambda t, x: t + x * x), 3).alias("squared_norm"))
+    rows = b.articles(spark, sf, vectors=False, labels=False).select(
+        "uid", F.col("summary").alias("summary_en"), F.col("original_language_summary").alias("summary_orig"), "topics", "themes"
+    )
+    done = enrich.embedded(rows, stand_ins.digest_embedder)
+    return done.select("uid", _listed("english_embedding").alias("en"), _listed("multilingual_embedding").alias("ml"))
+
+
+def _listed(vector):
+    return F.array_join(F.transform(vector, lambda x: x.cast("int").cast("string")), ",")
 
 
 def reembed(spark, sf):
-    done = enrich.reembedded(b.articles(spark, sf, labels=False), stand_ins.hashing_embedder)
-    return done.select("uid", F.size("english_embedding").alias("en"), F.size("multilingual_embedding").alias("ml"))
+    done = enrich.reembedded(b.articles(spark, sf, labels=False), stand_ins.digest_embedder)
+    first = [F.round(F.get(v, F.lit(0)).cast("double"), 5).alias(f"first_{n}") for v, n in (("english_embedding", "en"), ("multilingual_embedding", "ml"))]
+    return done.select("uid", F.size("english_embedding").alias("en"), F.size("multilingual_embedding").alias("ml"), *first)
 
 
 def judge_stage(spark, sf):
@@ -279,7 +290,17 @@ _NOTE = "'" + enrich.IMAGE_NOTE.replace("\n", "' || chr(10) || '") + "'"
 _DONE_TEXTS = "doc_id % 7 = 0 AND NOT no_text"
 
 _KINDS = f"""SELECT doc_id, CASE WHEN length(text) % 11 = 0 THEN '{enrich.EMPTY}' WHEN length(text) % 7 = 0 THEN '{enrich.BAD_JSON}'
- WHEN length(text) % 5 = 0 THEN '{enrich.REPEATS}' END AS kind FROM documents"""
+ WHEN length(text) % 5 = 0 THEN '{enrich.REPEATS}' END AS kind, length(text) % 3 = 0 AS hesitated FROM documents"""
+
+
+def _bytes_sql(code: str) -> str:
+    return "[" + ", ".join(f"CAST('0x' || substr({code}, {1 + 2 * i}, 2) AS INTEGER)" for i in range(8)) + "]"
+
+
+_EMBEDDED = f"""texts AS (SELECT *, chr(10) || 'Topics: ' || array_to_string(topics, ', ') || chr(10) || 'Themes: ' || array_to_string(themes, ', ') AS tail,
+  CASE WHEN trim(coalesce(original_language_summary, '')) = '' THEN summary ELSE original_language_summary END AS original FROM articles),
+ coded AS (SELECT *, length(summary || tail) % 13 <> 0 AND length(original || tail) % 13 <> 0 AS made,
+  {_bytes_sql("md5(summary || tail)")} AS new_en, {_bytes_sql("md5(original || tail)")} AS new_ml FROM texts)"""
 _SCORES = ", ".join(
     f"round(avg(1 + CAST('0x' || substr(code, {1 + 2 * i}, 2) AS INTEGER) % 5), 2) AS avg_{score}"
     for i, score in enumerate(enrich.SCORES)
@@ -316,14 +337,21 @@ FROM documents WHERE doc_id % 10 <> 2"""),
 SELECT doc_id, hit AS is_hit, CASE WHEN hit THEN 'cached ' || text WHEN length(text) % 3 <> 0 THEN 'R:' || md5(text) END AS translation
 FROM (SELECT *, {_KEY} IN {_HIT} AS hit FROM documents)"""),
     "infer_stage": (infer_stage, f"""
-SELECT doc_id, CASE WHEN kind IS NULL THEN 1 ELSE 3 END AS attempts, kind IS NULL AS accepted,
- CASE WHEN kind IS NULL THEN '' ELSE kind || '|' || kind || '|' || kind END AS reasons FROM ({_KINDS})"""),
+SELECT doc_id, CASE WHEN kind IS NOT NULL THEN 3 WHEN hesitated THEN 2 ELSE 1 END AS attempts, kind IS NULL AS accepted,
+ CASE WHEN kind IS NULL THEN CASE WHEN hesitated THEN '{enrich.EMPTY}' ELSE '' END ELSE kind || '|' || kind || '|' || kind END AS reasons FROM ({_KINDS})"""),
     "audit_log": (audit_log, f"""
-SELECT DATE '2024-02-01' AS day, 'stand-in' AS provider, 'analyst' AS model, kind AS rejected_reason,
- CAST(sum(CASE WHEN kind IS NULL THEN 1 ELSE 3 END) AS BIGINT) AS calls FROM ({_KINDS}) GROUP BY kind"""),
-    "embed_stage": (embed_stage,
-        "SELECT doc_id, 64 AS dimension, CAST(1.0 AS DOUBLE) AS squared_norm FROM documents WHERE doc_id % 10 <> 2"),
-    "reembed": (reembed, "SELECT CAST(doc_id AS VARCHAR) AS uid, 64 AS en, 64 AS ml FROM documents"),
+SELECT DATE '2024-02-01' AS day, 'stand-in' AS provider, 'analyst' AS model, kind AS rejected_reason, CAST(sum(n) AS BIGINT) AS calls
+FROM (SELECT kind, CASE WHEN kind IS NULL THEN 1 ELSE 3 END AS n FROM ({_KINDS})
+ UNION ALL SELECT '{enrich.EMPTY}', 1 FROM ({_KINDS}) WHERE kind IS NULL AND hesitated) GROUP BY kind"""),
+    "cached_translation_new": (cached_translation_new, f"""
+SELECT DISTINCT {_KEY} AS cache_key, 'R:' || md5(text) AS translation FROM documents
+WHERE {_KEY} NOT IN {_HIT} AND length(text) % 3 <> 0"""),
+    "embed_stage": (embed_stage, with_views("articles", f""", {_EMBEDDED}
+SELECT uid, array_to_string(new_en, ',') AS en, array_to_string(new_ml, ',') AS ml FROM coded WHERE made""")),
+    "reembed": (reembed, with_views("articles", f""", {_EMBEDDED}
+SELECT uid, CASE WHEN made THEN 8 ELSE len(english_embedding) END AS en, CASE WHEN made THEN 8 ELSE len(multilingual_embedding) END AS ml,
+ round(CASE WHEN made THEN CAST(new_en[1] AS DOUBLE) ELSE CAST(english_embedding[1] AS DOUBLE) END, 5) AS first_en,
+ round(CASE WHEN made THEN CAST(new_ml[1] AS DOUBLE) ELSE CAST(multilingual_embedding[1] AS DOUBLE) END, 5) AS first_ml FROM coded""")),
     "judge_stage": (judge_stage, with_views("articles", f"""
 , p AS (SELECT detected_language AS lang, md5('TEXT A (Original Language):' || chr(10) || original_language_summary || chr(10) || chr(10)
   || 'TEXT B (English Translation):' || chr(10) || summary) AS code FROM articles

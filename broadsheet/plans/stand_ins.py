@@ -42,6 +42,28 @@ def analyst(prompts: list[str]) -> list[str | None]:
     return answers
 
 
+class HesitantAnalyst:
+    """The analyst, who has no answer the first time to usable prompts whose length three divides."""
+
+    def __init__(self):
+        self._times: dict[str, int] = {}
+
+    def __call__(self, prompts: list[str]) -> list[str | None]:
+        hesitates = {p for p in prompts if len(p) % 3 == 0 and all(len(p) % k for k in (5, 7, 11))}
+        for prompt in hesitates:
+            self._times[prompt] = self._times.get(prompt, 0) + 1
+        return [
+            None if p in hesitates and self._times[p] % 2 else answer for p, answer in zip(prompts, analyst(prompts), strict=True)
+        ]
+
+
+def digest_embedder(texts: list[str]) -> list[list[float]]:
+    """The first eight bytes of each text's digest; refuses texts whose length divides by 13, and calls that hold one."""
+    if any(len(t) % 13 == 0 for t in texts):
+        raise ValueError("a text was refused")
+    return [[float(b) for b in bytes.fromhex(_digest(t))[:8]] for t in texts]
+
+
 def judge(prompts: list[str]) -> list[str]:
     """Scores from the first four bytes of the prompt's digest."""
     answers = []
