@@ -173,6 +173,27 @@ def test_stored_norms_give_the_same_similarity(spark, sf):
     assert table.filter(F.abs(plain - stored) > 1e-12).count() == 0
 
 
+def test_batch_cosine_equals_the_expression(spark, sf):
+    query = bindings.query_vector(spark, sf)
+    table = bindings.table(spark, sf, "embeddings").withColumn("n", vectors.norm(F.col("embedding")))
+    vector = F.col("embedding")
+    scored = table.select(vectors.cosine_to(vector, query).alias("a"), vectors.batch_cosine_to(vector, query).alias("b"),
+                          vectors.batch_cosine_to(vector, query, F.col("n")).alias("c"))
+    assert scored.filter("abs(a - b) > 1e-12 or abs(a - c) > 1e-12").count() == 0
+    few = spark.createDataFrame([("a", [0.0, 0.0]), ("b", None), ("c", [3.0, 4.0]), ("d", [1.0, None])], "uid string, v array<float>")
+    got = dict(few.select("uid", vectors.batch_cosine_to(F.col("v"), [3.0, 4.0])).collect())
+    assert got == {"a": 0.0, "b": 0.0, "c": 1.0, "d": 0.0}
+    with pytest.raises(PySparkException):
+        few.select(vectors.batch_cosine_to(F.col("v"), [1.0, 2.0, 3.0])).collect()
+
+
+def test_a_search_scores_each_article_once(spark, sf):
+    request = SearchRequest(query_vector=bindings.query_vector(spark, sf), threshold=0.1)
+    found = search.page(search.hits(bindings.articles(spark, sf, labels=False), request), request)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
 def test_filters_and_columns_reach_the_scan(spark, tmp_path):
     path = str(tmp_path / "articles")
     _articles(spark).write.parquet(path)
