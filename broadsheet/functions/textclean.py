@@ -101,7 +101,9 @@ def is_article_link(url: Column) -> Column:
 
 
 def links(html: Column) -> Column:
-    return F.regexp_extract_all(html, F.lit('href="([^"]+)"'), F.lit(1))
+    """Addresses of the anchors in order, in either kind of quotes, with ``&amp;`` resolved."""
+    quoted = F.regexp_extract_all(html, F.lit(r"""(?i)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]+"|'[^']+')"""), F.lit(1))
+    return F.transform(quoted, lambda q: F.replace(F.substring(q, F.lit(2), F.length(q) - 2), F.lit("&amp;"), F.lit("&")))
 
 
 def first_article_link(html: Column) -> Column:

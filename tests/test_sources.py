@@ -120,6 +120,11 @@ def test_feed_items_without_link_or_with_html_entities(spark):
     assert [r.xml for r in feeds.unreadable_items(landed).collect()] == ["<item><title>D</link></item>"]
 
 
+def test_links_are_those_of_anchors(spark):
+    html = """<link href="https://l.example/x"><a class="c" href='https://a.example/1?a=1&amp;b=2'>x</a><A HREF="https://b.example">y</A><a data-href="z">"""
+    assert _one(spark, html, textclean.links) == ["https://a.example/1?a=1&b=2", "https://b.example"]
+
+
 def test_subscription_feed_prefers_full_content(spark):
     xml = RSS.replace("<description>only text", "<content:encoded><![CDATA[<b>full</b> &lt;x]]></content:encoded><description>only text")
     rows = {r.url: r.body for r in feeds.subscription_feed_articles(_feeds(spark, xml, "not xml <item>")).collect()}
