@@ -99,6 +99,17 @@ def test_near_copies_match_brute_force(spark):
     assert got == {i: find(i) for i in texts}
 
 
+def test_near_copies_with_much_common_boilerplate_are_found(spark):
+    """Families that share most of their text with all others meet foreign heads in all their buckets."""
+    shared, texts = _words(256, 40), {}
+    for g in range(60):
+        own = _words(44, 4_000 + g)
+        edited = [w if k % 7 != 3 else f"edit{g}x{k}" for k, w in enumerate(own)]
+        texts[2 * g], texts[2 * g + 1] = " ".join(shared + own), " ".join(shared + edited)
+    got = {r.doc_id: r.class_id for r in near_copies.classes(_docs(spark, [(i, t, "en", "a") for i, t in texts.items()])).collect()}
+    assert got == {i: i - i % 2 for i in texts}
+
+
 def test_alignment_in_the_band_is_the_longest_common_subsequence():
     draw = random.Random(5)
     for _ in range(50):
