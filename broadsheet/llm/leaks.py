@@ -1,10 +1,10 @@
-"""Documents that hold benchmark items: rare word n-grams as seeds, Smith-Waterman on words.
+"""Documents that hold benchmark items: word n-grams as seeds, Smith-Waterman on words.
 
-Three-word runs of an item are its seeds. How many documents hold each is
-counted over the whole corpus, and those look for it that no more than ``RARE`` times as many documents
-hold as the middle one of the item's seeds. Where a seed hits, the item is aligned locally with the words around, and the score, as a share
+Three-word runs of an item are its seeds. Wherever one hits, however many documents hold it, the item is aligned
+locally with the words around, and the score, as a share
 of the score of a verbatim copy, tells copies (also edited ones: a fifth
-of the words changed leaves about two thirds) from chance.
+of the words changed leaves about two thirds) from chance. Places with too few of the item's words
+for the threshold, in whatever order, are left out before; no alignment there could reach it.
 
 Test items go to the tasks in blocks of at most ``BLOCK_BYTES`` of text, one pass each, so nothing that grows
 with the corpus is broadcast and documents are never shuffled.
@@ -25,7 +25,6 @@ from pyspark.sql import DataFrame, functions as F
 from broadsheet.llm.arrow_text import columns, per_row, row_blocks, scramble, words_of
 
 SEED = 3
-RARE = 8
 BLOCK_BYTES = 8 << 20
 MATCH, MISMATCH, GAP = 3, -2, -2
 THRESHOLD = 0.45
@@ -58,20 +57,6 @@ class Items:
         self.seeds, self.item = seeds[order], rows[at[order]]
         self.place = at[order] - self.bounds[self.item]
 
-    def keep_rare(self, held: dict[int, int]) -> None:
-        """Drops seeds far more frequent than the middle one of their item, given how many documents hold each.
-
-        At least half of an item's seeds stay. The slack keeps copies from hiding
-        others: each copy adds to the counts of the seeds it has left.
-        """
-        counts = np.array([held.get(int(s), 0) for s in self.seeds], float)
-        order = np.lexsort((counts, self.item))
-        sizes = np.bincount(self.item, minlength=len(self.bounds) - 1)
-        first = np.cumsum(sizes) - sizes
-        middle = counts[order][np.minimum(first + sizes // 2, max(len(order) - 1, 0))] if len(order) else np.zeros(0)
-        keep = counts <= RARE * np.maximum(middle[self.item], 1) if len(order) else np.zeros(0, bool)
-        self.seeds, self.item, self.place = self.seeds[keep], self.item[keep], self.place[keep]
-
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[float, int, int]:
     """Best local alignment: score as a share of a verbatim copy's, first and last word in ``text``."""
@@ -99,6 +84,13 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[float, int, int]:
     return best[0] / (MATCH * max(len(item), 1)), best[1], best[2]
 
 
+def _shared(item: np.ndarray, text: np.ndarray) -> int:
+    """How many words of ``item`` are anywhere in ``text``: no alignment matches more."""
+    if len(item) * len(text) > 1 << 16:
+        return int(np.isin(item, text).sum())
+    return int((item[:, None] == text).any(1).sum())
+
+
 def _hits(rows: np.ndarray, words: np.ndarray, items: Items) -> tuple[np.ndarray, ...]:
     """Row, word, item and place in the item of every seed found."""
     at, seeds = runs(rows, words)
@@ -131,7 +123,10 @@ def _found(rows: np.ndarray, words: np.ndarray, count: int, items: Items, least:
         while k < len(row) and row[k] == r and item[k] == i and begin[k] <= high:
             low, high = min(low, begin[k]), max(high, end[k])
             k += 1
-        share, first, last = align(items.words[items.bounds[i] : items.bounds[i + 1]], words[low:high])
+        mine = items.words[items.bounds[i] : items.bounds[i + 1]]
+        if _shared(mine, words[low:high]) < least * len(mine) - 1e-9:
+            continue
+        share, first, last = align(mine, words[low:high])
         if share >= least:
             base = int(low - bounds[r])
             hit = {"item": int(i), "score": share, "first_word": base + first, "last_word": base + last}
@@ -150,27 +145,6 @@ def _word_blocks(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.nd
         yield last - first, rows, rolling.of(starts, ends)
 
 
-def document_counts(docs: DataFrame, shared, text: str = "text") -> dict[int, int]:
-    """How many documents hold each seed; no more numbers than the block of items has seeds."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds = np.unique(shared.value.seeds)
-        total = np.zeros(len(seeds), np.int64)
-        for batch in batches if len(seeds) else ():
-            for _, rows, words in _word_blocks(batch):
-                at, found = runs(rows, words)
-                k = np.minimum(np.searchsorted(seeds, found), len(seeds) - 1)
-                hit = seeds[k] == found
-                once = np.unique(rows[at[hit]].astype(np.int64) * len(seeds) + k[hit])
-                np.add.at(total, once % len(seeds), 1)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seeds[some].view(np.int64)), pa.array(total[some])], names=["seed", "n"])
-
-    rows = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "seed long, n long")
-    summed = rows.groupBy("seed").agg(F.sum("n").alias("n")).collect()
-    return {int(np.int64(r["seed"]).view(np.uint64)): r["n"] for r in summed}
-
-
 def _searcher(shared, least: float):
     @F.pandas_udf("array<struct<item_id: string, score: double, first_word: long, last_word: long>>")
     def search(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -196,7 +170,6 @@ def with_leaks(docs: DataFrame, items: DataFrame, to: str = "leaks", item_key: s
     for block in range(blocks):
         own = said.filter(F.pmod(F.xxhash64("name"), F.lit(blocks)) == block).orderBy("name", "said").collect()  # about BLOCK_BYTES
         table = Items([r["said"] for r in own])
-        table.keep_rare(document_counts(docs, spark.sparkContext.broadcast(table), text))
         shared = spark.sparkContext.broadcast((table, [r["name"] for r in own]))
 
         parts.append(_searcher(shared, least)(F.col(text).cast("string")))

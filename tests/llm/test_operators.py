@@ -242,6 +242,14 @@ def test_leaks_find_verbatim_and_edited_copies(spark, odd, empty):
     assert leaks.leaks(empty, items).count() == 0 and leaks.leaks(odd, items.limit(0)).count() == 0
 
 
+def test_leaks_find_edited_copies_that_many_documents_hold(spark):
+    item = _words(40, 11)
+    edited = " ".join(w if k % 4 != 3 else "changed" for k, w in enumerate(item))
+    docs = _docs(spark, [(k, f"{' '.join(_words(30, 700 + k))} {edited}", "en", "a") for k in range(12)] + [(50, " ".join(_words(90, 60)), "en", "a")])
+    items = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    assert sorted(r.doc_id for r in leaks.leaks(docs, items).collect()) == list(range(12))
+
+
 # --- 8 byte pairs
 
 
