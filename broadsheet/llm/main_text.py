@@ -4,8 +4,10 @@ Markup is stripped to lines, one for each block of the page, and each line weigh
 much as its text, unless it belongs to what surrounds an article (menus, headers, footers,
 sidebars, notices, adverts, forms, comments) or is mostly links. The weights are summed over sliding
 windows of ``WINDOW`` lines: where the sum surges from nothing a stretch begins, where it
-dives back to nothing it ends. The stretch with the most text is the article; its
-lines with weight are its text. Pages that mark an article or main part are looked at within it.
+dives back to nothing it ends. The stretch with the most text is the article, together with stretches that
+have text in the same container, and those that only an advert, list or form inside that container cuts off. Its
+lines with weight are its text, and paragraphs of links that stand in the container between them. Pages that mark
+an article or main part are looked at within it.
 
 Defined cases: null and empty pages, and pages without text, have the empty text; markup left open runs
 to the end of the page; of stretches with equally much text the first is taken; repeated rows are read each on its own.
@@ -42,13 +44,17 @@ _AROUND_NAMES = re.compile(
     r"share|sharing|social|related|recommended|more-stories|widget|toolbar|pagination|pager|copyright|legal|disclaimer|complementary|contentinfo)(?:$|[\s_-]|\d)", re.I,
 )
 _WITHIN = frozenset(("article", "main"))
+#: Parts of a text; all others contain texts.
+_PARTS = frozenset("address blockquote caption center dd dl dt figcaption figure h1 h2 h3 h4 h5 h6 hr legend li ol p pre section summary ul".split())
 
 
-def lines_of(html: str) -> list[tuple[str, bool, bool, int]]:
-    """Lines of a page: text, whether it surrounds an article, whether it is within one, length of its links."""
-    lines: list[tuple[str, bool, bool, int]] = []
-    stack: list[tuple[str, bool]] = []  # open elements that matter, and whether they surround
+def lines_of(html: str) -> list[tuple[str, bool, bool, int, int, bool]]:
+    """Lines of a page: text, whether it surrounds an article, whether it is within one, length of its links,
+    number of its container (that of the whole surrounding element), whether it is in a list."""
+    lines: list[tuple[str, bool, bool, int, int, bool]] = []
+    stack: list[tuple[str, bool, int]] = []  # open elements that matter, whether they surround, container outside
     around = within = links = 0
+    home = opened = 0
     pieces: list[str] = []
     linked = 0
 
@@ -56,7 +62,8 @@ def lines_of(html: str) -> list[tuple[str, bool, bool, int]]:
         nonlocal linked
         text = " ".join(unescape("".join(pieces)).split())
         if text:
-            lines.append((text, around > 0, within > 0, linked))
+            outside = next((x[2] for x in stack if x[1]), home) if around else home
+            lines.append((text, around > 0, within > 0, linked, outside, any(x[0] == "li" for x in stack)))
         pieces.clear()
         linked = 0
 
@@ -84,20 +91,23 @@ def lines_of(html: str) -> list[tuple[str, bool, bool, int]]:
         if token.group(2):
             if any(x[0] == name for x in stack):
                 while True:
-                    gone, was = stack.pop()
+                    gone, was, home = stack.pop()
                     around -= was
                     within -= gone in _WITHIN
                     if gone == name:
                         break
             continue
         if name in ("p", "li") and stack and stack[-1][0] == name:
-            _, was = stack.pop()
+            _, was, home = stack.pop()
             around -= was
         marks = token.group(4)
         named = " ".join("".join(x) for x in _NAMED.findall(marks)) if marks else ""
         # A heading inside an article belongs to it.
         surrounds = (name in AROUND and not (name == "header" and within)) or bool(named and name not in ("body", "html") and name not in _WITHIN and _AROUND_NAMES.search(named))
-        stack.append((name, surrounds))
+        stack.append((name, surrounds, home))
+        if name not in _PARTS:
+            opened += 1
+            home = opened
         around += surrounds
         within += name in _WITHIN
     close()
@@ -108,9 +118,9 @@ def main_text(html: str | None) -> str:
     lines = lines_of(html or "")
     if not lines:
         return ""
-    marked = any(w and not a for _, a, w, _ in lines)
+    marked = any(w and not a for _, a, w, *_ in lines)
     weights = np.array([
-        0 if a or (marked and not w) or (not marked and k > _MOSTLY_LINKS * len(t)) else len(t) for t, a, w, k in lines
+        0 if a or (marked and not w) or (not marked and k > _MOSTLY_LINKS * len(t)) else len(t) for t, a, w, k, *_ in lines
     ], float)
     # Sum over the window that begins at each line.
     sums = np.convolve(weights, np.ones(WINDOW))[WINDOW - 1 :]
@@ -120,12 +130,27 @@ def main_text(html: str | None) -> str:
     if not len(surges):
         return ""
     if marked:  # all stretches within the article or main part
-        begin, end = surges[0], dives[-1]
-    else:
-        totals = np.concatenate([[0.0], np.cumsum(weights)])
-        best = int((totals[np.minimum(dives, len(weights))] - totals[surges]).argmax())
-        begin, end = surges[best], dives[best]
-    return "\n\n".join(lines[k][0] for k in range(begin, min(end, len(lines))) if weights[k] > 0)
+        return "\n\n".join(x[0] for x, weight in zip(lines, weights, strict=True) if weight > 0)
+    dives = np.minimum(dives, len(lines))
+    totals = np.concatenate([[0.0], np.cumsum(weights)])
+    best = int((totals[dives] - totals[surges]).argmax())
+    said: dict[int, float] = {}
+    for k in range(surges[best], dives[best]):
+        said[lines[k][4]] = said.get(lines[k][4], 0) + weights[k]
+    main = max(said, key=said.get)
+    keep = [any(weights[k] > 0 and lines[k][4] == main for k in range(i, j)) for i, j in zip(surges, dives, strict=True)]
+    keep[best] = True
+    own = [np.flatnonzero(weights[i:j]) + i for i, j in zip(surges, dives, strict=True)]
+    # Across what surrounds inside the container, forwards and backwards.
+    for order in (range(1, len(keep)), range(len(keep) - 2, -1, -1)):
+        for k in order:
+            other = k - 1 if order.step > 0 else k + 1
+            low, high = min(k, other), max(k, other)
+            if keep[other] and not keep[k]:
+                keep[k] = all(lines[x][1] and lines[x][4] == main for x in range(own[low][-1] + 1, own[high][0]))
+    kept = np.concatenate([x for x, wanted in zip(own, keep, strict=True) if wanted])
+    linked = [k for k in range(kept[0], kept[-1]) if not weights[k] and not lines[k][1] and lines[k][4] == main and not lines[k][5]]
+    return "\n\n".join(lines[k][0] for k in sorted([*kept.tolist(), *linked]))
 
 
 def extracted(pages: DataFrame, html: str = "html", to: str = "text") -> DataFrame:

@@ -225,6 +225,19 @@ def test_main_text_keeps_the_article():
     assert main_text.main_text("<article>a <") == "a <"
 
 
+def test_main_text_goes_on_behind_what_interrupts_it():
+    first, second = ([f"{x} sentence {k} of the story itself." for k in range(n)] for x, n in (("First", 5), ("Second", 3)))
+    said = lambda lines: "".join(f"<p>{x}</p>" for x in lines)
+    aside = "<aside><h3>Related</h3><ul>" + "<li><a href=/r>Another story</a></li>" * 5 + "</ul></aside>"
+    around = "<ul class=menu><li>A<li>B<li>C</ul><div>{}</div><ul><li><a href=/>x</a><li><a href=/>y</a><li><a href=/>z</a></ul><div><p>Some words below.</p></div>"
+    assert main_text.main_text(around.format(said(first) + aside + said(second))) == "\n\n".join(first + second)
+    parts = f"<div>{said(first)}</div>{aside}<div>{said(second)}</div>"
+    assert main_text.main_text(around.format(parts + said(["End."]))).startswith("\n\n".join(first))
+    linked = "<p><a href=/s>A source named in a paragraph of links</a></p>"
+    got = main_text.main_text(around.format(said(first) + linked + said(second)))
+    assert got == "\n\n".join([*first, "A source named in a paragraph of links", *second])
+
+
 # --- 7 leaks
 
 
