@@ -46,15 +46,17 @@ _COST_SIGN, _COST_KEPT, _COST_DOUBLED, _COST_SINGLED = 1.0, 8.0, 1.5, 0.5
 
 _LETTER = r"[^\W\d_]"
 _SIGN = r"[0-9@$!|+€*]"
+_ANY = rf"(?:{_LETTER}|{_SIGN})"
 _DISGUISED = re.compile(
-    # letters spaced out by one sign each
-    rf"(?<![\w@$!|+€]){_LETTER}([ .\-_])(?:{_LETTER}|[0-9@$!|+€])(?:\1(?:{_LETTER}|[0-9@$!|+€])){{2,}}(?![\w@$|+€])"
-    # a sign between letters, in front of two letters, or a digit behind three
-    rf"|(?<![\w@$!|+€])(?:{_SIGN}{{1,2}}{_LETTER}(?:{_LETTER}|{_SIGN}{_LETTER})|{_LETTER}+{_SIGN}{{1,2}}{_LETTER})(?:{_LETTER}|{_SIGN}(?={_LETTER}))*(?:[0-9$@+]{{1,2}}(?![\w@$!|+€*]))?"
-    rf"|(?<![\w@$!|+€]){_LETTER}{{3,}}[0-9@$+](?![\w@$!|+€*])"
+    # letters and signs spaced out by one sign each
+    rf"(?<![\w@$!|+€]){_ANY}([ .\-_]){_ANY}(?:\1{_ANY})+(?![\w@$|+€])"
+    # words that mix letters with signs
+    rf"|(?<![\w@$!|+€])(?:{_SIGN}+{_LETTER}|{_LETTER}+(?:{_SIGN}+{_LETTER}|[0-9@$+]|\*\*)){_ANY}*"
     # a letter three times
     rf"|(?<!\w){_LETTER}*?({_LETTER})\2\2{_LETTER}*(?!\w)"
 )
+#: Signs behind a word that belong to the sentence.
+_BEHIND = re.compile(r"(?:[!|€]|(?<!\*)\*(?!\*))+\Z")
 _LONGEST = 60
 
 
@@ -112,10 +114,14 @@ def log_model(counts: np.ndarray) -> np.ndarray:
 
 def restore(word: str, model: np.ndarray) -> str:
     """The likeliest letters behind a disguised word: Viterbi over its lattice."""
-    letters = re.sub(r"[ .\-_]", "", word.lower())[:_LONGEST]
-    runs = [(m.group(1), len(m.group(0))) for m in re.finditer(r"(.)\1*", letters, re.S)]
-    paths = {(0, 0): (0.0, "")}
+    letters = re.sub(r"[ .\-_]", "", word.lower())
+    # A masked letter is one each; all else may be repeated.
+    runs = [(m.group(0)[0], len(m.group(0))) for m in re.finditer(r"\*|(.)\1*", letters, re.S)]
+    paths: dict = {(0, 0): (0.0, None)}  # score, and the pieces chosen as a linked list
     for sign, length in runs:
+        if sign == "*":
+            paths = _any_letter(paths, model)
+            continue
         options: list[tuple[str, float]] = []
         if sign.isalpha():
             options = [(sign, _COST_SINGLED * (length > 1)), (sign * 2, _COST_DOUBLED)] if length > 1 else [(sign, 0.0)]
@@ -135,9 +141,31 @@ def restore(word: str, model: np.ndarray) -> str:
                     total += float(model[a, b, k])
                     a, b = b, k
                 if (a, b) not in best or total > best[a, b][0]:
-                    best[a, b] = (total, said + piece)
+                    best[a, b] = (total, (said, piece))
         paths = best or paths
-    return max((score + float(model[a, b, 0]), said) for (a, b), (score, said) in paths.items())[1]
+    ends = [(score + float(model[a, b, 0]), said) for (a, b), (score, said) in paths.items()]
+    top = max(score for score, _ in ends)
+    return max(_joined(said) for score, said in ends if score == top)
+
+
+def _any_letter(paths: dict, model: np.ndarray) -> dict:
+    """The best paths to each two classes after a masked letter."""
+    scores = np.full((CLASSES, CLASSES), -np.inf)
+    for (a, b), (score, _) in paths.items():
+        scores[a, b] = score
+    letters = STANDS_FOR["*"]
+    seconds = sorted({b for _, b in paths})
+    total = scores[:, seconds, None] + model[:, seconds, 1 : len(letters) + 1]
+    before, best = total.argmax(0), total.max(0) - _COST_SIGN
+    return {(b, k + 1): (float(best[j, k]), (paths[int(before[j, k]), b][1], c)) for j, b in enumerate(seconds) for k, c in enumerate(letters)}
+
+
+def _joined(said: tuple | None) -> str:
+    pieces = []
+    while said is not None:
+        said, piece = said
+        pieces.append(piece)
+    return "".join(reversed(pieces))
 
 
 def _mask(characters: str) -> np.ndarray:
@@ -164,13 +192,14 @@ def suspects(data: np.ndarray) -> np.ndarray:
         return a[3 + k : 3 + k + n]
 
     found = at(sign, 0) & at(letter, 1)
-    end = ~(at(letter, 1) | at(sign, 1))
-    found |= at(letter, -1) & at(letter, -2) & at(letter, -3) & at(_IS_TAIL[d], 0) & (end | (at(_IS_TAIL[d], 1) & ~at(letter, 2) & ~at(sign, 2)))
+    found |= at(letter, -1) & (at(_IS_TAIL[d], 0) | ((at(d, 0) == ord("*")) & (at(d, 1) == ord("*"))))
+    found |= (at(d, 0) == 0xE2) & (at(d, 1) == 0x82) & (at(d, 2) == 0xAC)  # the euro sign
     found |= at(letter, 0) & (at(low, 0) == at(low, 1)) & (at(low, 1) == at(low, 2))
     found |= (at(d, 0) >= 0xC3) & (at(d, 0) == at(d, 2)) & (at(d, 2) == at(d, 4)) & (at(d, 1) == at(d, 3)) & (at(d, 3) == at(d, 5))
     either = letter | sign
-    gap = at(_IS_GAP[d], 1) & (at(d, 1) == at(d, 3)) & (at(d, 3) == at(d, 5))
-    found |= gap & at(letter, 0) & ~at(either, -1) & at(either, 2) & at(either, 4) & at(either, 6)
+    gap = at(_IS_GAP[d], 1) & at(either, 0) & at(either, 2)
+    found |= gap & (at(d, 1) == at(d, 3)) & at(either, 4)
+    found |= gap & (at(d, 1) == at(d, 4)) & (at(d, 2) >= 0xC3)  # a letter of two bytes
     return np.flatnonzero(found)
 
 
@@ -182,8 +211,16 @@ class Restorer:
 
     def _one(self, match: re.Match) -> str:
         word = match.group(0)
-        if len(word) > 2 * _LONGEST:
+        behind = _BEHIND.search(word)
+        if behind:
+            return self._undone(word[: behind.start()]) + behind.group(0)
+        return self._undone(word)
+
+    def _undone(self, word: str) -> str:
+        if not any(c.isalpha() for c in word):
             return word
+        if len(word) > 2 * _LONGEST:  # not kept
+            return restore(word, self._model)
         said = self._known.get(word)
         if said is None:
             if len(self._known) > 100_000:

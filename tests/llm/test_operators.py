@@ -200,6 +200,19 @@ def test_disguises_are_undone():
     assert undo("hello 2024, the 3.5!!! $$$") == "hello 2024, the 3.5!!! $$$"
 
 
+def test_disguises_of_every_shape_are_undone():
+    counts = np.zeros((toxicity.CLASSES,) * 3, np.int64)
+    for word in ("idiot", "stupid", "ass", "asshole", "shit", "yourself", "hello", "the") * 50:
+        c = np.concatenate([[0, 0], toxicity._classes_of(word), [0]])
+        np.add.at(counts, (c[:-2], c[1:-1], c[2:]), 1)
+    undo = toxicity.Restorer(toxicity.log_model(counts))
+    assert undo("1d10t @$$hole y0ur53lf a$$ 5h1+ the") == "idiot asshole yourself ass shit the"
+    assert undo("$ h i t") == "shit" and undo("hello, a s s!") == "hello, ass!" and undo("€l") != "€l"
+    assert len(undo("s***t")) == 5 and undo("s***t").isalpha() and undo("st***d") == "stupid"
+    assert undo("stu" + 70 * "u" + "pid") == undo("stu" + 300 * "u" + "pid") == "stupid"
+    assert undo("hello 1 2 3 the 4.5.6") == "hello 1 2 3 the 4.5.6"
+
+
 @pytest.mark.parametrize("apply", [
     lambda s, d, l: discriminant.scored(d.select("doc_id", "text"), l), lambda s, d, l: languages.predicted(d.select("doc_id", "text", "lang")),
     lambda s, d, l: toxicity.scored(s, d, l),
