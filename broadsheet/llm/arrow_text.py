@@ -12,6 +12,16 @@ import numpy as np
 import pyarrow as pa
 
 BLOCK_BYTES = 1 << 20
+
+
+def unused(names: list[str], wish: str) -> str:
+    """A column name that none of ``names`` clashes with."""
+    taken = {n.lower() for n in names}
+    while wish.lower() in taken:
+        wish += "_"
+    return wish
+
+
 _ODD = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_ODD, -1, 1 << 64)
 

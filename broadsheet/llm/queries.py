@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from broadsheet.llm import bpe, discriminant, languages, leaks, licenses, main_text, near_copies, quality_rules, suffixes, toxicity
+from broadsheet.llm import (
+    bpe, discriminant, fill_middle, languages, leaks, licenses, main_text, near_copies, pieces, quality_rules, suffixes, toxicity, variants
+)
 
-TOKENIZER = "word_bpe_49k.json"
+TOKENIZER, PIECES = "word_bpe_49k.json", "piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,10 +22,10 @@ def fold(parts: int, key: str = "doc_id") -> Column:
     return F.crc32(F.col(key).cast("string").cast("binary")) % parts
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(TOKENIZER)
+    return public_tokenizers.path(name)
 
 
 def op1_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,6 +77,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(table(spark, sf_dir, "documents"), tokenizer_path(PIECES))
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(table(spark, sf_dir, "documents"))
+
+
+def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_near_copies": (op1_near_copies, None),
     "op2_licenses": (op2_licenses, licenses.oracle_sql()),
@@ -86,4 +100,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op8_bpe": (op8_bpe, None),
     "op9_suffixes": (op9_suffixes, None),
     "op10_toxicity": (op10_toxicity, None),
+    "op11_pieces": (op11_pieces, None),
+    "op12_fill_middle": (op12_fill_middle, fill_middle.oracle_sql()),
+    "op13_variants": (op13_variants, None),
 }
