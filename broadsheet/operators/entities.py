@@ -104,7 +104,6 @@ def similar_pairs(left: DataFrame, right: DataFrame, threshold: float = THRESHOL
             F.col("keys.mask").alias(f"{side}_mask"), F.char_length("word").alias(f"{side}_length"),
         )
 
-    # Exploded keys are far larger than the planner's estimate, so never broadcast them.
     prefix = F.col("join_key").bitwiseAND(F.lit(7).cast("long")).cast("int")
     # Exploded keys are far larger than the planner's estimate, so never broadcast them.
     met = keyed(left, "left").join(keyed(right, "right").hint("merge"), "join_key").filter(
@@ -162,6 +161,9 @@ def resolve(mention_rows: DataFrame, lexicon: DataFrame, threshold: float = THRE
     first = cut_lineage(first.join(known, "key", "left"))
     answered = first.filter("canonical_name is not null").select("key", "canonical_name")
     open_names = first.filter("canonical_name is null").drop("canonical_name").withColumnRenamed("key", "word")
+    if open_names.isEmpty():  # the usual case of a small batch: the lexicon knows all names
+        entities = usable.join(answered, "key").select("uid", "entity_type", "raw_name", "canonical_name")
+        return entities, open_names.select(F.col("name").alias("raw_name"), F.col("name").alias("canonical_name"), F.col("type").alias("entity_type"))
 
     existing = cut_lineage(fuzzy_lookup(open_names, lexicon, threshold))
     leaders = _new_canonicals(open_names, existing, threshold)
@@ -217,10 +219,14 @@ def _new_canonicals(open_names: DataFrame, existing: DataFrame, threshold: float
     return matched.select("type", "word", F.col("name").alias("canonical_name"), "similarity")
 
 
-def add_to_lexicon(lexicon: DataFrame, additions: DataFrame, now: Column) -> DataFrame:
-    """Insert-or-ignore by exact raw name; the first of several additions wins."""
+def lexicon_additions(lexicon: DataFrame, additions: DataFrame, now: Column) -> DataFrame:
+    """Rows the lexicon gains: insert-or-ignore by exact raw name; the first of several additions wins."""
     fresh = additions.join(lexicon.select("raw_name"), "raw_name", "left_anti")
-    fresh = fresh.groupBy("raw_name").agg(
+    return fresh.groupBy("raw_name").agg(
         F.min(F.struct("canonical_name", "entity_type")).alias("v")
     ).select("raw_name", "v.canonical_name", "v.entity_type", now.cast("timestamp_ntz").alias("created_at"))
-    return lexicon.unionByName(fresh)
+
+
+def add_to_lexicon(lexicon: DataFrame, additions: DataFrame, now: Column) -> DataFrame:
+    """The lexicon with its additions."""
+    return lexicon.unionByName(lexicon_additions(lexicon, additions, now))

@@ -54,8 +54,13 @@ def with_word_cap(raw: DataFrame, cap: int = textclean.WORD_CAP) -> DataFrame:
 
 
 def append_articles(spark: SparkSession, rows: DataFrame, path: str) -> None:
-    """Adds rows not stored yet, with vector norms, partitioned by publication day."""
-    dated = search.with_norms(rows).withColumn("day", F.to_date("datetime"))
+    """Adds rows not stored yet, with vector norms, partitioned by publication day.
+
+    Of rows with one uid the earliest is stored; rows without a uid can't be recognised again and are left out.
+    (``store.Store`` commits articles with their entities, and looks up ids without reading all of them.)
+    """
+    once = top_per_group(rows.filter("uid IS NOT NULL"), ["uid"], [F.asc("datetime"), F.asc("ingested_at"), F.asc("url")])
+    dated = search.with_norms(once).withColumn("day", F.to_date("datetime"))
     try:
         stored = spark.read.parquet(path)
     except Exception as error:  # first write: nothing is there yet

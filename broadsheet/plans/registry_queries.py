@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from broadsheet.operators import exports, ingest, registry
+from broadsheet.operators import exports, ingest, ingest_job, known_ids, registry
+from broadsheet.operators.store import Store
 from broadsheet.plans import bindings as b
+from broadsheet.plans import stand_ins
 from broadsheet.plans.bindings import with_views
 from broadsheet.schemas import ARTICLES, align_schema
 from broadsheet.session import shared_folder, widen
@@ -121,6 +123,44 @@ def append_sink(spark, sf):
     return spark.read.parquet(folder).select("uid", "datetime", "title", "summary", "content_type")
 
 
+def known_id_lookup(spark, sf):
+    """New mail by the filters of two batches of stored ids, and the ids of the buckets these name."""
+    layout = known_ids.Layout(buckets=256, bits=1 << 14)
+    stored = _stored(spark, sf)
+    halves = [stored.filter(F.length("uid") % 2 == k) for k in (0, 1)]
+    filters = known_ids.merged([known_ids.filters(h, layout) for h in halves])
+    raw = _raw(spark, sf).select("uid", "platform", "arrival")
+    spellings = raw.select(F.explode(F.array("uid", F.concat(F.lit(ingest.OLD_MAIL_PREFIX), "uid"))).alias("uid"))
+    buckets = known_ids.buckets_to_read(spellings, filters, layout)
+    known = known_ids.known(stored, layout).filter(F.col("bucket").isin(buckets))
+    return ingest.unseen(raw, known, mail=True)
+
+
+def ingest_pipeline(spark, sf):
+    """Articles, entities and lexicon after two batches that overlap, the second one run twice, and a run that stopped half-way."""
+    store = Store(spark, _fresh_folder(spark, "ingested"))
+    models = ingest_job.Models(stand_ins.reporter, stand_ins.hashing_embedder)
+    at = F.lit("2024-06-01 00:00:00")
+    doc = F.col("doc_id")
+    items = widen(b.table(spark, sf, "documents")).select(
+        doc.cast("string").alias("uid"), (F.expr(b.START) + b._minutes(doc * 37 % 43200)).alias("datetime"), "source",
+        F.lit("desk").alias("sender"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"),
+        F.concat(F.lit("https://a.example/"), doc.cast("string")).alias("url"), F.col("text").alias("body"), F.lit("rss").alias("platform"),
+    )
+    copies = items.withColumns({"datetime": F.col("datetime") + b._minutes(F.lit(5)), "body": F.lit("a later copy")})
+    ingest_job.run_batch(store, "first", [items.filter("cast(uid as long) % 3 <> 0")], models, at)
+    for _ in range(2):
+        ingest_job.run_batch(store, "second", [items, copies], models, at)
+    articles, _ = ingest_job.analysed(copies.withColumns({"uid": F.concat(F.lit("x"), "uid"), "raw_source": F.lit(""), "image_url": F.lit("")}), models, at)
+    store.stage("third", articles, ingest_job.ORDER, at)  # never published
+    store.compact("folded")
+    return (
+        store.read("articles").select(F.lit("article").alias("kind"), "uid", F.col("summary").alias("name"), F.col("source").alias("other"))
+        .unionByName(store.read("entities").select(F.lit("entity").alias("kind"), "uid", F.col("raw_name").alias("name"), F.col("canonical_name").alias("other")))
+        .unionByName(store.read("lexicon").select(F.lit("lexicon").alias("kind"), F.lit("").alias("uid"), F.col("raw_name").alias("name"), F.col("canonical_name").alias("other")))
+    )
+
+
 def word_cap(spark, sf):
     rows = widen(b.table(spark, sf, "documents"))
     rows = rows.select(F.col("doc_id").cast("string").alias("uid"), F.col("text").alias("body"))
@@ -132,9 +172,10 @@ def mail_cursor(spark, sf):
 
 
 def mail_ids_union(spark, sf):
-    rows = b.table(spark, sf, "orders")
-    # A year's listing is a partition of the landed ids: all of them are one scan.
-    return ingest.all_mail_ids([rows.select(F.col("o_custkey").alias("mail_id"))])
+    """One listing for each year the orders have; a customer may be in several."""
+    rows = b.table(spark, sf, "orders").select(F.year("o_orderdate").alias("year"), F.col("o_custkey").alias("mail_id"))
+    years = [r["year"] for r in rows.select("year").distinct().sort("year").collect()]
+    return ingest.all_mail_ids([rows.filter(F.col("year") == y).select("mail_id") for y in years])
 
 
 def align_columns(spark, sf):
@@ -263,7 +304,20 @@ SELECT CAST(doc_id AS VARCHAR) AS uid, text AS body,
  len(words) > 400 AS truncated FROM w"""),
     "mail_cursor": (mail_cursor, f"WITH {_RAW} SELECT max(TRY_CAST(uid AS BIGINT)) AS last_uid FROM raw"),
     "mail_ids_union": (mail_ids_union,
-        "SELECT DISTINCT o_custkey AS mail_id FROM orders"),
+        "SELECT mail_id FROM (SELECT DISTINCT year(o_orderdate) AS y, o_custkey AS mail_id FROM orders) GROUP BY mail_id"),
+    "known_id_lookup": (known_id_lookup, f"""WITH {_RAW} SELECT uid, platform, arrival FROM raw
+WHERE uid NOT IN (SELECT uid FROM stored) AND 'body' || uid NOT IN (SELECT uid FROM stored)"""),
+    "ingest_pipeline": (ingest_pipeline, with_views("articles", r"""
+, capped AS (SELECT doc_id, source, text, string_split(trim(regexp_replace(text, '[\s\p{Z}]+', ' ', 'g')), ' ') AS words FROM documents),
+ prompts AS (SELECT doc_id, source, 'Title: ' || split_part(text, chr(10), 1) || chr(10) || 'Sender: desk' || chr(10) || chr(10) ||
+  CASE WHEN len(words) > 12000 THEN array_to_string(words[1:12000], ' ') ELSE text END AS prompt FROM capped),
+ made AS (SELECT CAST(doc_id AS VARCHAR) AS uid, source, prompt, md5('organisation ' || (length(prompt) % 40)) AS org, length(prompt) % 2 AS odd,
+  doc_id % 3 = 0 AS later, TIMESTAMP '2024-01-01' + INTERVAL (doc_id * 37 % 43200) MINUTE AS dated FROM prompts WHERE length(prompt) % 11 <> 0),
+ spelled AS (SELECT *, CASE WHEN odd = 1 THEN upper(org) ELSE org END AS name FROM made),
+ firsts AS (SELECT org, arg_min(name, row(later, dated, uid)) AS canonical FROM spelled GROUP BY org)
+SELECT 'article' AS kind, uid, md5(prompt) AS name, source AS other FROM spelled
+UNION ALL SELECT 'entity', uid, name, canonical FROM spelled JOIN firsts USING (org)
+UNION ALL SELECT 'lexicon', '', canonical, canonical FROM firsts""")),
     "align_schema": (align_columns, with_views("articles", """
 SELECT uid, datetime, CAST(NULL AS VARCHAR) AS url, CAST(NULL AS VARCHAR) AS raw_email, CAST(NULL AS VARCHAR) AS flag_status,
  CAST(NULL AS INTEGER) AS dimension FROM articles""")),

@@ -42,6 +42,22 @@ def analyst(prompts: list[str]) -> list[str | None]:
     return answers
 
 
+def reporter(prompts: list[str]) -> list[str | None]:
+    """A whole analysis per prompt, with one organisation that is spelled in capitals by prompts of odd length."""
+    answers: list[str | None] = []
+    for prompt in prompts:
+        if len(prompt) % 11 == 0:
+            answers.append(None)
+            continue
+        code, name = _digest(prompt), _digest(f"organisation {len(prompt) % 40}")
+        answers.append(json.dumps({
+            "detected_language": "fr", "summary_en": code, "summary_orig": f"orig {code}", "topics": [code[:2]], "themes": ["t"],
+            "keywords": [], "entities": [{"raw_name": name.upper() if len(prompt) % 2 else name, "entity_type": "ORG"}],
+            "subscription_marketing": False, "publisher_metadata": {"author": "a", "publisher": None, "platform": "Web"},
+        }))
+    return answers
+
+
 class HesitantAnalyst:
     """The analyst, who has no answer the first time to usable prompts whose length three divides."""
 
