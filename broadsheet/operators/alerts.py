@@ -3,13 +3,14 @@
 Every article must be scored against every search, so the dense part is one
 matrix product per Arrow batch. Articles are never shuffled: a partition sends
 on one partial row per search (or k of them), and Spark merges the partials.
-The searches travel to the tasks as a broadcast; a set larger than
-``MAX_BROADCAST_BYTES`` is worked off in hash blocks below that size.
+The searches travel to the tasks as a broadcast up to ``MAX_BROADCAST_BYTES``. A larger
+set stays on the executors: articles and searches are dealt to the cells of a grid
+(article blocks x search blocks), each cell is one bounded matrix product, and the
+articles are still scanned once.
 """
 
 from __future__ import annotations
 
-import datetime
 import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -46,40 +47,33 @@ def with_watermark(searches: DataFrame, articles: DataFrame, by: str = "datetime
     return joined.withColumn("since", F.coalesce("since", F.lit(_EPOCH).cast("timestamp_ntz")))
 
 
-def _blocks(searches: DataFrame, max_bytes: int) -> Iterator[DataFrame]:
-    """The searches, or hash parts of them, each below ``max_bytes`` of vectors."""
+def _size(searches: DataFrame) -> tuple[int, int]:
+    """Number of searches and length of their vectors."""
     size = searches.agg(F.count("*"), F.max(F.size("query_vector"))).first()
-    rows, width = size[0], size[1] or 1
-    fits = max(1, max_bytes // (8 * width))
-    if rows <= fits:
-        yield searches
-        return
-    parts = 2 * -(-rows // fits)
-    part = F.pmod(F.xxhash64("id"), F.lit(parts))
-    for i in range(parts):
-        yield searches.filter(part == i)
-
-
-def _load(block: DataFrame) -> _Searches | None:
-    rows = block.select(
-        "id", "query_vector", "threshold", F.unix_micros(dates.utc_instant(F.col("since"))).alias("since")
-    ).collect()
-    if not rows:
-        return None
-    vectors = np.array([r["query_vector"] for r in rows], dtype=np.float64)
+    return size[0], max(1, size[1] or 1)
+
+
+def _arranged(table: pa.Table) -> _Searches:
+    """Searches of a table (id, query_vector, threshold, since in microseconds) as one matrix."""
+    lists = table.column("query_vector").combine_chunks()
+    width = len(lists[0])
+    if (lists.value_lengths().to_numpy(zero_copy_only=False) != width).any():
+        raise ValueError("query vectors differ in length")
+    vectors = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
     norms = np.sqrt((vectors * vectors).sum(axis=1))
     norms[norms == 0] = 1.0
     return _Searches(
-        [r["id"] for r in rows],
-        vectors,
-        norms,
-        np.array([r["threshold"] for r in rows], dtype=np.float64),
-        np.array([r["since"] for r in rows], dtype=np.int64),
-    )
+        table.column("id").to_pylist(), vectors, norms,
+        table.column("threshold").to_numpy().astype(np.float64), table.column("since").to_numpy().astype(np.int64),
+    )
+
+
+def _plain(searches: DataFrame) -> DataFrame:
+    return searches.select("id", "query_vector", "threshold", F.unix_micros(dates.utc_instant(F.col("since"))).alias("since"))
 
 
 def _scored_slices(searches: _Searches, batches: Iterator[pa.RecordBatch]):
-    """(uids, titles, microseconds, cosine matrix) of at most _ROWS_PER_PRODUCT articles."""
+    """(rows, microseconds, cosine matrix) of at most _ROWS_PER_PRODUCT articles."""
     width = searches.vectors.shape[1]
     step = max(1, min(_ROWS_PER_PRODUCT, _CELLS // len(searches.ids)))
     for batch in batches:
@@ -93,11 +87,7 @@ def _scored_slices(searches: _Searches, batches: Iterator[pa.RecordBatch]):
             norms = np.sqrt(np.einsum("ij,ij->i", matrix, matrix))
             with np.errstate(divide="ignore", invalid="ignore"):
                 scores = (matrix @ searches.vectors.T) / (norms[:, None] * searches.norms)
-            yield (
-                part.column("uid").to_pylist(), part.column("title").to_pylist(),
-                part.column("at").to_numpy(zero_copy_only=False),
-                np.nan_to_num(scores, nan=0.0, posinf=0.0, neginf=0.0),
-            )
+            yield part, part.column("at").to_numpy(zero_copy_only=False), np.nan_to_num(scores, nan=0.0, posinf=0.0, neginf=0.0)
 
 
 def _candidates(articles: DataFrame, space: str, by: str) -> DataFrame:
@@ -117,7 +107,8 @@ def _better(a: tuple | None, b: tuple) -> tuple:
 def _count_matches(searches: _Searches, batches: Iterator[pa.RecordBatch], schema: pa.Schema):
     count = np.zeros(len(searches.ids), dtype=np.int64)
     newest: list[tuple | None] = [None] * len(searches.ids)
-    for uids, titles, at, scores in _scored_slices(searches, batches):
+    for part, at, scores in _scored_slices(searches, batches):
+        uids, titles = part.column("uid"), part.column("title")
         matching = (scores >= searches.thresholds) & (at[:, None] > searches.since)
         found = matching.sum(axis=0)
         count += found
@@ -125,7 +116,7 @@ def _count_matches(searches: _Searches, batches: Iterator[pa.RecordBatch], schem
             rows = np.flatnonzero(matching[:, s])
             last = at[rows].max()
             for r in rows[at[rows] == last]:
-                option = (int(at[r]), round(float(scores[r, s]), 6), uids[r], titles[r])
+                option = (int(at[r]), round(float(scores[r, s]), 6), uids[r].as_py(), titles[r].as_py())
                 newest[s] = _better(newest[s], option)
     hit = np.flatnonzero(count)
     yield pa.RecordBatch.from_arrays(
@@ -143,16 +134,17 @@ def _count_matches(searches: _Searches, batches: Iterator[pa.RecordBatch], schem
 
 def _nearest(searches: _Searches, batches: Iterator[pa.RecordBatch], schema: pa.Schema, k: int):
     best: list[list[tuple]] = [[] for _ in searches.ids]
-    for uids, titles, _, scores in _scored_slices(searches, batches):
+    worst = np.full(len(searches.ids), -np.inf)  # of the k best so far, where there are k
+    for part, _, scores in _scored_slices(searches, batches):
+        uids, titles, n = part.column("uid"), part.column("title"), len(scores)
         rounded = np.round(scores, 6)
-        for s in range(len(searches.ids)):
-            column = rounded[:, s]
-            if len(column) > k:
-                rows = np.flatnonzero(column >= np.partition(column, len(column) - k)[len(column) - k])
-            else:
-                rows = np.arange(len(column))
-            options = best[s] + [(-column[r], uids[r], float(scores[r, s]), titles[r]) for r in rows]
+        least = np.maximum(worst, np.partition(rounded, n - k, axis=0)[n - k]) if n > k else worst
+        of, rows = np.nonzero((rounded >= least).T)
+        for some, s in zip(np.split(rows, np.flatnonzero(np.diff(of)) + 1), np.unique(of), strict=False):
+            options = best[s] + [(-rounded[r, s], uids[r].as_py(), float(scores[r, s]), titles[r].as_py()) for r in some]
             best[s] = sorted(options, key=lambda o: o[:2])[:k]
+            if len(best[s]) == k:
+                worst[s] = -best[s][-1][0]
     flat = [(searches.ids[s], o) for s in range(len(searches.ids)) for o in best[s]]
     yield pa.RecordBatch.from_arrays(
         [
@@ -165,33 +157,31 @@ def _nearest(searches: _Searches, batches: Iterator[pa.RecordBatch], schema: pa.
     )
 
 
-def _per_block(searches: DataFrame, articles: DataFrame, by: str, work, columns, max_bytes: int) -> DataFrame:
-    """Union of the partial rows of every search block, by space."""
+def _partials(searches: DataFrame, articles: DataFrame, by: str, work, columns, max_bytes: int) -> DataFrame:
+    """Partial rows of all searches, by space."""
     id_type = searches.schema["id"].dataType
     schema = T.StructType([T.StructField("id", id_type), *[T.StructField(n, t) for n, t in columns]])
     arrow_id = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_type.simpleString()]
     arrow_kinds = {"bigint": pa.int64(), "double": pa.float64(), "string": pa.string()}
     arrow = pa.schema([("id", arrow_id), *[(n, arrow_kinds[t.simpleString()]) for n, t in columns]])
-    context = searches.sparkSession.sparkContext
-    # Sized and read block by block, so computed once.
+    # Sized first and read afterwards, so computed once.
     searches = cut_lineage(searches)
     partials = []
     for space in ("english", "multilingual"):
         in_space = searches.filter((F.col("space") == "english") == F.lit(space == "english"))
-        for block in _blocks(in_space, max_bytes):
-            loaded = _load(block)
-            if loaded is None:
-                continue
-            shared = context.broadcast(loaded)
-            # Nothing older than the oldest watermark can match; this reaches the scan.
-            oldest = datetime.datetime(1970, 1, 1) + datetime.timedelta(microseconds=int(loaded.since.min()))
-            newer = F.col(by) > F.lit(oldest.isoformat(sep=" ")).cast("timestamp_ntz")
-            rows = articles.filter(newer) if work is _count_matches else articles
-            partials.append(
-                _candidates(rows, space, by).mapInArrow(
-                    functools.partial(_run, work, shared, arrow), schema
-                )
-            )
+        count, width = _size(in_space)
+        if not count:
+            continue
+        # Nothing older than the oldest watermark can match; this reaches the scan.
+        oldest = in_space.agg(F.min("since")).first()[0] if work is _count_matches else None
+        rows = articles if oldest is None else articles.filter(F.col(by) > F.lit(oldest.isoformat(sep=" ")).cast("timestamp_ntz"))
+        candidates = _candidates(rows, space, by)
+        blocks = -(-count * width * 8 // max_bytes)
+        if blocks == 1:
+            shared = searches.sparkSession.sparkContext.broadcast(_arranged(_plain(in_space).toArrow()))
+            partials.append(candidates.mapInArrow(functools.partial(_run, work, shared, arrow), schema))
+        else:
+            partials.append(_in_cells(candidates, _plain(in_space), blocks, max_bytes // (4 * width), work, arrow, schema))
     if not partials:
         return searches.sparkSession.createDataFrame([], schema)
     return functools.reduce(DataFrame.unionByName, partials)
@@ -201,6 +191,26 @@ def _run(work, shared, arrow, batches):
     yield from work(shared.value, batches, arrow)
 
 
+def _in_cells(articles: DataFrame, searches: DataFrame, blocks: int, per_cell: int, work, arrow: pa.Schema, schema: T.StructType) -> DataFrame:
+    """Partial rows of all searches from a grid of article blocks and search blocks.
+
+    An article goes to one cell of each search block and a search to one of each article block, so a cell
+    holds about as many bytes of both as a block may have, however many there are.
+    """
+    slices = max(1, -(-articles.count() // max(1, per_cell)))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    left = articles.select("*", dealt("uid", slices).alias("slice"), every(blocks).alias("block"))
+    right = searches.select("*", dealt("id", blocks).alias("block"), every(slices).alias("slice"))
+
+    def cell(some: pa.Table, asked: pa.Table) -> pa.Table:
+        if not some.num_rows or not asked.num_rows:
+            return arrow.empty_table()
+        return pa.Table.from_batches(list(work(_arranged(asked), some.combine_chunks().to_batches(), arrow)), arrow)
+
+    return left.groupBy("slice", "block").cogroup(right.groupBy("slice", "block")).applyInArrow(cell, schema)
+
+
 def matches(searches: DataFrame, articles: DataFrame, by: str = "datetime",
             max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """Per saved search with ``since``: number of newer matches and the newest one.
@@ -210,7 +220,7 @@ def matches(searches: DataFrame, articles: DataFrame, by: str = "datetime",
     """
     columns = [("n", T.LongType()), ("at", T.LongType()), ("similarity", T.DoubleType()),
                ("uid", T.StringType()), ("title", T.StringType())]
-    partial = _per_block(searches, articles, by, _count_matches, columns, max_bytes)
+    partial = _partials(searches, articles, by, _count_matches, columns, max_bytes)
     # One row per search and task goes in; aggregates merge before the shuffle, unlike a window.
     place = F.struct((-F.col("at")).alias("at"), (-F.col("similarity")).alias("similarity"), "uid")
     newest = partial.groupBy("id").agg(
@@ -247,7 +257,7 @@ def nearest_articles(searches: DataFrame, articles: DataFrame, k: int,
     """The k most similar articles of every search."""
     columns = [("uid", T.StringType()), ("title", T.StringType()), ("similarity", T.DoubleType())]
     since = searches.withColumn("since", F.lit(_EPOCH).cast("timestamp_ntz"))
-    partial = _per_block(since, articles, "datetime", functools.partial(_nearest, k=k), columns, max_bytes)
+    partial = _partials(since, articles, "datetime", functools.partial(_nearest, k=k), columns, max_bytes)
     window = Window.partitionBy("id").orderBy(F.round("similarity", 6).desc(), F.asc("uid"))
     ranked = partial.withColumn("rank", F.row_number().over(window))
     return ranked.filter(F.col("rank") <= k)

@@ -257,19 +257,43 @@ def stream_backfill(spark, sf):
     return spark.read.parquet(store).select("uid", "datetime", "summary")
 
 
-def stream_alerts(spark, sf):
-    """Alerts on micro-batches that arrive in order of time, summed per search."""
-    landing, state = _landed(spark, sf, True), _fresh_folder(spark, "alerts")
-    everything = b.articles(spark, sf, vectors=False, labels=False)
-    jobs.save_initial_searches(b.saved_searches(spark, sf), everything, state)
-    stream = jobs.article_stream(spark, landing, files_per_trigger=4)
-    jobs.alert_stream(
-        stream, state, _fresh_folder(spark, "progress"), lambda: datetime.datetime(2024, 3, 1)
-    ).awaitTermination()
+def _alerts_in_batches(spark, sf, initial, between=None):
+    """Notifications of four micro-batches that arrive in order of time, summed per search; ``between`` changes searches half-way."""
+    landing, state, progress = (_fresh_folder(spark, n) for n in ("landing", "alerts", "progress"))
+    changes = _fresh_folder(spark, "changes")
+    jobs.save_initial_searches(initial, b.articles(spark, sf, vectors=False, labels=False), state)
+    rows = b.articles(spark, sf, vectors=True, labels=False).select(ARTICLES.names)
+    start, week = datetime.datetime(2024, 1, 1), datetime.timedelta(minutes=10_800)  # a quarter of the days the articles span
+    jobs.log_changes(spark.createDataFrame([], jobs.CHANGES), changes)
+    for part in range(4):
+        if part == 2 and between is not None:
+            between(changes)
+        rows.filter(F.col("datetime").between(start + part * week, start + (part + 1) * week - datetime.timedelta(minutes=1))).write.mode("append").parquet(landing)
+        stream = jobs.article_stream(spark, landing, files_per_trigger=1_000)
+        jobs.alert_stream(stream, state, progress, lambda: datetime.datetime(2024, 3, 1), changes=changes).awaitTermination()
     sent = spark.read.parquet(f"{state}/notifications")
     return sent.groupBy("search_id").agg(F.sum("new_results_count").alias("new_results_count"))
 
 
+def stream_alerts(spark, sf):
+    return _alerts_in_batches(spark, sf, b.saved_searches(spark, sf))
+
+
+def stream_alerts_changing(spark, sf):
+    """Half-way every fifth search is saved, every seventh deleted, and every eleventh deleted and saved again."""
+    saved = b.saved_searches(spark, sf)
+
+    def between(changes):
+        new = saved.filter("id % 5 = 0").select("*", F.lit(1).cast("long").alias("seq"))
+        gone = saved.filter("id % 7 = 3").select("id", F.lit(2).cast("long").alias("seq"), F.lit(True).alias("deleted"))
+        both = saved.filter("id % 11 = 1").select("id", F.lit(3).cast("long").alias("seq"), F.lit(True).alias("deleted"))
+        again = saved.filter("id % 11 = 1").select("*", F.lit(4).cast("long").alias("seq"))
+        for rows in (new, gone, both, again):
+            jobs.log_changes(rows, changes)
+
+    return _alerts_in_batches(spark, sf, saved.filter("id % 5 <> 0"), between)
+
+
 def stream_timeline(spark, sf):
     landing, counts = _landed(spark, sf, False), _fresh_folder(spark, "timeline")
     stream = jobs.daily_counts(jobs.article_stream(spark, landing))
@@ -385,6 +409,11 @@ WHERE raw_name NOT IN (SELECT raw_name FROM lexicon) GROUP BY raw_name""")),
     "stream_backfill": (stream_backfill, with_views("articles", "SELECT uid, datetime, summary FROM articles")),
     "stream_alerts": (stream_alerts, with_views("articles saved", _match_sql("datetime") + """
 SELECT id AS search_id, n AS new_results_count FROM ranked WHERE rn = 1""")),
+    "stream_alerts_changing": (stream_alerts_changing, with_views("articles saved", _match_sql("datetime", newer=False) + """
+, counted AS (SELECT f.id, w.since, f.seen, f.seen >= TIMESTAMP '2024-01-16' AS late, f.id % 5 = 0 AS added,
+  f.id % 7 = 3 AS deleted, f.id % 11 = 1 AS again FROM found f JOIN wm w ON w.id = f.id)
+SELECT id AS search_id, count(*) AS new_results_count FROM counted
+WHERE CASE WHEN late THEN again OR (NOT deleted AND (added OR seen > since)) ELSE NOT added AND seen > since END GROUP BY id""")),
     "stream_timeline": (stream_timeline, with_views("articles", """
 SELECT CAST(datetime AS DATE) AS dt, count(*) AS cnt FROM articles
 WHERE CAST(datetime AS DATE) + INTERVAL 1 DAY <= (SELECT max(datetime) FROM articles) - INTERVAL 1 DAY GROUP BY 1""")),

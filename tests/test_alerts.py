@@ -150,3 +150,20 @@ def test_stream_alerts_equal_batch(spark, tmp_path):
     assert got == {k: v[0] for k, v in _expected(rows, saved).items()}
     last = {r.id: r.latest_id for r in spark.read.parquet(f"{state}/searches/3").collect()}
     assert {k: v[1] for k, v in _expected(rows, saved).items()} == {k: v for k, v in last.items() if v}
+
+
+def test_changes_of_saved_searches_merge_into_the_state(spark, tmp_path):
+    log, old = str(tmp_path / "log"), datetime.datetime(1970, 1, 1)
+    held = spark.createDataFrame([(i, "u", f"s{i}", "english", 0.1, "x", START, [1.0], START, None) for i in range(5)], jobs.STATE)
+    jobs.log_changes(spark.createDataFrame([(1, 1, True), (2, 2, True)], "id long, seq long, deleted boolean"), log)
+    new = spark.createDataFrame([(2, 3, "anew"), (9, 4, "new"), (8, 5, "short-lived")], "id long, seq long, search_text string")
+    jobs.log_changes(new, log)
+    jobs.log_changes(spark.createDataFrame([(8, 6, True), (77, 7, True)], "id long, seq long, deleted boolean"), log)
+    read = lambda: spark.read.schema(jobs.CHANGES).parquet(log)
+    state = jobs.with_changes(held, read())
+    rows = {r.id: (r.search_text, r.since, r.seq) for r in state.collect()}
+    assert rows == {0: ("s0", START, None), 3: ("s3", START, None), 4: ("s4", START, None), 2: ("anew", old, 3), 9: ("new", old, 4)}
+    # What has been applied isn't applied again, so a watermark that moved on stays.
+    moved = state.withColumn("since", F.lit(START).cast("timestamp_ntz"))
+    assert {r.since for r in jobs.with_changes(moved, read()).collect()} == {START}
+    assert state.columns == jobs.STATE.names and jobs.with_changes(held, read().limit(0)).count() == 5
