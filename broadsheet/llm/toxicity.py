@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from hashlib import sha256
 
 import numpy as np
 import pandas as pd
@@ -112,15 +113,32 @@ def log_model(counts: np.ndarray) -> np.ndarray:
     return np.log(triples / triples.sum(2, keepdims=True)).astype(np.float32)
 
 
-def restore(word: str, model: np.ndarray) -> str:
-    """The likeliest letters behind a disguised word: Viterbi over its lattice."""
+_class_of: dict[str, int] = {}
+
+
+def _class(c: str) -> int:
+    known = _class_of.get(c)
+    if known is None:
+        known = int(_CLASS_OF[min(ord(c), len(_CLASS_OF) - 1)])
+        if len(_class_of) < 10_000:
+            _class_of[c] = known
+    return known
+
+
+def restore(word: str, model: np.ndarray, flat: list[float] | None = None) -> str:
+    """The likeliest letters behind a disguised word: Viterbi over its lattice. ``flat``: the model's cells as a list."""
+    if flat is None:
+        flat = model.ravel().tolist()
     letters = re.sub(r"[ .\-_]", "", word.lower())
     # A masked letter is one each; all else may be repeated.
-    runs = [(m.group(0)[0], len(m.group(0))) for m in re.finditer(r"\*|(.)\1*", letters, re.S)]
+    runs = [(m.group(0)[0], len(m.group(0))) for m in re.finditer(r"(.)\1*", letters, re.S)]
     paths: dict = {(0, 0): (0.0, None)}  # score, and the pieces chosen as a linked list
-    for sign, length in runs:
+    for at, (sign, length) in enumerate(runs):
         if sign == "*":
-            paths = _any_letter(paths, model)
+            masked = _Masked(paths, model, length)
+            if at == len(runs) - 1:
+                return masked.best(model)
+            paths = masked.paths()
             continue
         options: list[tuple[str, float]] = []
         if sign.isalpha():
@@ -133,31 +151,64 @@ def restore(word: str, model: np.ndarray) -> str:
             if sign != "*":
                 options.append(("", _COST_KEPT * length))
         best: dict = {}
+        coded = [(piece, cost, [_class(c) for c in piece]) for piece, cost in options]
         for (p, q), (score, said) in paths.items():
-            for piece, cost in options:
+            for piece, cost, classes in coded:
                 a, b, total = p, q, score - cost
-                for c in piece:
-                    k = int(_CLASS_OF[min(ord(c), len(_CLASS_OF) - 1)])
-                    total += float(model[a, b, k])
+                for k in classes:
+                    total += flat[(a * CLASSES + b) * CLASSES + k]
                     a, b = b, k
-                if (a, b) not in best or total > best[a, b][0]:
+                held = best.get((a, b))
+                if held is None or total > held[0]:
                     best[a, b] = (total, (said, piece))
         paths = best or paths
-    ends = [(score + float(model[a, b, 0]), said) for (a, b), (score, said) in paths.items()]
+    ends = [(score + flat[(a * CLASSES + b) * CLASSES], said) for (a, b), (score, said) in paths.items()]
     top = max(score for score, _ in ends)
     return max(_joined(said) for score, said in ends if score == top)
 
 
-def _any_letter(paths: dict, model: np.ndarray) -> dict:
-    """The best paths to each two classes after a masked letter."""
-    scores = np.full((CLASSES, CLASSES), -np.inf)
-    for (a, b), (score, _) in paths.items():
-        scores[a, b] = score
-    letters = STANDS_FOR["*"]
-    seconds = sorted({b for _, b in paths})
-    total = scores[:, seconds, None] + model[:, seconds, 1 : len(letters) + 1]
-    before, best = total.argmax(0), total.max(0) - _COST_SIGN
-    return {(b, k + 1): (float(best[j, k]), (paths[int(before[j, k]), b][1], c)) for j, b in enumerate(seconds) for k, c in enumerate(letters)}
+class _Masked:
+    """The best paths through a run of masked letters, as tables over the last two classes."""
+
+    def __init__(self, paths: dict, model: np.ndarray, count: int):
+        self._letters = STANDS_FOR["*"]
+        known = np.arange(1, len(self._letters) + 1)
+        places: dict[int, list] = {}
+        for (a, b), (score, said) in paths.items():
+            places.setdefault(b, []).append((a, score, said))
+        self.firsts = np.array(sorted(places))
+        # One row for each path, those to one class side by side, of equals the smallest first class first.
+        some = [x for b in self.firsts.tolist() for x in sorted(places[b], key=lambda x: x[0])]
+        self._said = [said for _, _, said in some]
+        sizes = [len(places[b]) for b in self.firsts.tolist()]
+        total = model[[a for a, _, _ in some], np.repeat(self.firsts, sizes)][:, known] + np.array([score for _, score, _ in some])[:, None]
+        starts = np.cumsum([0, *sizes[:-1]])
+        top = np.maximum.reduceat(total, starts, 0)
+        rows = np.where(total == np.repeat(top, sizes, 0), np.arange(len(some))[:, None], len(some))
+        self._before = [np.minimum.reduceat(rows, starts, 0)]
+        self.scores = top - _COST_SIGN
+        for _ in range(count - 1):
+            total = self.scores[:, :, None] + model[np.ix_(self.firsts, known, known)]
+            self._before.append(total.argmax(0))
+            self.scores = total.max(0) - _COST_SIGN
+            self.firsts = known
+
+    def said(self, j: int, k: int) -> tuple:
+        """The pieces of the best path to a cell."""
+        piece = ""
+        for before in self._before[:0:-1]:
+            piece = self._letters[k] + piece
+            j, k = int(before[j, k]), j
+        return self._said[self._before[0][j, k]], self._letters[k] + piece
+
+    def paths(self) -> dict:
+        firsts = self.firsts.tolist()
+        return {(b, k + 1): (score, self.said(j, k)) for j, (b, row) in enumerate(zip(firsts, self.scores.tolist(), strict=True)) for k, score in enumerate(row)}
+
+    def best(self, model: np.ndarray) -> str:
+        """The best path that ends here."""
+        total = self.scores + model[self.firsts, 1 : len(self._letters) + 1, 0]
+        return max(_joined(self.said(int(j), int(k))) for j, k in np.argwhere(total == total.max()))
 
 
 def _joined(said: tuple | None) -> str:
@@ -207,7 +258,7 @@ class Restorer:
     """Texts with their disguised words restored; answers are kept for words met again."""
 
     def __init__(self, model: np.ndarray):
-        self._model, self._known = model, {}
+        self._model, self._known, self._flat = model, {}, model.ravel().tolist()
 
     def _one(self, match: re.Match) -> str:
         word = match.group(0)
@@ -220,12 +271,12 @@ class Restorer:
         if not any(c.isalpha() for c in word):
             return word
         if len(word) > 2 * _LONGEST:  # not kept
-            return restore(word, self._model)
+            return restore(word, self._model, self._flat)
         said = self._known.get(word)
         if said is None:
             if len(self._known) > 100_000:
                 self._known.clear()
-            said = self._known[word] = restore(word, self._model)
+            said = self._known[word] = restore(word, self._model, self._flat)
         return said
 
     def __call__(self, text: str) -> str:
@@ -264,6 +315,18 @@ class Restorer:
         return out
 
 
+_restorers: dict[str, Restorer] = {}
+
+
+def _restorer(model: np.ndarray) -> Restorer:
+    """The restorer of this Python worker, so that later tasks know the words of earlier ones."""
+    key = sha256(model.tobytes()).hexdigest()
+    if key not in _restorers:
+        _restorers.clear()
+        _restorers[key] = Restorer(model)
+    return _restorers[key]
+
+
 def _features(encoded: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words of restored texts: row, hashes of the word and its beginnings, number of words by row."""
     offsets = np.concatenate([[0], np.cumsum([len(e) for e in encoded])]).astype(np.int64)
@@ -346,7 +409,7 @@ def fit(docs: DataFrame, labels: DataFrame, model: np.ndarray, label: str = "tox
     known = labelled(docs.select(F.col(key).alias(key), F.col(text).cast("string").alias("text")), labels, label, sample, key)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer = Restorer(shared.value)
+        restorer = _restorer(shared.value)
         for batch in batches:
             marks = np.asarray(batch.column("label").to_pylist(), np.int64)
             for first, last, texts in _restored_blocks(batch, restorer):
@@ -379,7 +442,7 @@ def fit(docs: DataFrame, labels: DataFrame, model: np.ndarray, label: str = "tox
     handed = spark.sparkContext.broadcast(scorer)
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer = Restorer(shared.value)
+        restorer = _restorer(shared.value)
         for batch in batches:
             marks = batch.column("label").to_pylist()
             for first, last, texts in _restored_blocks(batch, restorer):
@@ -397,7 +460,7 @@ def score(docs: DataFrame, model: np.ndarray, scorer: Scorer, to: str = "score",
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         table, trained = shared.value
-        restorer = Restorer(table)
+        restorer = _restorer(table)
         for batch in batches:
             rows = pa.RecordBatch.from_arrays([pa.array(batch.tolist(), pa.string())], names=["text"])
             out = [trained.score(texts) for _, _, texts in _restored_blocks(rows, restorer)]

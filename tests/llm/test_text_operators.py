@@ -4,11 +4,12 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 import sentencepiece
 from hypothesis import given, settings, strategies as st
 
-from broadsheet.llm import fill_middle, pieces, variants
+from broadsheet.llm import fill_middle, pieces, toxicity, variants
 from broadsheet.llm.queries import PIECES, table, tokenizer_path
 
 DOCS = "doc_id long, text string, lang string, source string, draws string, word string, n string, signature string"
@@ -199,3 +200,38 @@ def test_near_words_share_a_signature(word, at, letter, edit):
 def test_no_words_at_all(spark, empty):
     assert variants.variants(empty).count() == 0
     assert variants.variants(_docs(spark, [(1, None), (2, "one two"), (3, "")])).count() == 0
+
+
+# --- 10 toxicity: the lattice
+
+
+def _all_paths(word, model):
+    """The best score and all readings that reach it, by going through every path of the lattice."""
+    runs = [(m.group(0)[0], len(m.group(0))) for m in re.finditer(r"\*|(.)\1*", re.sub(r"[ .\-_]", "", word.lower()), re.S)]
+    paths = [("", 0.0)]
+    for sign, length in runs:
+        if sign.isalpha():
+            options = [(sign, toxicity._COST_SINGLED * (length > 1)), *([(sign * 2, toxicity._COST_DOUBLED)] if length > 1 else [])]
+        else:
+            options = [(c, toxicity._COST_SIGN) for c in toxicity.STANDS_FOR[sign]]
+            if sign != "*":
+                options += [(c * 2, toxicity._COST_SIGN + toxicity._COST_DOUBLED) for c in toxicity.STANDS_FOR[sign] if length > 1]
+                options.append(("", toxicity._COST_KEPT * length))
+        paths = [(said + piece, cost + extra) for said, cost in paths for piece, extra in options]
+
+    def score(said, cost):
+        codes = [0, 0, *toxicity._classes_of(said), 0]
+        return sum(float(model[tuple(codes[k : k + 3])]) for k in range(len(codes) - 2)) - cost
+
+    scored = [(score(*p), p[0]) for p in paths]
+    top = max(scored)[0]
+    return {said for value, said in scored if value > top - 1e-6}
+
+
+def test_restored_words_are_the_best_of_all_paths():
+    draw = random.Random(8)
+    model = np.log(np.random.default_rng(8).dirichlet(np.full(toxicity.CLASSES, 0.3), (toxicity.CLASSES, toxicity.CLASSES)) + 1e-9).astype(np.float32)
+    for _ in range(300):
+        word = "".join(draw.choice("abé1$0*") * draw.choice([1, 1, 1, 2]) for _ in range(draw.randint(1, 4)))
+        if word.count("*") <= 3:
+            assert toxicity.restore(word, model) in _all_paths(word, model), word
