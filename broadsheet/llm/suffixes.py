@@ -17,8 +17,9 @@ so the work is cut into buckets that hold all suffixes that can be equal:
     buckets run long, are resolved by ranks computed beforehand for the positions of a
     difference cover: any two positions i and j have a shift k below ``PERIOD`` at which i + k
     and j + k both belong to the cover, so one comparison of ranks settles what lies between.
-    Buckets are sorted in batches of ``BATCH`` spans; of a bucket that is longer, the spans
-    that hold the first suffix of a kind are kept for its next batch.
+    Buckets are sorted in batches of about ``BATCH`` spans. A bucket of more than ``HOT`` spans, such as that of a
+    phrase that many texts embed in words of their own, isn't sorted in one task: its suffixes are dealt anew, each by the
+    hash of its own ``LENGTH`` bytes, and of equal ones the first is found by an aggregate that starts before the shuffle.
 
 Document ids order the documents. Defined cases: null text is the empty text;
 rows whose id is null are returned unchanged and are nobody's source; rows that
@@ -36,7 +37,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from broadsheet.llm.arrow_text import BLOCK_BYTES, Rolling, columns
+from broadsheet.llm.arrow_text import BLOCK_BYTES, Rolling, columns, row_blocks
 from broadsheet.session import cut_lineage
 
 LENGTH = 100
@@ -44,6 +45,7 @@ GRAM = 28
 #: A difference cover of the numbers modulo 7: each difference occurs among 1, 2 and 4.
 PERIOD, COVER = 7, (1, 2, 4)
 BATCH = 8_000
+HOT = 2_000
 _HELD = 400_000
 _LOW = 20  # bits of a position inside a block
 
@@ -259,57 +261,78 @@ def sort_bucket(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray
     return owner, inner, group[group[kind]]
 
 
-def _bucket_repeats(length: int):
-    def settle(rows: list[tuple[int, int, bytes]]) -> tuple[list[int], list[int], list[int], list[tuple[int, int, bytes]]]:
-        """Repeats among the spans of a bucket, and the spans that hold a first occurrence."""
-        rows = sorted(rows, key=lambda x: x[:2])
-        owner, inner, group = sort_bucket([x[2] for x in rows], length)
-        # Spans are in order of place, and so are their suffixes, unless spans of one text overlap.
-        docs = np.array([x[0] for x in rows])[owner]
-        places = np.array([x[1] for x in rows])[owner] + inner
-        order = np.lexsort((places, docs, group))
-        g, d, p = group[order], docs[order], places[order]
-        new = np.concatenate([[True], g[1:] != g[:-1]])
-        head = np.flatnonzero(new)[np.cumsum(new) - 1]
-        again = (d != d[head]) | (p != p[head])
-        repeat = np.zeros(len(order), bool)
-        repeat[order[again]] = True
-        # Runs of repeats inside a span.
-        edge = np.concatenate([[True], (owner[1:] != owner[:-1])])
-        begin = np.flatnonzero(repeat & (edge | ~np.concatenate([[False], repeat[:-1]])))
-        stop = np.flatnonzero(repeat & (np.concatenate([edge[1:], [True]]) | ~np.concatenate([repeat[1:], [False]])))
-        firsts = np.unique(owner[~repeat])
-        return docs[begin].tolist(), places[begin].tolist(), (stop - begin).tolist(), [rows[k] for k in firsts]
+def _settled(rows: list[tuple[int, int, bytes]], length: int) -> tuple[list[int], list[int], list[int]]:
+    """Runs of repeats among spans (doc, place, bytes)."""
+    rows = sorted(rows, key=lambda x: x[:2])
+    owner, inner, group = sort_bucket([x[2] for x in rows], length)
+    # Spans are in order of place, and so are their suffixes, unless spans of one text overlap.
+    docs = np.array([x[0] for x in rows])[owner]
+    places = np.array([x[1] for x in rows])[owner] + inner
+    order = np.lexsort((places, docs, group))
+    g, d, p = group[order], docs[order], places[order]
+    new = np.concatenate([[True], g[1:] != g[:-1]])
+    head = np.flatnonzero(new)[np.cumsum(new) - 1]
+    again = (d != d[head]) | (p != p[head])
+    repeat = np.zeros(len(order), bool)
+    repeat[order[again]] = True
+    # Runs of repeats inside a span.
+    edge = np.concatenate([[True], (owner[1:] != owner[:-1])])
+    begin = np.flatnonzero(repeat & (edge | ~np.concatenate([[False], repeat[:-1]])))
+    stop = np.flatnonzero(repeat & (np.concatenate([edge[1:], [True]]) | ~np.concatenate([repeat[1:], [False]])))
+    return docs[begin].tolist(), places[begin].tolist(), (stop - begin).tolist()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, rows, own = None, [], 0  # own: where the rows of the last bucket begin
 
-        def take() -> pa.RecordBatch:
-            nonlocal rows, own
-            before = rows[own:]
-            docs, places, more, firsts = settle(rows) if len(rows) > 1 else ([], [], [], before)
-            mine = {x[:2] for x in before}
-            rows, own = [x for x in firsts if x[:2] in mine], 0
-            return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(places, pa.int64()), pa.array(more, pa.int32())], names=["doc", "place", "more"])
+def _bucket_repeats(length: int):
+    def settled(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+        docs, places, more = _settled(rows, length) if len(rows) > 1 else ([], [], [])
+        return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(places, pa.int64()), pa.array(more, pa.int32())], names=["doc", "place", "more"])
 
-        fresh = 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, rows = None, []
         for batch in batches:
             for name, doc, place, said in zip(*(batch.column(k).to_pylist() for k in ("bucket", "doc", "place", "bytes")), strict=True):
-                if name != bucket:
-                    if fresh >= BATCH:
-                        yield take()
-                        rows, fresh = [], 0
-                    bucket, own = name, len(rows)
-                elif fresh >= 2 * BATCH:
-                    yield take()
-                    fresh = 0
+                if name != bucket and len(rows) >= BATCH:
+                    yield settled(rows)
+                    rows = []
+                bucket = name
                 rows.append((doc, place, said))
-                fresh += 1
-        yield take()
+        yield settled(rows)
 
     return run
 
 
+def _each_suffix(length: int):
+    """Hash and place of every suffix of the spans."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            offsets, data = columns(batch, "bytes")
+            docs, places = (np.asarray(batch.column(k).to_numpy(zero_copy_only=False), np.int64) for k in ("doc", "place"))
+            for first, last in row_blocks(offsets):
+                cuts = offsets[first : last + 1] - offsets[first]
+                hashes = Rolling(data[offsets[first] : offsets[last]]).every(length)
+                at = np.arange(len(hashes))
+                owner = np.searchsorted(cuts, at, "right") - 1
+                inside = at + length <= cuts[owner + 1]
+                at, owner = at[inside], owner[inside]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(hashes[at].view(np.int64)), pa.array(docs[first:last][owner]), pa.array(places[first:last][owner] + at - cuts[owner])], names=["hash", "doc", "place"]
+                )
+
+    return run
+
+
+def _hot_repeats(spans_with_bytes: DataFrame, length: int) -> DataFrame:
+    """Repeats (doc, place, more) among the suffixes of hot buckets."""
+    each = spans_with_bytes.select("doc", "place", "bytes").mapInArrow(_each_suffix(length), "hash long, doc long, place long")
+    # Merged before the shuffle, so a suffix in a third of all rows sends one row a task.
+    first = each.groupBy("hash").agg(F.min(F.struct("doc", "place")).alias("first"), F.max(F.struct("doc", "place")).alias("last"))
+    several = first.filter("first <> last").select("hash", "first")
+    # Adaptive execution splits a hash with very many suffixes, which a sort-merge join allows.
+    met = each.join(several.hint("merge"), "hash").filter(F.struct("doc", "place") != F.col("first"))
+    return met.select("doc", "place", F.lit(0).alias("more"))
+
+
 def _known(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Rows with an id, and a column that tells apart different texts under one."""
     return docs.filter(F.col(key).isNotNull()).withColumn("_tag", _tag(text))
@@ -324,12 +347,20 @@ def repeats(known: DataFrame, key: str, text: str, length: int = LENGTH, gram: i
     tag = F.shiftleft(F.shiftright("place", 48), 48).alias("_tag")
     open_spans = told.filter("NOT sure").select("bucket", F.col("doc").alias(key), tag, "place", "more")
     offset = f"int(place & {(1 << 48) - 1})"
-    with_bytes = open_spans.join(known.select(key, "_tag", text).hint("merge"), [key, "_tag"]).select(
-        "bucket", F.col(key).cast("long").alias("doc"), "place",
-        F.expr(f"substring(cast(`{text}` AS binary), {offset} + 1, more + {length})").alias("bytes"),
-    )
-    sorted_buckets = with_bytes.repartition("bucket").sortWithinPartitions("bucket", "doc", "place")
+
+    def with_bytes(some: DataFrame) -> DataFrame:
+        # ``known`` as it is, so that this join and the last one read the same shuffled documents.
+        return some.join(known.hint("merge"), [key, "_tag"]).select(
+            "bucket", F.col(key).cast("long").alias("doc"), "place",
+            F.expr(f"substring(cast(`{text}` AS binary), {offset} + 1, more + {length})").alias("bytes"),
+        )
+
+    hot = cut_lineage(open_spans.groupBy("bucket").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("bucket"))
+    any_hot = not hot.isEmpty()
+    sorted_buckets = with_bytes(open_spans.join(hot, "bucket", "left_anti") if any_hot else open_spans).repartition("bucket").sortWithinPartitions("bucket", "doc", "place")
     settled = sorted_buckets.mapInArrow(_bucket_repeats(length), "doc long, place long, more int")
+    if any_hot:
+        settled = settled.unionByName(_hot_repeats(with_bytes(open_spans.join(hot, "bucket", "left_semi")), length))
     return told.filter("sure").select("doc", "place", "more").unionByName(settled).select(F.col("doc").alias(key), tag, "place", "more")
 
 

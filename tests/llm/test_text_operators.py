@@ -9,7 +9,7 @@ import pytest
 import sentencepiece
 from hypothesis import given, settings, strategies as st
 
-from broadsheet.llm import fill_middle, pieces, toxicity, variants
+from broadsheet.llm import fill_middle, pieces, suffixes, toxicity, variants
 from broadsheet.llm.queries import PIECES, table, tokenizer_path
 
 DOCS = "doc_id long, text string, lang string, source string, draws string, word string, n string, signature string"
@@ -235,3 +235,21 @@ def test_restored_words_are_the_best_of_all_paths():
         word = "".join(draw.choice("abé1$0*") * draw.choice([1, 1, 1, 2]) for _ in range(draw.randint(1, 4)))
         if word.count("*") <= 3:
             assert toxicity.restore(word, model) in _all_paths(word, model), word
+
+
+# --- 9 suffixes: a phrase in a third of all rows
+
+
+def test_a_phrase_that_many_texts_embed_is_split_exactly(spark, monkeypatch):
+    draw, phrase = random.Random(13), "the same sixty bytes stand in very many rows of this corpus!"
+    shared = "".join(draw.choice("abcdefgh ") for _ in range(150))
+    texts = {}
+    for doc in range(900):
+        before, after = ("".join(draw.choice("abcdefghijklmnop ") for _ in range(90)) for _ in range(2))
+        texts[doc] = before + (phrase if doc % 3 == 0 else "") + after + (shared if doc % 50 == 7 else "") + (phrase + shared[:60] if doc % 9 == 0 else "")
+    monkeypatch.setattr(suffixes, "HOT", 40)
+    got = suffixes.digests(_docs(spark, list(texts.items())))
+    assert "min(struct(doc" in got._jdf.queryExecution().toString()  # the hot bucket went the other way
+    rows = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.collect()}
+    assert rows == suffixes.brute({i: t.encode() for i, t in texts.items()})
+    assert sum(r[1] for r in rows.values()) > 2_000
