@@ -282,6 +282,57 @@ def test_main_text_goes_on_behind_what_interrupts_it():
     assert got == "\n\n".join([*first, "A source named in a paragraph of links", *second])
 
 
+_STORY = [f"Paragraph {k} of the story, with enough words in it to count." for k in range(6)]
+_SAID = "".join(f"<p>{x}</p>" for x in _STORY)
+
+
+@pytest.mark.parametrize("around", [
+    '<div class="container no-sidebar">{}</div>', '<div class="layout with-sidebar">{}</div>', '<div class="page has-header">{}</div>',
+    '<div class="content side-by-side">{}</div>', '<div id="alert-systems-essay">{}</div>', '<div class="search-results">{}</div>',
+    '<form id="page">{}</form>', '<form><article>{}</article></form>', '<div class="sidebar">{}</div>', '<div class="sidebar">' * 3000 + "{}",
+    "<div>{}</div><article><h2>Teaser</h2><p>Short.</p></article>", "<article><h2>Teaser</h2><p>Short.</p></article><div>{}</div>",
+    '<div class="page-header"><p>Our town</p></div>{}<div class="comments">' + "<p>I agree with all of that, and more.</p>" * 40 + "</div>",
+    '<article>{}<form><label>Mail</label><input></form></article><div class="ad-slot">Buy</div>',
+])
+def test_main_text_lets_the_lines_decide(around):
+    page = "<body><nav><a href=/>Home</a></nav>" + around.format(_SAID) + "<footer>(c) x</footer></body>"
+    assert main_text.main_text(page).split("\n\n") == _STORY
+
+
+def test_main_text_keeps_lists_of_references():
+    links = "".join(f"<li><a href=/{k}>Reference number {k}</a></li>" for k in range(4))
+    listed = [f"Reference number {k}" for k in range(4)]
+    page = f"<ul><li><a href=/>Home</a></ul><div>{_SAID}<h2>References</h2><ol>{links}</ol></div>"
+    assert main_text.main_text(page).split("\n\n") == [*_STORY, "References", *listed]
+    assert main_text.main_text(f"<article>{_SAID}<ul>{links}</ul></article>").split("\n\n") == [*_STORY, *listed]
+    assert main_text.main_text(f"<div><ul>{links}</ul>{_SAID}</div>").split("\n\n") == _STORY
+
+
+def test_main_text_of_the_given_pages_whatever_marks_the_article(spark):
+    from html import unescape
+
+    pages = table(spark, "/root/testdata/sf0.01", "pages").select("page_id", "html")
+    for change in (lambda h: h, lambda h: re.sub("(</?)article", r"\1div", h), lambda h: re.sub("</?article>", "", h)):
+        rows = [(r["page_id"], r["html"]) for r in pages.collect()]
+        changed = spark.createDataFrame([(i, change(h)) for i, h in rows], "page_id long, html string")
+        got = {r["page_id"]: r["text"] for r in main_text.extracted(changed).collect()}
+        for i, html in rows:
+            inner = html[html.index("<article>") + 9 : html.index("</article>")]
+            blocks = (" ".join(unescape(re.sub("<[^>]*>", "", x.replace("<br>", " "))).split()) for x in re.split("</?(?:p|h1|h2|h3|ul|li|div|blockquote)>", inner))
+            assert got[i] == "\n\n".join(x for x in blocks if x)
+
+
+def test_main_text_of_odd_tables(spark):
+    long = "<p>" + "word " * 400_000 + "</p>"
+    rows = [(1, None, "a"), (2, "", "b"), (3, _SAID, "c"), (3, _SAID, "c"), (None, "<p>x", None), (4, long, "d"), (5, "<nav>a</nav>", "e"), (6, "<" * 1000, "f")]
+    pages = spark.createDataFrame(rows, "page_id long, html string, weights string")
+    got = sorted(((r["page_id"] or 0, r["weights"], r["text"]) for r in main_text.extracted(pages).collect()), key=str)
+    assert [(i, len(t)) for i, _, t in got] == [(0, 1), (1, 0), (2, 0), (3, len("\n\n".join(_STORY))), (3, len("\n\n".join(_STORY))), (4, 1_999_999), (5, 0), (6, 1000)]
+    assert main_text.extracted(pages.limit(0)).collect() == []
+    with pytest.raises(ValueError, match="name another"):
+        main_text.extracted(pages, to="Weights")
+
+
 # --- 7 leaks
 
 
