@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from broadsheet.session import cut_lineage
 
 
 def total_articles(articles: DataFrame) -> DataFrame:
@@ -48,8 +49,24 @@ def entity_directory(entities: DataFrame) -> DataFrame:
     return directory.orderBy(F.desc("occurrence_count"), F.asc("canonical_name"), F.asc("entity_type"))
 
 
+#: Most entities a cloud shows; their keys are broadcast.
+CLOUD_LIMIT = 10_000
+
+
 def entity_cloud(entities: DataFrame, k: int = 25) -> DataFrame:
-    return entity_directory(entities).limit(k)
+    """The ``k`` most mentioned entities in the form of the directory; only their spellings are gathered."""
+    if not 0 <= k <= CLOUD_LIMIT:
+        raise ValueError(f"a cloud shows at most {CLOUD_LIMIT} entities")
+    order = [F.desc("occurrence_count"), F.asc("canonical_name"), F.asc("entity_type")]
+    counted = entities.groupBy("canonical_name", "entity_type").agg(F.count("*").alias("occurrence_count"))
+    top = cut_lineage(counted.orderBy(*order).limit(k))
+    same = lambda left, right: F.col(f"{left}.canonical_name").eqNullSafe(F.col(f"{right}.canonical_name")) & F.col(
+        f"{left}.entity_type").eqNullSafe(F.col(f"{right}.entity_type"))
+    mine = entities.alias("e").join(F.broadcast(top).alias("t"), same("e", "t"), "left_semi")
+    spelled = mine.groupBy("canonical_name", "entity_type").agg(F.array_sort(F.collect_set("raw_name")).alias("aliases"))
+    return top.alias("t").join(F.broadcast(spelled).alias("s"), same("t", "s")).select(
+        "t.canonical_name", "t.entity_type", "s.aliases", "t.occurrence_count"
+    ).orderBy(*order)
 
 
 def translation_pairs(articles: DataFrame, limit: int | None = None) -> DataFrame:

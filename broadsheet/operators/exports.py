@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from broadsheet.functions import textclean
 from broadsheet.operators import registry, search
@@ -16,21 +16,25 @@ RESULT_TITLES = (
 BOM = chr(0xFEFF)
 
 
-def result_rows(rows: DataFrame) -> DataFrame:
-    """A result page (see ``search.results``) as export columns, all text."""
+def _export_columns() -> list[Column]:
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     listed = lambda c: F.coalesce(F.array_join(c, ";"), F.lit(""))
     columns = [text(c) for c in search.RESULT_COLUMNS[:10]]
     columns += [listed(c) for c in ("topics", "themes", "keywords")]
     columns += [F.format_string("%.4f", F.col("similarity")), search.entity_text(F.col("entities"))]
-    return rows.select(*[c.alias(title) for c, title in zip(columns, RESULT_TITLES)])
+    return [c.alias(title) for c, title in zip(columns, RESULT_TITLES, strict=True)]
+
+
+def result_rows(rows: DataFrame) -> DataFrame:
+    """A result page (see ``search.results``) as export columns, all text."""
+    return rows.select(*_export_columns())
 
 
 def result_export(articles: DataFrame, entities: DataFrame, request: search.SearchRequest,
                   limit: int | None = search.MAX_LIMIT) -> DataFrame:
     """Export rows of a search, never filtered by language: the first ``limit``, or all of them for ``None``.
 
-    All rows come unordered, for ``write_csv``; a limited export is a page in its order.
+    All rows come unordered (see ``write_ordered_csv``); a limited export is a page in its order.
     """
     wide = {**request.__dict__, "language": None, "offset": 0}
     if limit is None:
@@ -52,13 +56,33 @@ def write_single_csv(rows: DataFrame, path: str) -> None:
     whole.select("value").write.mode("overwrite").text(path)
 
 
-def registry_export(sources: DataFrame, input_by: str | None = None) -> DataFrame:
-    return registry.listed(sources, include_deleted=True, input_by=input_by)
+def write_ordered_csv(articles: DataFrame, entities: DataFrame, request: search.SearchRequest, path: str) -> None:
+    """All results of a search, in its order, as CSV parts: their files in the order of their names are one file with one header.
+
+    Parts are ranges of the order, so no task sees more than its own; values may hold line breaks.
+    """
+    wide = search.SearchRequest(**{**request.__dict__, "language": None, "offset": 0})
+    rows = search.every_result(articles, entities, wide)
+    keys = [F.col("similarity").alias("_similarity"), F.col("datetime").alias("_datetime"), F.col("uid").alias("_uid")]
+    made = rows.select(*_export_columns(), *keys)
+    quoted = [_quoted(F.coalesce(F.col(f"`{title}`"), F.lit(""))) for title in RESULT_TITLES]
+    lines = made.select(F.concat_ws(",", *quoted).alias("value"), F.lit(1).alias("_part"), "_similarity", "_datetime", "_uid")
+    head = BOM + ",".join(f'"{title}"' for title in RESULT_TITLES)
+    header = rows.sparkSession.range(1).select(F.lit(head).alias("value"), F.lit(0).alias("_part"))
+    by_date = wide.is_keyword or wide.sort_by == "date"
+    order = [F.asc("_part"), F.desc("_datetime" if by_date else "_similarity"), F.asc("_uid")]
+    header.unionByName(lines, allowMissingColumns=True).orderBy(*order).select("value").write.text(path)
+
+
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of an export, without its header."""
+    schema = ", ".join(f"`{title}` string" for title in RESULT_TITLES)
+    rows = spark.read.csv(path, schema=schema, multiLine=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return rows.filter(~F.col("UID").isin(BOM + '"UID"', BOM + "UID", "UID")).na.fill("")
 
 
-def write_csv(rows: DataFrame, path: str) -> None:
-    """Any size: one CSV part per partition, each with a header."""
-    rows.write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+def registry_export(sources: DataFrame, input_by: str | None = None) -> DataFrame:
+    return registry.listed(sources, include_deleted=True, input_by=input_by)
 
 
 def raw_exports(articles: DataFrame) -> DataFrame:

@@ -8,9 +8,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from broadsheet.operators import enrich, ingest
+from broadsheet.operators import enrich, ingest, translation
 from broadsheet.operators.store import Store
 from broadsheet.schemas import ARTICLES, align_schema
+from broadsheet.session import cut_lineage
 
 #: Of the rows of one uid the earliest by these counts; names are resolved in this order.
 ORDER = ["datetime", "url", "title"]
@@ -20,6 +21,23 @@ ORDER = ["datetime", "url", "title"]
 class Models:
     analyst: enrich.Infer
     embedder: enrich.Embed
+    translators: translation.Translators | None = None
+    #: Folder of the cached translations.
+    translations: str | None = None
+
+
+def english(rows: DataFrame, models: Models) -> DataFrame:
+    """Summaries of other languages translated by the tier of their language; texts without a translator keep the analyst's."""
+    if models.translators is None:
+        return rows
+    if models.translations is None:
+        raise ValueError("translators need a folder for the translations they keep")
+    spark = rows.sparkSession
+    done, fresh = translation.routed(rows, translation.cached(spark, models.translations), models.translators, "summary_orig", to="_english")
+    done = cut_lineage(done)  # read before the cache grows
+    translation.remember(spark, fresh, models.translations)
+    translated = F.when(F.col("route") != translation.NONE, F.col("_english")).otherwise(F.col("summary_en"))
+    return done.withColumn("summary_en", translated).drop("_english", "route")
 
 
 def prompt_of(title: Column, sender: Column, body: Column) -> Column:
@@ -41,7 +59,7 @@ def analysed(raw: DataFrame, models: Models, at: datetime.datetime | Column) ->
     prompted = capped.withColumn("prompt", prompt_of(F.col("title"), F.col("sender"), F.col("model_text")))
     inferred = enrich.infer(prompted, "prompt", models.analyst)
     valid = enrich.normalised(enrich.parsed(enrich.answered(inferred)).filter("is_valid"))
-    described = enrich.publisher_columns(enrich.with_image_note(valid))
+    described = enrich.publisher_columns(enrich.with_image_note(english(valid, models)))
     both = enrich.embedded(described, models.embedder)
     articles = both.withColumns({
         "summary": F.col("summary_en"), "original_language_summary": F.col("summary_orig"), "detected_language": F.col("language"),

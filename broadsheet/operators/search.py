@@ -151,6 +151,38 @@ def page(found: DataFrame, request: SearchRequest) -> DataFrame:
     return found.orderBy(*_order(request)).offset(request.offset).limit(request.limit)
 
 
+#: Digits of a similarity that order seek pages; scores of one article may differ behind them from run to run.
+SEEK_DIGITS = 12
+
+
+def _seek_key(request: SearchRequest) -> Column:
+    by_date = request.is_keyword or request.sort_by == "date"
+    return F.col("datetime") if by_date else F.round("similarity", SEEK_DIGITS)
+
+
+def page_after(found: DataFrame, request: SearchRequest, cursor: tuple[object, str] | None = None) -> DataFrame:
+    """The page behind ``cursor``, the first one without.
+
+    Every page costs the same: no row before it is sorted or sent anywhere. Articles without a date come last.
+    """
+    rows = found.withColumn("_at", _seek_key(request))
+    if cursor is not None:
+        at, uid = cursor
+        same_at = F.col("uid") > uid
+        if at is None:
+            rows = rows.filter(F.col("_at").isNull() & same_at)
+        else:
+            there = F.lit(at).cast(rows.schema["_at"].dataType)
+            rows = rows.filter((F.col("_at") < there) | F.col("_at").isNull() | ((F.col("_at") == there) & same_at))
+    return rows.orderBy(F.desc_nulls_last("_at"), F.asc("uid")).limit(request.limit).drop("_at")
+
+
+def cursor_after(shown: DataFrame, request: SearchRequest) -> tuple[object, str] | None:
+    """Where a (materialised) page of at most ``request.limit`` rows ends; None for an empty one."""
+    last = shown.select(_seek_key(request).alias("at"), "uid").orderBy(F.desc_nulls_last("at"), F.asc("uid")).tail(1)
+    return (last[0]["at"], last[0]["uid"]) if last else None
+
+
 def page_numbers(totals: DataFrame, offset: int, page_size: int = PAGE_SIZE) -> DataFrame:
     last = F.greatest(F.ceil(F.col("total_count") / page_size), F.lit(1))
     return totals.select(

@@ -8,13 +8,13 @@ import uuid
 from pyspark.sql import functions as F
 
 from broadsheet.functions import similarity, textclean
-from broadsheet.operators import enrich, entities
+from broadsheet.operators import enrich, entities, translation
 from broadsheet.plans import bindings as b
 from broadsheet.plans import stand_ins
 from broadsheet.plans.bindings import with_views
 from broadsheet.plans.corpus_queries import _match_sql
 from broadsheet.schemas import ARTICLES
-from broadsheet.session import shared_folder, widen
+from broadsheet.session import cut_lineage, shared_folder, widen
 from broadsheet.streaming import jobs
 
 
@@ -97,6 +97,37 @@ def translation_fallback(spark, sf):
     return enrich.translate(rows, stand_ins.first_translator, stand_ins.second_translator)
 
 
+def _spoken():
+    """Every fourth document counts as written in a low-resource language."""
+    return F.when(F.col("doc_id") % 4 == 0, "zu").otherwise(F.col("lang")).alias("language")
+
+
+def _translators():
+    return translation.Translators(stand_ins.low_resource_translator, stand_ins.primary_translator, stand_ins.second_translator, "model-b")
+
+
+def translation_router(spark, sf):
+    rows = _documents(spark, sf).select("doc_id", "text", _spoken(), "source")
+    known = rows.filter("language = 'zu' AND source IN ('src0', 'src2', 'src4', 'src6', 'src8')")
+    key = textclean.translation_key(F.col("text"), F.col("language"), F.lit("model-b"))
+    cache = known.select(key.alias("cache_key"), F.concat(F.lit("cached "), "text").alias("translation"))
+    done, _ = translation.routed(rows, cache, _translators())
+    return done.select("doc_id", "language", "route", "translation")
+
+
+def translation_cache(spark, sf):
+    """Routes and cache after the documents went through twice: each key is stored once, and the second time comes from the cache."""
+    rows = _documents(spark, sf).select("doc_id", "text", _spoken())
+    folder = _fresh_folder(spark, "translations")
+    for _ in range(2):
+        done, fresh = translation.routed(rows, translation.cached(spark, folder), _translators())
+        done = cut_lineage(done)
+        translation.remember(spark, fresh, folder)
+    routes = done.groupBy("route").agg(F.count("*").alias("n"))
+    stored = translation.cached(spark, folder).agg(F.lit("stored").alias("route"), F.count("*").alias("n"))
+    return routes.unionByName(stored)
+
+
 def publisher_fallback(spark, sf):
     rows = enrich.publisher_columns(enrich.parsed(_responses(spark, sf)).filter("is_valid"))
     return rows.select("doc_id", "author", "source", "content_type")
@@ -334,6 +365,11 @@ _SEPARATOR = "chr(1)"
 _KEY = f"sha256(text || {_SEPARATOR} || lang || {_SEPARATOR} || 'model-a')"
 _HIT = f"""(SELECT {_KEY} FROM documents WHERE source IN ('src0', 'src2', 'src4', 'src6', 'src8'))"""
 
+_PROMPTS = """SELECT *, language = 'zu' AS low, language = 'zu' AND text IN (SELECT text FROM documents WHERE doc_id % 4 = 0
+  AND source IN ('src0', 'src2', 'src4', 'src6', 'src8')) AS hit,
+ 'Translate from ' || language || ' into English. Answer with the translation alone.' || chr(10) || chr(10) || text AS prompt
+ FROM (SELECT *, CASE WHEN doc_id % 4 = 0 THEN 'zu' ELSE lang END AS language FROM documents)"""
+
 QUERIES = {
     "analysis_parse": (analysis_parse, """
 SELECT doc_id, doc_id % 10 <> 2 AS is_valid, CASE WHEN doc_id % 10 <> 2 THEN text END AS summary_en,
@@ -353,6 +389,16 @@ SELECT doc_id, language, CASE WHEN language IN ('xh', 'zu', 'tn', 'rw', 'st', 's
     "translation_fallback": (translation_fallback, """
 SELECT doc_id, text, lang AS language, CASE WHEN length(text) % 2 = 0 THEN 'T:' || md5(text) WHEN length(text) % 3 <> 0 THEN 'R:' || md5(text)
  ELSE '[Translation Failed - Original Language: ' || lang || ']' || chr(10) || chr(10) || text END AS translation FROM documents"""),
+    "translation_router": (translation_router, f"""
+WITH p AS ({_PROMPTS}) SELECT doc_id, language, CASE WHEN language = 'en' OR trim(text) = '' THEN 'none' WHEN hit THEN 'cache' WHEN low AND length(prompt) % 5 <> 0 THEN 'low_resource'
+  WHEN length(prompt) % 2 = 0 THEN 'primary' WHEN length(prompt) % 3 <> 0 THEN 'secondary' ELSE 'failed' END AS route,
+ CASE WHEN language = 'en' OR trim(text) = '' THEN text WHEN hit THEN 'cached ' || text WHEN low AND length(prompt) % 5 <> 0 THEN 'L:' || md5(prompt)
+  WHEN length(prompt) % 2 = 0 THEN 'T:' || md5(prompt) WHEN length(prompt) % 3 <> 0 THEN 'R:' || md5(prompt)
+  ELSE '[Translation Failed - Original Language: ' || language || ']' || chr(10) || chr(10) || text END AS translation FROM p"""),
+    "translation_cache": (translation_cache, f"""
+WITH p AS ({_PROMPTS}), r AS (SELECT text, CASE WHEN language = 'en' OR trim(text) = '' THEN 'none' WHEN low AND length(prompt) % 5 <> 0 THEN 'cache'
+  WHEN length(prompt) % 2 = 0 THEN 'primary' WHEN length(prompt) % 3 <> 0 THEN 'secondary' ELSE 'failed' END AS route FROM p)
+SELECT route, count(*) AS n FROM r GROUP BY route UNION ALL SELECT 'stored', count(DISTINCT text) FROM r WHERE route = 'cache'"""),
     "publisher_fallback": (publisher_fallback, """
 SELECT doc_id, 'Unknown' AS author, source, CASE WHEN doc_id % 5 <> 0 THEN 'rss' ELSE 'Web' END AS content_type
 FROM documents WHERE doc_id % 10 <> 2"""),

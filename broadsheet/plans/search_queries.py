@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from broadsheet.functions import keyword, vectors
@@ -9,6 +11,7 @@ from broadsheet.operators import exports, search
 from broadsheet.operators.search import SearchRequest
 from broadsheet.plans import bindings as b
 from broadsheet.plans.bindings import with_views
+from broadsheet.session import cut_lineage, shared_folder
 
 
 def _request(spark, sf, **options) -> SearchRequest:
@@ -76,6 +79,17 @@ def search_page_offset(spark, sf):
     return rows.select("uid", F.round("similarity", 6).alias("similarity"))
 
 
+def search_page_seek(spark, sf):
+    """The third page, reached from cursor to cursor."""
+    request = _request(spark, sf, limit=20)
+    found = search.hits(b.articles(spark, sf, labels=False), request)
+    cursor = None
+    for _ in range(3):
+        rows = cut_lineage(search.page_after(found, request, cursor))
+        cursor = search.cursor_after(rows, request)
+    return rows.select("uid", F.round("similarity", 6).alias("similarity"))
+
+
 def page_numbers(spark, sf):
     request = _request(spark, sf, threshold=0.05)
     totals = search.total(search.hits(b.articles(spark, sf, labels=False), request))
@@ -142,6 +156,14 @@ def csv_projection(spark, sf):
     return exports.result_export(b.articles(spark, sf, labels=False), b.entities(spark, sf), request)
 
 
+def csv_export(spark, sf):
+    """All results written in parts and read back."""
+    request = _request(spark, sf, threshold=0.05, language="fr", content_type="email,rss,telegram")
+    folder = f"{shared_folder(spark)}/export-{uuid.uuid4().hex}"
+    exports.write_ordered_csv(b.articles(spark, sf, labels=False), b.entities(spark, sf), request, folder)
+    return exports.read_csv(spark, folder)
+
+
 def raw_exports(spark, sf):
     return exports.raw_exports(b.articles(spark, sf, vectors=False, labels=False))
 
@@ -182,6 +204,9 @@ spine AS (SELECT CAST(unnest(generate_series(CAST(lo AS TIMESTAMP), CAST(hi AS T
 SELECT spine.dt, coalesce(cnt, 0) AS cnt FROM spine LEFT JOIN days ON spine.dt = days.dt""")),
     "search_page_offset": (search_page_offset, with_views("articles", f"""
 SELECT uid, round({COS_EN}, 6) AS similarity FROM articles WHERE english_embedding IS NOT NULL
+{_PAGE_SQL.format(cos=COS_EN, n=20, o=40)}""")),
+    "search_page_seek": (search_page_seek, with_views("articles", f"""
+SELECT uid, round({COS_EN}, 6) AS similarity FROM articles WHERE english_embedding IS NOT NULL
 {_PAGE_SQL.format(cos=COS_EN, n=20, o=40)}""")),
     "page_numbers": (page_numbers, with_views("articles", f"""
 SELECT n AS total_count, CAST(ceil(n / 20) AS BIGINT) AS total_pages, CAST(3 AS BIGINT) AS current_page,
@@ -237,6 +262,16 @@ FROM page LEFT JOIN lists ON lists.uid = page.uid""")),
 , page AS (SELECT *, {COS_EN} AS similarity FROM articles
  WHERE english_embedding IS NOT NULL AND content_type IN ('email', 'rss', 'telegram') AND {COS_EN} >= 0.05
  {_PAGE_SQL.format(cos=COS_EN, n=10000, o=0)}), {_ENTITY_LIST}
+SELECT page.uid AS "UID", strftime(datetime, '%Y-%m-%d %H:%M:%S') AS "Date", source AS "Source", sender AS "Sender",
+ title AS "Title", url AS "URL", summary AS "English Summary", coalesce(original_language_summary, '') AS "Original Summary",
+ detected_language AS "Detected Language", content_type AS "Content Type", array_to_string(topics, ';') AS "Topics",
+ array_to_string(themes, ';') AS "Themes", array_to_string(keywords, ';') AS "Keywords",
+ printf('%.4f', similarity) AS "Cosine Similarity Score", coalesce(entity_list, '') AS "Resolved Entities"
+FROM page LEFT JOIN lists ON lists.uid = page.uid""")),
+    "csv_export": (csv_export, with_views("articles entities", f"""
+, page AS (SELECT *, {COS_EN} AS similarity FROM articles
+ WHERE english_embedding IS NOT NULL AND content_type IN ('email', 'rss', 'telegram') AND {COS_EN} >= 0.05
+), {_ENTITY_LIST}
 SELECT page.uid AS "UID", strftime(datetime, '%Y-%m-%d %H:%M:%S') AS "Date", source AS "Source", sender AS "Sender",
  title AS "Title", url AS "URL", summary AS "English Summary", coalesce(original_language_summary, '') AS "Original Summary",
  detected_language AS "Detected Language", content_type AS "Content Type", array_to_string(topics, ';') AS "Topics",

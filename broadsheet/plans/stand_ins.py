@@ -93,6 +93,18 @@ def judge(prompts: list[str]) -> list[str]:
     return answers
 
 
+def low_resource_translator(prompts: list[str]) -> list[str | None]:
+    """A digest of the prompt; refuses calls that hold a prompt whose length five divides."""
+    if any(len(p) % 5 == 0 for p in prompts):
+        raise ValueError("a prompt was refused")
+    return [f"L:{_digest(p)}" for p in prompts]
+
+
+def primary_translator(prompts: list[str]) -> list[str | None]:
+    """A digest of the prompt; blank answers to prompts of odd length."""
+    return [" " if len(p) % 2 else f"T:{_digest(p)}" for p in prompts]
+
+
 def first_translator(texts: list[str]) -> list[str | None]:
     """A digest; texts of odd length come back unchanged, which counts as a failure."""
     return [f"T:{_digest(t)}" if len(t) % 2 == 0 else t for t in texts]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import email
 import re
-from email.header import decode_header
+from email import policy
 from email.message import Message
 
 import pandas as pd
@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from broadsheet.functions import dates, textclean
 from broadsheet.sources import markup
 
-# Tags whose text is skipped and the anchor texts of a browser link.
-SKIPPED_TAGS = frozenset(("style", "script", "head", "title", "meta"))
+# Tags whose text is skipped (those that have no end hold none) and the anchor texts of a browser link.
+SKIPPED_TAGS = frozenset(("style", "script", "head", "title"))
 BROWSER_PHRASES = (
     "view in browser", "view online", "read online", "read in browser",
     "view this email in your browser", "view this post in your browser", "open in browser",
@@ -28,36 +28,32 @@ _MAIL = "struct<" + ",".join(f"{f}:string" for f in _FIELDS) + ">"
 def html_mail_text(source: str, pick: str = "last") -> tuple[str, str | None]:
     """Text runs joined by a space, and the address behind a view-in-browser anchor."""
     runs: list[str] = []
-    found: list[str] = []
-    skipping, href = False, None
-    for kind, name, content in markup.pieces(source):
-        if kind == "open" and name in SKIPPED_TAGS:
-            skipping = True
-        elif kind == "close" and name in SKIPPED_TAGS:
-            skipping = False
-        elif kind in ("open", "close") and name == "a":
-            href = markup.attributes(content).get("href") if kind == "open" else None
-        elif kind == "text" and not skipping and content.strip():
-            run = content.strip()
+    links: list[str] = []
+    # Nodes still to read, each with the address it stands under and whether it shows.
+    waiting = [(markup.tree(source), None, True)]
+    while waiting:
+        node, href, shown = waiting.pop()
+        if isinstance(node, markup.Element):
+            if node.tag == "a":
+                href = node.attrs.get("href")
+            # A head that is never closed ends where the body begins.
+            shown = node.tag == "body" or (shown and node.tag not in SKIPPED_TAGS)
+            waiting += [(child, href, shown) for child in reversed(node.children)]
+        elif shown and (run := node.strip()):
             runs.append(run)
-            if href and any(p in run.lower() for p in BROWSER_PHRASES):
-                found.append(href)
-    url = (found[-1] if pick == "last" else found[0]) if found else None
-    return " ".join(runs), url
+            if href and any(phrase in run.lower() for phrase in BROWSER_PHRASES):
+                links.append(href)
+    return " ".join(runs), (links[0 if pick == "first" else -1] if links else None)
 
 
 def decoded_header(value: str | None) -> str:
-    """RFC 2047 words decoded and merged."""
+    """Unfolded header with its RFC 2047 words decoded."""
     if not value:
         return ""
-    value = re.sub(r"\r?\n(?=[ \t])", "", str(value))
     try:
-        return "".join(
-            part.decode(charset or "utf-8", "replace") if isinstance(part, bytes) else part
-            for part, charset in decode_header(value)
-        )
+        return str(policy.default.header_fetch_parse("subject", str(value)))
     except (LookupError, ValueError):
-        return value
+        return str(value)
 
 
 def _part_text(part: Message) -> str:

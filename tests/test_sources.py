@@ -232,3 +232,8 @@ def test_degenerate_output():
 def test_markup_reader_handles_broken_pages():
     assert markup.tree("<p>a < b &amp; c<script>x<y</script").text() == "a < b & cx<y</script"
     assert markup.tree("<div class=a><p>x</div>y").find(markup.selector(".a")).text() == "x"
+
+
+def test_mail_text_after_tags_without_an_end():
+    assert mail.html_mail_text("<body><meta charset=utf-8><p>Hello</p>") == ("Hello", None)
+    assert mail.html_mail_text("<head><title>T</title><body>Read <a href=/x>View in browser</a><style>p{}</style>.") == ("Read View in browser .", "/x")
