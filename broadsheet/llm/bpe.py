@@ -87,7 +87,8 @@ class TrieEncoder:
         self._starts = {stem[:k] for table in (self._inner, self._final) for stem in table for k in range(1, len(stem) + 1)}
         self._edges: tuple[dict, dict] = ({}, {})
         self._seams: dict[tuple[int, int], bool] = {}
-        self.known: dict[str, tuple[str, str]] = {}
+        self.known: dict[str, str] = {}
+        self._said = {str(i): t for i, t in self._text.items()}
 
     def _reaches(self, stem: str, last: bool, token: int) -> bool:
         """Whether merging this token's own text gives the token; keeps its last merge."""
@@ -180,7 +181,7 @@ class TrieEncoder:
                 depth, ending = depth - size, False
             last.pop()  # the state of a whole word holds its word end: longer words start one letter before
             tokens.reverse()
-            self.known[said] = (" ".join(map(str, tokens)), " ".join([text[t] for t in tokens]))
+            self.known[said] = " ".join(map(str, tokens))
             before = word
 
     def split(self, text: str) -> list[str]:
@@ -213,10 +214,15 @@ class TrieEncoder:
             self.known.clear()
             fresh = set().union(*out)
         for name, token in specials.items():
-            self.known["\0" + name] = (str(token), name)
+            self.known["\0" + name] = str(token)
         self.learn(fresh - self.known.keys())
         return out
 
+    def decoded(self, ids: str) -> str:
+        """The text of ids that a space separates: the tokens' texts, joined by one space."""
+        said = self._said
+        return " ".join([said[i] for i in ids.split(" ")]) if ids else ""
+
 
 _encoders: dict[str, TrieEncoder] = {}
 
@@ -241,7 +247,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", to: str = "token_ids"
         for batch in batches:
             for first in range(0, batch.num_rows, _ROWS):
                 part = batch.slice(first, _ROWS)
-                said = [" ".join([encoder.known[w][0] for w in words]) for words in encoder.pieces([t or "" for t in part.column(names.index(text)).to_pylist()])]
+                said = [" ".join([encoder.known[w] for w in words]) for words in encoder.pieces([t or "" for t in part.column(names.index(text)).to_pylist()])]
                 counts = [ids.count(" ") + 1 if ids else 0 for ids in said]
                 flat = np.array(" ".join([x for x in said if x]).split(), dtype=np.int32)
                 lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), pa.array(flat))
@@ -273,11 +279,10 @@ def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
             counts, of_ids, of_texts = [], [], []
             for first in range(0, batch.num_rows, _ROWS):
                 for words in encoder.pieces([t or "" for t in batch.column("text").slice(first, _ROWS).to_pylist()]):
-                    entries = [encoder.known[w] for w in words]
-                    ids = " ".join([e[0] for e in entries])
+                    ids = " ".join([encoder.known[w] for w in words])
                     counts.append(ids.count(" ") + 1 if ids else 0)
                     of_ids.append(sha256(ids.encode()).hexdigest())
-                    of_texts.append(sha256(" ".join([e[1] for e in entries]).encode()).hexdigest())
+                    of_texts.append(sha256(encoder.decoded(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_texts, pa.string())],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
