@@ -88,7 +88,7 @@ class TrieEncoder:
         self._edges: tuple[dict, dict] = ({}, {})
         self._seams: dict[tuple[int, int], bool] = {}
         self.known: dict[str, str] = {}
-        self._said = {str(i): t for i, t in self._text.items()}
+        self._said: dict[str, str] = {}
 
     def _reaches(self, stem: str, last: bool, token: int) -> bool:
         """Whether merging this token's own text gives the token; keeps its last merge."""
@@ -218,10 +218,15 @@ class TrieEncoder:
         self.learn(fresh - self.known.keys())
         return out
 
-    def decoded(self, ids: str) -> str:
-        """The text of ids that a space separates: the tokens' texts, joined by one space."""
-        said = self._said
-        return " ".join([said[i] for i in ids.split(" ")]) if ids else ""
+    def decoded(self, groups: list[str]) -> str:
+        """The text of groups of ids (a space between ids): the tokens' texts, joined by one space. Each group is decoded once."""
+        said, text = self._said, self._text
+        if len(said) > WORDS_KEPT:
+            said.clear()
+        for group in groups:
+            if group not in said:
+                said[group] = " ".join([text[int(i)] for i in group.split(" ")])
+        return " ".join([said[group] for group in groups])
 
 
 _encoders: dict[str, TrieEncoder] = {}
@@ -279,10 +284,11 @@ def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
             counts, of_ids, of_texts = [], [], []
             for first in range(0, batch.num_rows, _ROWS):
                 for words in encoder.pieces([t or "" for t in batch.column("text").slice(first, _ROWS).to_pylist()]):
-                    ids = " ".join([encoder.known[w] for w in words])
+                    groups = [encoder.known[w] for w in words]
+                    ids = " ".join(groups)
                     counts.append(ids.count(" ") + 1 if ids else 0)
                     of_ids.append(sha256(ids.encode()).hexdigest())
-                    of_texts.append(sha256(encoder.decoded(ids).encode()).hexdigest())
+                    of_texts.append(sha256(encoder.decoded(groups).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_texts, pa.string())],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
