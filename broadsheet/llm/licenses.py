@@ -5,8 +5,9 @@ template if it contains at least ``CONTAINMENT`` of them. The join finds all suc
 every block: the template's tokens are put in order of their frequency in the
 whole corpus, and a block that meets the template must hold one of the rarest few (the
 prefix), whose number follows from the threshold. Only words that equal a prefix token
-are joined with the templates; their place gives the few blocks to verify (positional filter), and
-stretches at the end of a text that are too short are left out (length filter).
+are joined with the templates. Of the words around such a hit the places of the template's tokens are noted, and only stretches
+that hold as many places as the threshold needs are cut out and counted (positional filter); too short ones
+at the end of a text are left out (length filter).
 
 Base places, where a template's words stand consecutively, are among the blocks found.
 All templates together are a fixed table of a few rows, the only thing broadcast.
@@ -72,11 +73,25 @@ def blocks(keyed: DataFrame, least: float = CONTAINMENT) -> DataFrame:
     at = keyed.select("doc_id", "_text", "_words", F.posexplode("_words").alias("at", "token"))
     hits = at.join(F.broadcast(known), "token")  # a fixed table: a few rows for each template
     length = F.greatest("size", F.size("said"))
-    starts = hits.select("doc_id", "_text", "_words", *known.drop("token").columns,
-                         F.explode(F.sequence(F.greatest(F.lit(0), F.col("at") - length + 1), F.col("at"))).alias("start"))
-    block = F.slice("_words", F.col("start") + 1, F.col("size"))
+    # From here on a hit carries the words around it, not those of its text.
+    low = F.greatest(F.lit(0), F.col("at") - length + 1)
+    around = hits.withColumn("low", low).withColumn("_around", F.slice("_words", F.col("low") + 1, F.col("at") - F.col("low") + length)).drop("_words")
+    marked = F.filter(F.transform("_around", lambda w, i: F.when(F.array_contains("tokens", w), i)), lambda i: i.isNotNull())
+
+    def viable(places: Column) -> Column:
+        """Starts of stretches with enough places; no block holds more of the tokens than it has of these."""
+
+        def enough(start: Column) -> Column:
+            return F.size(F.filter(places, lambda p: (p >= start) & (p < start + F.col("size")))) >= F.col("needed")
+
+        first = F.sequence(F.lit(0), F.col("at") - F.col("low"))
+        return F.when(F.size(places) >= F.col("needed"), F.filter(first, enough)).otherwise(F.array().cast("array<int>"))
+
+    # The places are found once for each hit, not for each start.
+    starts = around.withColumn("_at", F.explode(F.element_at(F.transform(F.array(marked), viable), 1))).withColumn("start", F.col("low") + F.col("_at"))
+    block = F.slice("_around", F.col("_at") + 1, F.col("size"))
     cut = starts.select("doc_id", "_text", "template", "label", "start", "needed", "size", "tokens", block.alias("block"),
-                        (F.col("base") & (F.slice("_words", F.col("start") + 1, F.size("said")) == F.col("said"))).alias("is_base"))
+                        (F.col("base") & (F.slice("_around", F.col("_at") + 1, F.size("said")) == F.col("said"))).alias("is_base"))
     shared = cut.filter(F.size("block") >= F.col("needed")).withColumn("shared", F.size(F.array_intersect("tokens", "block")))
     return shared.filter(F.col("is_base") | (F.col("shared") >= F.col("needed"))).select(
         "doc_id", "_text", "template", "label", "start", "is_base", (F.col("shared") / F.col("size")).alias("share")
