@@ -1,13 +1,14 @@
 """Documents that hold benchmark items: word n-grams as seeds, Smith-Waterman on words.
 
-Three-word runs of an item are its seeds. Wherever one hits, however many documents hold it, the item is aligned
-locally with the words around, and the score, as a share
+Three-word runs of an item are seeds, of which it keeps the rarest in the whole corpus: one more than changes to ``EDITED``
+of its words can destroy, as each change breaks ``SEED`` runs at most, so every copy changed no further still holds one. Wherever
+one of them hits the item is aligned locally with the words around, and the score, as a share
 of the score of a verbatim copy, tells copies (also edited ones: a fifth
-of the words changed leaves about two thirds) from chance. Places with too few of the item's words
+of the words changed leaves about two thirds) from chance. A phrase that many texts hold seeds only items that have little else. Places with too few of the item's words
 for the threshold, in whatever order, are left out before; no alignment there could reach it.
 
-Test items go to the tasks in blocks of at most ``BLOCK_BYTES`` of text, one pass each, so nothing that grows
-with the corpus is broadcast and documents are never shuffled.
+Test items go to the tasks in blocks of at most ``BLOCK_BYTES`` of text, two passes each (to count seeds, to search), so nothing that
+grows with the corpus is broadcast and documents are never shuffled; a task sends on one count for each seed of the block.
 
 Defined cases: items of fewer than ``SEED`` words, or null, match nothing; equal items match each; null and
 empty texts hold none; repeated rows are searched each on its own; all columns of ``docs`` stay.
@@ -25,6 +26,8 @@ from pyspark.sql import DataFrame, functions as F
 from broadsheet.llm.arrow_text import columns, per_row, row_blocks, scramble, words_of
 
 SEED = 3
+#: Share of an item's words that may be changed with a seed sure to be left.
+EDITED = 0.2
 BLOCK_BYTES = 8 << 20
 MATCH, MISMATCH, GAP = 3, -2, -2
 THRESHOLD = 0.45
@@ -57,6 +60,15 @@ class Items:
         self.seeds, self.item = seeds[order], rows[at[order]]
         self.place = at[order] - self.bounds[self.item]
 
+    def keep_rarest(self, held: dict[int, int]) -> None:
+        """Leaves each item its rarest seeds; ``held`` says how often a seed stands in the corpus, if it does."""
+        found = np.array([held.get(int(x), 0) for x in self.seeds.view(np.int64)], np.int64)
+        order = np.lexsort((self.place, found, self.item))
+        sizes = np.diff(self.bounds)
+        rank = np.arange(len(order)) - per_row(self.item[order], len(sizes))[self.item[order]]
+        kept = np.sort(order[rank <= SEED * (sizes[self.item[order]] * EDITED).astype(np.int64)])
+        self.seeds, self.item, self.place = self.seeds[kept], self.item[kept], self.place[kept]
+
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[float, int, int]:
     """Best local alignment: score as a share of a verbatim copy's, first and last word in ``text``."""
@@ -145,6 +157,25 @@ def _word_blocks(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.nd
         yield last - first, rows, rolling.of(starts, ends)
 
 
+def _held(texts: DataFrame, shared) -> dict[int, int]:
+    """How often each seed of a block of items stands in ``texts`` (column text), of those that do: no more than the block has."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.unique(shared.value[0].seeds)
+        counts = np.zeros(len(known), np.int64)
+        for batch in batches:
+            for _, of, words in _word_blocks(batch):
+                _, seeds = runs(of, words)
+                if len(known) and len(seeds):
+                    at = np.minimum(np.searchsorted(known, seeds), len(known) - 1)
+                    counts += np.bincount(at[known[at] == seeds], minlength=len(known))
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(known[some].view(np.int64)), pa.array(counts[some])], names=["seed", "n"])
+
+    found = texts.mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).toArrow()
+    return dict(zip(found.column("seed").to_pylist(), found.column("n").to_pylist(), strict=True))
+
+
 def _searcher(shared, least: float):
     @F.pandas_udf("array<struct<item_id: string, score: double, first_word: long, last_word: long>>")
     def search(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -170,8 +201,11 @@ def with_leaks(docs: DataFrame, items: DataFrame, to: str = "leaks", item_key: s
     for block in range(blocks):
         own = said.filter(F.pmod(F.xxhash64("name"), F.lit(blocks)) == block).orderBy("name", "said").collect()  # about BLOCK_BYTES
         table = Items([r["said"] for r in own])
-        shared = spark.sparkContext.broadcast((table, [r["name"] for r in own]))
-
+        names = [r["name"] for r in own]
+        every = spark.sparkContext.broadcast((table, names))
+        table.keep_rarest(_held(docs.select(F.col(text).cast("string").alias("text")), every))
+        every.unpersist()
+        shared = spark.sparkContext.broadcast((table, names))
         parts.append(_searcher(shared, least)(F.col(text).cast("string")))
     return out.withColumn(to, F.concat(*parts))
 
