@@ -4,8 +4,9 @@ Each text gets counts, and from them four shares as whole numbers. Per language
 quantile sketch of each share is gathered: counts of logarithmic bins with ``1 << DETAIL`` steps to a
 power of two, exact to a sixteenth of the value, deterministic, and merged by adding counts, so tasks
 pre-aggregate and a hot source costs one row a bin and task. A share far above what
-is usual there, beyond the third quartile by ``REACH`` times the distance of the quartiles and in
-any case above ``FLOORS``, fails the rule. Small groups use the merged sketches of their language.
+is usual there, beyond the third quartile by more than ``REACH`` times the distance of the quartiles, fails
+the rule. No threshold is fixed: ``WIDTHS`` only say how far apart quartiles count as at least, for groups whose middle half is
+all alike. Small groups use the merged sketches of their language.
 
 Defined cases: null text has no words, lines or symbols; null language or source is a group of its own; repeated
 rows count and are judged each on its own; a corpus without rows gives none.
@@ -24,8 +25,9 @@ LEAST_WORDS, MOST_REPEATED = 50, 50
 DETAIL = 4
 REACH = 6
 LEAST_DOCUMENTS = 50
-#: No threshold lies below these: thousandths of characters, lines and words, hundredths of a character.
-FLOORS = {"symbols": 60, "dup_lines": 400, "repeats": 350, "word_size": 1500}
+#: Least distance of the quartiles, what one event makes in a short text: a symbol in 250 characters, a line in fifteen, a
+#: window in 50 words (in thousandths), and a quarter of a character in the mean word (in hundredths).
+WIDTHS = {"symbols": 4, "dup_lines": 67, "repeats": 60, "word_size": 25}
 
 
 def _let(value: Column, use) -> Column:
@@ -95,7 +97,7 @@ def value_of(found: Column) -> Column:
 
 def sketches(marked: DataFrame, groups: list[str]) -> DataFrame:
     """Counts of bins for each group and measure: sketches that merge by adding."""
-    each = F.explode(F.array(*[F.struct(F.lit(name).alias("measure"), bin_of(F.col(name)).alias("bin")) for name in FLOORS]))
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("measure"), bin_of(F.col(name)).alias("bin")) for name in WIDTHS]))
     return marked.select(*groups, each.alias("x")).groupBy(*groups, "x.measure", "x.bin").agg(F.count("*").alias("n"))
 
 
@@ -114,9 +116,12 @@ def thresholds(sketch: DataFrame, groups: list[str]) -> DataFrame:
         )
         return value_of(step)
 
-    limit = F.col("q3") + REACH * (F.col("q3") - F.col("q1"))
-    quartiles = held.withColumns({"q1": quartile(1), "q3": quartile(3)}).withColumn("limit", limit)
-    wide = [F.max(F.when(F.col("measure") == name, F.greatest("limit", F.lit(floor)))).alias(f"most_{name}") for name, floor in FLOORS.items()]
+    quartiles = held.withColumns({"q1": quartile(1), "q3": quartile(3)})
+
+    def fence(width: int) -> Column:
+        return F.col("q3") + REACH * F.greatest(F.col("q3") - F.col("q1"), F.lit(width))
+
+    wide = [F.max(F.when(F.col("measure") == name, fence(width))).alias(f"most_{name}") for name, width in WIDTHS.items()]
     return quartiles.groupBy(*groups).agg(F.max("total").alias("n_group"), *wide)
 
 
@@ -128,12 +133,12 @@ def judged(docs: DataFrame, text: str = "text", language: str = "lang", source:
     marked = cut_lineage(counted.withColumns(shares()))
     sketch = cut_lineage(sketches(marked, ["_lang", "_source"]))
     of_group = thresholds(sketch, ["_lang", "_source"])
-    of_language = thresholds(sketch, ["_lang"]).withColumnsRenamed({"n_group": "n_lang"} | {f"most_{m}": f"lang_{m}" for m in FLOORS})
+    of_language = thresholds(sketch, ["_lang"]).withColumnsRenamed({"n_group": "n_lang"} | {f"most_{m}": f"lang_{m}" for m in WIDTHS})
     limits = of_group.join(of_language, "_lang").select(
-        "_lang", "_source", *[F.when(F.col("n_group") >= LEAST_DOCUMENTS, F.col(f"most_{m}")).otherwise(F.col(f"lang_{m}")).alias(f"most_{m}") for m in FLOORS]
+        "_lang", "_source", *[F.when(F.col("n_group") >= LEAST_DOCUMENTS, F.col(f"most_{m}")).otherwise(F.col(f"lang_{m}")).alias(f"most_{m}") for m in WIDTHS]
     )
     fine = F.lit(True)
-    for name in FLOORS:
+    for name in WIDTHS:
         fine &= F.col(name) <= F.col(f"most_{name}")
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     return marked.join(limits, ["_lang", "_source"]).select(
@@ -144,23 +149,23 @@ def judged(docs: DataFrame, text: str = "text", language: str = "lang", source:
 def oracle_sql() -> str:
     bins = "greatest(length(bin({0})) - 5, 0) * 16 + ({0} >> greatest(length(bin({0})) - 5, 0))"
     value = "(({0} - greatest({0} // 16 - 1, 0) * 16) << greatest({0} // 16 - 1, 0))"
-    measured = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS measure, {bins.format(m)} AS bin FROM shares" for m in FLOORS)
-    floors = " ".join(f"WHEN '{m}' THEN {f}" for m, f in FLOORS.items())
+    measured = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS measure, {bins.format(m)} AS bin FROM shares" for m in WIDTHS)
+    widths = " ".join(f"WHEN '{m}' THEN {w}" for m, w in WIDTHS.items())
 
     def limits(groups: str, prefix: str) -> str:
-        wide = ", ".join(f"max(most) FILTER (measure = '{m}') AS {prefix}_{m}" for m in FLOORS)
+        wide = ", ".join(f"max(most) FILTER (measure = '{m}') AS {prefix}_{m}" for m in WIDTHS)
         q1, q3 = (f"min(bin) FILTER (4 * seen >= {k} * total)" for k in (1, 3))
         return f"""
         SELECT {groups}, max(total) AS {prefix}_n, {wide} FROM (
           SELECT {groups}, measure, any_value(total) AS total,
-                 greatest({value.format(q3)} + {REACH} * ({value.format(q3)} - {value.format(q1)}), CASE measure {floors} END) AS most
+                 {value.format(q3)} + {REACH} * greatest({value.format(q3)} - {value.format(q1)}, CASE measure {widths} END) AS most
           FROM (SELECT {groups}, measure, bin, sum(n) OVER (PARTITION BY {groups}, measure ORDER BY bin) AS seen,
                        sum(n) OVER (PARTITION BY {groups}, measure) AS total
                 FROM (SELECT {groups}, measure, bin, count(*) AS n FROM measured GROUP BY ALL))
           GROUP BY {groups}, measure)
         GROUP BY {groups}"""
 
-    fine = " AND ".join(f"{m} <= CASE WHEN g_n >= {LEAST_DOCUMENTS} THEN g_{m} ELSE l_{m} END" for m in FLOORS)
+    fine = " AND ".join(f"{m} <= CASE WHEN g_n >= {LEAST_DOCUMENTS} THEN g_{m} ELSE l_{m} END" for m in WIDTHS)
     return rf"""
     WITH texts AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text,
                           regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
