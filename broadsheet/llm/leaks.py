@@ -1,14 +1,16 @@
 """Documents that hold benchmark items: word n-grams as seeds, Smith-Waterman on words.
 
-Three-word runs of an item are seeds, of which it keeps the rarest in the whole corpus: one more than changes to ``EDITED``
-of its words can destroy, as each change breaks ``SEED`` runs at most, so every copy changed no further still holds one. Wherever
-one of them hits the item is aligned locally with the words around, and the score, as a share
+Three-word runs of an item are its seeds. An alignment that reaches the threshold matches at least ``THRESHOLD`` of the item's words, so
+it matches one of the ``1 - THRESHOLD`` of them that are rarest in the whole corpus, and one more: a seed counts only in
+texts that hold one of these rare words too. A phrase that many texts and items share thus leads to items whose other words are there, and
+no copy is lost by it. Wherever a seed counts the item is aligned
+locally with the words around, and the score, as a share
 of the score of a verbatim copy, tells copies (also edited ones: a fifth
-of the words changed leaves about two thirds) from chance. A phrase that many texts hold seeds only items that have little else. Places with too few of the item's words
+of the words changed leaves about two thirds) from chance. Places with too few of the item's words
 for the threshold, in whatever order, are left out before; no alignment there could reach it.
 
-Test items go to the tasks in blocks of at most ``BLOCK_BYTES`` of text, two passes each (to count seeds, to search), so nothing that
-grows with the corpus is broadcast and documents are never shuffled; a task sends on one count for each seed of the block.
+Test items go to the tasks in blocks of at most ``BLOCK_BYTES`` of text, two passes each (to count words, to search), so nothing that
+grows with the corpus is broadcast and documents are never shuffled; a task sends on one count for each word of the block.
 
 Defined cases: items of fewer than ``SEED`` words, or null, match nothing; equal items match each; null and
 empty texts hold none; repeated rows are searched each on its own; all columns of ``docs`` stay.
@@ -26,8 +28,6 @@ from pyspark.sql import DataFrame, functions as F
 from broadsheet.llm.arrow_text import columns, per_row, row_blocks, scramble, words_of
 
 SEED = 3
-#: Share of an item's words that may be changed with a seed sure to be left.
-EDITED = 0.2
 BLOCK_BYTES = 8 << 20
 MATCH, MISMATCH, GAP = 3, -2, -2
 THRESHOLD = 0.45
@@ -60,14 +60,32 @@ class Items:
         self.seeds, self.item = seeds[order], rows[at[order]]
         self.place = at[order] - self.bounds[self.item]
 
-    def keep_rarest(self, held: dict[int, int]) -> None:
-        """Leaves each item its rarest seeds; ``held`` says how often a seed stands in the corpus, if it does."""
-        found = np.array([held.get(int(x), 0) for x in self.seeds.view(np.int64)], np.int64)
-        order = np.lexsort((self.place, found, self.item))
+        self.rare, self.rare_bounds = self.words, self.bounds
+
+    def keep_rarest(self, held: dict[int, int], least: float) -> None:
+        """Notes the words of each item of which an alignment must match one; ``held`` says how often a word stands in the corpus, if it does."""
+        found = np.array([held.get(x, 0) for x in self.words.view(np.int64).tolist()], np.int64)
         sizes = np.diff(self.bounds)
-        rank = np.arange(len(order)) - per_row(self.item[order], len(sizes))[self.item[order]]
-        kept = np.sort(order[rank <= SEED * (sizes[self.item[order]] * EDITED).astype(np.int64)])
-        self.seeds, self.item, self.place = self.seeds[kept], self.item[kept], self.place[kept]
+        of = np.repeat(np.arange(len(sizes)), sizes)
+        order = np.lexsort((self.words, found, of))
+        rank = np.arange(len(order)) - self.bounds[of]
+        kept = rank <= sizes[of] - np.ceil(least * sizes[of] - 1e-9)
+        self.rare, self.rare_bounds = self.words[order[kept]], per_row(of[kept], len(sizes))
+
+    def possible(self, rows: np.ndarray, words: np.ndarray, row: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """Which hits (row, item) are in rows that hold a rare word of the item."""
+        if not len(row):
+            return np.zeros(0, bool)
+        pairs, each = np.unique(row * (len(self.bounds) - 1) + item, return_inverse=True)
+        of_row, of_item = np.divmod(pairs, len(self.bounds) - 1)
+        counts = self.rare_bounds[of_item + 1] - self.rare_bounds[of_item]
+        starts = np.cumsum(counts) - counts
+        at = np.repeat(self.rare_bounds[of_item] - starts, counts) + np.arange(counts.sum())
+        with np.errstate(over="ignore"):
+            there = np.unique(scramble(words ^ scramble(rows.astype(np.uint64))))
+            asked = scramble(self.rare[at] ^ scramble(np.repeat(of_row, counts).astype(np.uint64)))
+        seen = there[np.minimum(np.searchsorted(there, asked), len(there) - 1)] == asked
+        return np.logical_or.reduceat(seen, starts)[each]
 
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[float, int, int]:
@@ -121,6 +139,8 @@ def _hits(rows: np.ndarray, words: np.ndarray, items: Items) -> tuple[np.ndarray
 def _found(rows: np.ndarray, words: np.ndarray, count: int, items: Items, least: float) -> list[list[dict]]:
     out: list[list[dict]] = [[] for _ in range(count)]
     row, at, item, place = _hits(rows, words, items)
+    kept = items.possible(rows, words, row, item)
+    row, at, item, place = (x[kept] for x in (row, at, item, place))
     bounds = per_row(rows, count)
     order = np.lexsort((at, item, row))
     row, at, item, place = (x[order] for x in (row, at, item, place))
@@ -158,22 +178,21 @@ def _word_blocks(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.nd
 
 
 def _held(texts: DataFrame, shared) -> dict[int, int]:
-    """How often each seed of a block of items stands in ``texts`` (column text), of those that do: no more than the block has."""
+    """How often each word of a block of items stands in ``texts`` (column text), of those that do: no more than the block has."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.unique(shared.value[0].seeds)
+        known = np.unique(shared.value[0].words)
         counts = np.zeros(len(known), np.int64)
         for batch in batches:
-            for _, of, words in _word_blocks(batch):
-                _, seeds = runs(of, words)
-                if len(known) and len(seeds):
-                    at = np.minimum(np.searchsorted(known, seeds), len(known) - 1)
-                    counts += np.bincount(at[known[at] == seeds], minlength=len(known))
+            for _, _, words in _word_blocks(batch):
+                if len(known) and len(words):
+                    at = np.minimum(np.searchsorted(known, words), len(known) - 1)
+                    counts += np.bincount(at[known[at] == words], minlength=len(known))
         some = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(known[some].view(np.int64)), pa.array(counts[some])], names=["seed", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(known[some].view(np.int64)), pa.array(counts[some])], names=["word", "n"])
 
-    found = texts.mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).toArrow()
-    return dict(zip(found.column("seed").to_pylist(), found.column("n").to_pylist(), strict=True))
+    found = texts.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
+    return dict(zip(found.column("word").to_pylist(), found.column("n").to_pylist(), strict=True))
 
 
 def _searcher(shared, least: float):
@@ -203,7 +222,7 @@ def with_leaks(docs: DataFrame, items: DataFrame, to: str = "leaks", item_key: s
         table = Items([r["said"] for r in own])
         names = [r["name"] for r in own]
         every = spark.sparkContext.broadcast((table, names))
-        table.keep_rarest(_held(docs.select(F.col(text).cast("string").alias("text")), every))
+        table.keep_rarest(_held(docs.select(F.col(text).cast("string").alias("text")), every), least)
         every.unpersist()
         shared = spark.sparkContext.broadcast((table, names))
         parts.append(_searcher(shared, least)(F.col(text).cast("string")))

@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -350,6 +351,21 @@ def test_leaks_find_verbatim_and_edited_copies(spark, odd, empty):
     assert leaks.leaks(empty, items).count() == 0 and leaks.leaks(odd, items.limit(0)).count() == 0
 
 
+def test_leaks_of_items_that_share_a_phrase_go_by_their_rare_words():
+    phrase = [f"p{k}" for k in range(8)]
+    texts = [" ".join(phrase + [f"w{i}x{k}" for k in range(12)]) for i in range(300)]
+    table = leaks.Items(texts)
+    table.keep_rarest({int(w): 99 for w in table.words[:8].view(np.int64)}, leaks.THRESHOLD)
+    assert all(np.diff(table.rare_bounds) == 20 - 9 + 1) and not set(table.rare.tolist()) & set(table.words[:8].tolist())
+    said = [" ".join([f"z{k}" for k in range(50)] + phrase), texts[17] + " and more", ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(said)], names=["text"])
+    ((count, rows, words),) = leaks._word_blocks(batch)
+    row, _, item, _ = leaks._hits(rows, words, table)
+    kept = table.possible(rows, words, row, item)
+    assert len(row) > 3600 and set(zip(row[kept].tolist(), item[kept].tolist())) == {(1, 17)}
+    assert [[h["item"] for h in x] for x in leaks._found(rows, words, count, table, leaks.THRESHOLD)] == [[], [17], []]
+
+
 def test_leaks_find_edited_copies_that_many_documents_hold(spark):
     item = _words(40, 11)
     edited = " ".join(w if k % 4 != 3 else "changed" for k, w in enumerate(item))
