@@ -12,9 +12,11 @@ leaves open, matches at least ``SIMILARITY`` of the words of the longer one.
     components. So pairs are linear in members.
 4.  Members that are in no component of their bucket's head, such as texts of many families that share a passage, get new keys from
     runs that stand in fewer of them than half their bucket holds: families part, and go through 3 again, level by level,
-    until none is apart or ``LEVELS`` are done. A pair is lost only if all buckets of all levels that both are in have
-    a head that is similar to one of them and not to the other, or to neither.
-5.  Linked documents form classes (connected components, with pointer jumping).
+    until none is apart or ``LEVELS`` are done.
+5.  Members of one bucket, of any level, that are still in different components are all compared with each other: block by block
+    by a bound on the words two texts have in common, then by alignment where that bound allows a link. So no link between
+    texts that share a bucket is lost. The bounds alone grow with the square of what a bucket holds of different components.
+6.  Linked documents form classes (connected components, with pointer jumping).
 
 Defined cases: words are those of ``arrow_text.words_of``; texts of fewer words than a run are one
 run; texts without a word (null, empty) are copies only of equal texts, null counting as empty; rows
@@ -25,6 +27,7 @@ as different documents; very long texts are read and aligned whole; other column
 from __future__ import annotations
 
 import gc
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -34,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from broadsheet.llm.arrow_text import columns, per_row, row_blocks, scramble, unused, words_of
-from broadsheet.session import cut_lineage
+from broadsheet.session import cut_lineage, spread
 
 WORDS = 3
 SIMILARITY = 0.8
@@ -43,6 +46,8 @@ BANDS, ROWS, PICKED = 24, 1, 2
 LEVELS = 2
 _ENOUGH = 64  # runs of a text that new keys are drawn from, at least
 _STEP = 1.26  # length bands; texts similar enough differ by a factor of 1 / SIMILARITY at most
+_BLOCK = 512  # members of a bucket that meet as many others at a time
+_BINS = 64, 2048  # counts of a text's words that bound what it has in common with others: about one a word, within these limits
 
 
 def shingles(rows: np.ndarray, words: np.ndarray, count: int, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -265,6 +270,16 @@ def _linked(roots: DataFrame | None, pairs: DataFrame) -> DataFrame:
     return cut_lineage(moved.unionByName(_join(up, roots.select("node"), "node", "left_anti")))
 
 
+def _with_links(roots: DataFrame | None, pairs: DataFrame, sequences: DataFrame, least: float) -> DataFrame | None:
+    """Components after linking those of the distinct pairs (a, b) that are similar."""
+    more = cut_lineage(verified(pairs, sequences, least).select("a", "b"))
+    _release(more)
+    if not more.isEmpty():
+        roots = _linked(roots, more)
+        _release(roots)
+    return roots
+
+
 def _with_heads(placed: DataFrame, roots: DataFrame | None, sequences: DataFrame, least: float, turn: int) -> tuple[DataFrame | None, DataFrame]:
     """(components so far, members still apart in their buckets) after comparing members with a head of their bucket."""
     left = _apart(placed, None, roots)
@@ -272,11 +287,7 @@ def _with_heads(placed: DataFrame, roots: DataFrame | None, sequences: DataFrame
     first = F.min_by(F.struct("node", "root"), F.xxhash64("node", F.lit(turn))).alias("first")
     heads = cut_lineage(left.groupBy("bucket").agg(first).select("bucket", F.col("first.node").alias("head"), F.col("first.root").alias("own")))
     pairs = _join(left, heads, "bucket").filter("root <> own").select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b")).distinct()
-    more = cut_lineage(verified(pairs, sequences, least).select("a", "b"))
-    _release(more)
-    if not more.isEmpty():
-        roots = _linked(roots, more)
-        _release(roots)
+    roots = _with_links(roots, pairs, sequences, least)
     return roots, _apart(left.select("bucket", "node"), heads.select("bucket", "head"), roots)
 
 
@@ -321,6 +332,87 @@ def _keyed_anew(left: DataFrame, sequences: DataFrame, size: int, salt: int) ->
     return listed.mapInArrow(keyed, "node long, size long, keys array<long>")
 
 
+def _blocks(rest: DataFrame) -> DataFrame:
+    """deal, side, node and root: who of ``rest`` (bucket, node, root) meets whom. In a deal all of side 0 meet all of
+    side 1, those of side 2 each other. A component that fills blocks of its own isn't compared with itself."""
+    held = rest.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+    mixed = held.groupBy("bucket").agg(F.sum(F.when(F.col("n") < _BLOCK, F.col("n"))).alias("mixed"))
+    own = F.xxhash64("root", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / _BLOCK)))
+    shared = F.xxhash64(F.pmod(F.xxhash64("root"), F.ceil(F.col("mixed") / _BLOCK)))
+    placed = _join(_join(rest, held, ["bucket", "root"]), mixed, "bucket")
+    placed = cut_lineage(placed.select("bucket", "node", "root", F.when(F.col("n") < _BLOCK, shared).otherwise(own).alias("block")))
+    some = placed.groupBy("bucket", "block").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    first, second = (some.select("bucket", F.struct("block", "low", "high").alias(name)) for name in ("x", "y"))
+    met = _join(first, second, "bucket").filter("x.block <= y.block AND least(x.low, y.low) < greatest(x.high, y.high)")
+    seat = lambda name, side: F.struct(F.col(f"{name}.block").alias("block"), F.lit(side).alias("side"))
+    seats = F.when(F.col("x.block") == F.col("y.block"), F.array(seat("x", 2))).otherwise(F.array(seat("x", 0), seat("y", 1)))
+    deals = met.select("bucket", F.xxhash64("bucket", "x.block", "y.block").alias("deal"), F.explode(seats).alias("seat")).select("bucket", "deal", "seat.*")
+    return _join(placed, deals, ["bucket", "block"]).select("deal", "side", "node", "root")
+
+
+def _bags(sequences: DataFrame) -> DataFrame:
+    """node, size and counts of the hashed words of its text; a bin of the smaller one of two bags is a sum of bins of the other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [np.frombuffer(x, np.uint32) for x in batch.column("said").to_pylist()]
+            bins = [min(max(1 << len(x).bit_length() >> 1, _BINS[0]), _BINS[1]) for x in texts]
+            bags = [np.bincount(x & np.uint32(b - 1), minlength=b).astype(np.uint32).tobytes() for x, b in zip(texts, bins, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([len(x) for x in texts], pa.int64()), pa.array(bags, pa.binary())], names=["node", "size", "bag"])
+
+    return sequences.mapInArrow(run, "node long, size long, bag binary")
+
+
+def _meeting(rows: list[dict], least: float) -> pa.RecordBatch:
+    """The pairs of a deal, of different components, that may be similar by the counts of their words."""
+    rows = sorted(rows, key=lambda r: r["side"])
+    bags = [np.frombuffer(r["bag"], np.uint32) for r in rows]
+    bins = min(map(len, bags))
+    bags = np.stack([x.reshape(-1, bins).sum(0) for x in bags]).astype(np.uint32)
+    nodes, roots, sizes, sides = (np.array([r[c] for r in rows], np.int64) for c in ("node", "root", "size", "side"))
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for i in np.flatnonzero(sides != 1):
+        begin = i + 1 if sides[i] == 2 else int(np.searchsorted(sides, 1))
+        at = np.flatnonzero((roots[begin:] != roots[i]) & (np.minimum(sizes[begin:], sizes[i]) >= least * np.maximum(sizes[begin:], sizes[i]) - 1e-9)) + begin
+        if len(at):
+            bound = np.minimum(bags[at], bags[i]).sum(1) / np.maximum(sizes[at], sizes[i])
+            close = bound >= least - 1e-9
+            found.append((np.full(int(close.sum()), i), at[close], bound[close]))
+    i, j, bound = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    swapped = nodes[i] > nodes[j]
+    i, j = np.where(swapped, j, i), np.where(swapped, i, j)
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (nodes[i], nodes[j], roots[i], roots[j], bound)], names=["a", "b", "x", "y", "bound"])
+
+
+def _close(seated: DataFrame, bags: DataFrame, least: float) -> DataFrame:
+    """a, b, their components x and y, and a bound of their similarity: the distinct pairs of all deals that may be similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for row in batch.to_pylist())
+        for _, deal in itertools.groupby(rows, key=lambda r: r["deal"]):
+            yield _meeting(list(deal), least)
+
+    dealt = spread(_join(seated, bags, "node"), "deal").sortWithinPartitions("deal")
+    return dealt.mapInArrow(run, "a long, b long, x long, y long, bound double").dropDuplicates(["a", "b"])
+
+
+def _settled(placed: DataFrame, roots: DataFrame | None, sequences: DataFrame, least: float) -> DataFrame | None:
+    """Components after comparing all members of the buckets ``placed`` (bucket, node) that are in different ones."""
+    rest = _apart(placed, None, roots)
+    if rest.isEmpty():
+        return roots
+    bags = _bags(_join(sequences, rest.select("node").distinct(), "node", "left_semi"))
+    close = cut_lineage(_close(_blocks(rest), bags, least))
+    _release(close)
+    # The likeliest pair of two components may link them, which settles their others.
+    likeliest = close.groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.max_by(F.struct("a", "b"), F.struct("bound", "a", "b")).alias("pair"))
+    first = cut_lineage(likeliest.select("pair.*"))
+    roots = _with_links(roots, first, sequences, least)
+    others = _join(close.select("a", "b"), first, ["a", "b"], "left_anti")
+    between = _rooted(_rooted(others, roots, "a", "x"), roots, "b", "y").filter("x <> y")
+    return _with_links(roots, between.select("a", "b"), sequences, least)
+
+
 def linked(members: DataFrame, docs: DataFrame, size: int = WORDS, least: float = SIMILARITY) -> DataFrame | None:
     """Components (node, root) of what is similar among ``members`` (node, keys, size, digest, first); those alone may be left out.
     ``docs``: doc, digest and text; the text of a member is that of its ``first``."""
@@ -331,6 +423,7 @@ def linked(members: DataFrame, docs: DataFrame, size: int = WORDS, least: float
     sequences = cut_lineage(_sequences(texts.select("node", "text")))
     _release(sequences)
     roots, left = _with_heads(placed, None, sequences, least, 0)
+    every = placed
     for level in range(1, LEVELS + 1):
         if left.isEmpty():
             break
@@ -339,7 +432,8 @@ def linked(members: DataFrame, docs: DataFrame, size: int = WORDS, least: float
         if anew.isEmpty():
             break
         roots, left = _with_heads(anew, roots, sequences, least, level)
-    return roots
+        every = every.unionByName(anew)
+    return _settled(every, roots, sequences, least)
 
 
 def components(edges: DataFrame) -> DataFrame:

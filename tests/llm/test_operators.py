@@ -120,6 +120,42 @@ def test_near_copies_with_much_common_boilerplate_are_found(spark):
     assert got == {i: i - i % 2 for i in texts}
 
 
+def _one_bucket(spark, texts):
+    """Texts that all share their key, as members and documents of ``near_copies.linked``; and their nodes."""
+    docs = _docs(spark, [(i, t, "en", "a") for i, t in enumerate(texts)]).selectExpr("doc_id AS doc", "text", "md5(text) AS digest")
+    members = docs.selectExpr("xxhash64(digest) AS node", "array(7L) AS keys", "100L AS size", "digest", "doc AS first")
+    return members, docs, {r["first"]: r["node"] for r in members.collect()}
+
+
+def test_no_link_inside_a_bucket_is_lost(spark):
+    # Each text is similar to the next only: whichever is the head, most links are between a text that it has and one that it hasn't.
+    words = [f"w{k}" for k in range(400)]
+    members, docs, nodes = _one_bucket(spark, [" ".join(words[15 * k : 15 * k + 100]) for k in range(12)])
+    roots = {r["node"]: r["root"] for r in near_copies.linked(members, docs).collect()}
+    assert len({roots[n] for n in nodes.values()}) == 1
+
+
+def test_members_that_meet_in_blocks_are_compared_like_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "_BLOCK", 3)
+    rng = random.Random(11)
+    passage, texts = [f"common{k}" for k in range(40)], []
+    for family in range(8):
+        own = [f"f{family}x{k}" for k in range(60)]
+        texts += [" ".join(passage + [w if rng.random() > 0.06 else f"n{rng.random()}" for w in own]) for _ in range(family + 1)]
+    members, docs, nodes = _one_bucket(spark, texts)
+    code: dict = {}
+    said = [np.array([code.setdefault(w, len(code)) for w in t.split()], np.uint32) for t in texts]
+    similar = [(i, j) for i in range(len(texts)) for j in range(i) if near_copies.similarity(said[i], said[j])]
+    classes = list(range(len(texts)))
+    for i, j in similar:
+        classes = [classes[j] if c == classes[i] else c for c in classes]
+    texts_of = docs.selectExpr("xxhash64(digest) AS node", "text")
+    roots = near_copies._settled(members.selectExpr("1L AS bucket", "node"), None, near_copies._sequences(texts_of), near_copies.SIMILARITY)
+    got = {r["node"]: r["root"] for r in roots.collect()}
+    of = [got.get(nodes[i], nodes[i]) for i in range(len(texts))]
+    assert all((of[i] == of[j]) == (classes[i] == classes[j]) for i in range(len(texts)) for j in range(i))
+
+
 def test_near_copies_of_the_given_documents_are_found(spark):
     """At least nine of ten pairs of different texts that are similar word by word are in one class, and no other pairs link classes."""
     docs = table(spark, "/root/testdata/sf0.01", "documents")
