@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import math
 import uuid
 
 from pyspark.sql import functions as F
@@ -263,27 +264,32 @@ def lexicon_insert(spark, sf):
 # --- streams over landed articles --------------------------------------------------------
 
 
+#: Rows of a landed file: a task writes one, however many there are.
+_LANDED_ROWS = 10_000
+
+
 def _landed(spark, sf, vectors: bool):
-    """The articles written as the files a stream picks up."""
+    """The articles written as the files a stream picks up, four at least, each of a stretch of time; and how many these are."""
     folder = _fresh_folder(spark, "landing")
     rows = b.articles(spark, sf, vectors=vectors, labels=False)
-    rows.select(ARTICLES.names).repartitionByRange(4, "datetime").write.parquet(folder)
-    return folder
+    count = max(4, math.ceil(rows.count() / _LANDED_ROWS))
+    rows.select(ARTICLES.names).repartitionByRange(count, "datetime", "uid").write.parquet(folder)
+    return folder, count
 
 
 def stream_ingest(spark, sf):
     """Two runs over the same landing folder; the second finds nothing new."""
-    landing, store = _landed(spark, sf, False), _fresh_folder(spark, "store")
+    (landing, count), store = _landed(spark, sf, False), _fresh_folder(spark, "store")
     checkpoint = _fresh_folder(spark, "progress")
     for _ in range(2):
-        stream = jobs.article_stream(spark, landing, files_per_trigger=2)
+        stream = jobs.article_stream(spark, landing, files_per_trigger=math.ceil(count / 2))
         jobs.ingest_stream(stream, store, checkpoint).awaitTermination()
     return spark.read.parquet(store).select("uid", "datetime", "summary")
 
 
 def stream_backfill(spark, sf):
-    landing, store = _landed(spark, sf, False), _fresh_folder(spark, "store")
-    stream = jobs.article_stream(spark, landing, files_per_trigger=1)
+    (landing, count), store = _landed(spark, sf, False), _fresh_folder(spark, "store")
+    stream = jobs.article_stream(spark, landing, files_per_trigger=math.ceil(count / 4))
     jobs.ingest_stream(stream, store, _fresh_folder(spark, "progress"), lookback=None).awaitTermination()
     return spark.read.parquet(store).select("uid", "datetime", "summary")
 
@@ -326,8 +332,9 @@ def stream_alerts_changing(spark, sf):
 
 
 def stream_timeline(spark, sf):
-    landing, counts = _landed(spark, sf, False), _fresh_folder(spark, "timeline")
-    stream = jobs.daily_counts(jobs.article_stream(spark, landing))
+    (landing, count), counts = _landed(spark, sf, False), _fresh_folder(spark, "timeline")
+    # In one batch, as files come in no order of time and a later batch would find its days closed.
+    stream = jobs.daily_counts(jobs.article_stream(spark, landing, files_per_trigger=count))
     (
         stream.writeStream.outputMode("append").format("parquet").option("path", counts)
         .option("checkpointLocation", _fresh_folder(spark, "progress")).trigger(availableNow=True).start()

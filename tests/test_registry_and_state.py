@@ -206,3 +206,15 @@ def test_logs_append_by_day(spark, tmp_path):
         exports.append_log(enrich.audit_rows(done, "p", "m", "prompt", F.lit(f"{day} 10:00:00")), path)
     rows = spark.read.parquet(path)
     assert rows.count() == 2 and rows.filter("day = '2026-01-02'").first().rejected_reason is None
+
+
+def test_landed_files_are_bounded_and_the_timeline_stays_whole(spark, sf, monkeypatch):
+    from broadsheet.plans import enrich_queries
+
+    whole = sorted(map(tuple, enrich_queries.stream_timeline(spark, sf).collect()))
+    rows = spark.read.parquet(f"{sf}/documents.parquet").count()
+    monkeypatch.setattr(enrich_queries, "_LANDED_ROWS", max(1, rows // 10))
+    folder, count = enrich_queries._landed(spark, sf, False)
+    files = spark.read.parquet(folder).groupBy(F.input_file_name().alias("file")).count().collect()
+    assert count >= 10 and sum(f["count"] for f in files) == rows and max(f["count"] for f in files) <= rows / 4
+    assert sorted(map(tuple, enrich_queries.stream_timeline(spark, sf).collect())) == whole
