@@ -83,6 +83,8 @@ def search_page_seek(spark, sf):
     """The third page, reached from cursor to cursor."""
     request = _request(spark, sf, limit=20)
     found = search.hits(b.articles(spark, sf, labels=False), request)
+    # Scored once, and without the texts: a page that is written takes with it whatever columns its rows have.
+    found = cut_lineage(found.select("uid", "datetime", "similarity"))
     cursor = None
     for _ in range(3):
         rows = cut_lineage(search.page_after(found, request, cursor))

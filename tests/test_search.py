@@ -234,3 +234,12 @@ def test_single_file_csv_has_mark_and_quotes(spark, tmp_path):
     assert part.read_text(encoding="utf-8") == chr(0xFEFF) + 'UID,Title\n"a","say ""hi"""\n"b",""\n'
 
 
+
+
+def test_seek_pages_are_written_without_texts(spark, sf, monkeypatch):
+    from broadsheet.plans import search_queries
+
+    written, real = [], search_queries.cut_lineage
+    monkeypatch.setattr(search_queries, "cut_lineage", lambda rows: written.append(set(rows.columns)) or real(rows))
+    assert search_queries.search_page_seek(spark, sf).count() == search_queries.search_page_offset(spark, sf).count()
+    assert written and all(c <= {"uid", "datetime", "similarity"} for c in written)
