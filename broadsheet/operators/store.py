@@ -101,8 +101,11 @@ class Store:
         if not _BATCH_NAME.fullmatch(batch):
             raise ValueError(f"not a batch name: {batch!r}")
         ranks = [F.asc(c) for c in order]
-        once = top_per_group(rows.filter("uid IS NOT NULL"), ["uid"], ranks)
-        fresh = cut_lineage(self.unseen(once, mail))  # one reading of the models' answers for all tables
+        # One reading of the models' answers, for the ids that are asked for and for all tables.
+        once = cut_lineage(top_per_group(rows.filter("uid IS NOT NULL"), ["uid"], ranks))
+        fresh = self.unseen(once, mail)
+        if fresh is not once:
+            fresh = cut_lineage(fresh)
         dated = search.with_norms(fresh).withColumn("day", F.to_date("datetime"))
         self._write("articles", batch, dated)
         found = entities.mentions(fresh, F.col("entities_json"), F.struct(*order, "uid"))

@@ -153,3 +153,17 @@ def test_job_from_adapters_to_store(spark, tmp_path):
     assert ingest_job.run_batch(store, "b1", [feed], models, AT) is None
     again = ingest_job.run_batch(store, "b2", [feed, mail], models, AT)
     assert [r.uid for r in again.collect()] == ["2"] and store.read("articles").count() == 2 and store.read("lexicon").count() == 1
+
+
+def test_a_batch_is_computed_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+    rows = _articles(spark, [(f"u{k}", k, _org(f"name {k % 3}")) for k in range(40)])
+
+    def answered(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    store = Store(spark, str(tmp_path / "store"))
+    store.commit("one", rows.mapInPandas(answered, rows.schema), ORDER, AT)
+    assert seen.value == 40 and store.read("articles").count() == 40
