@@ -6,7 +6,9 @@ megabytes at a time whatever the size of its partition.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +16,31 @@ import pyarrow as pa
 BLOCK_BYTES = 1 << 20
 
 
+_held: dict[tuple[str, str], object] = {}
+
+
+def held(operator: str, key: str, make: Callable[[], object]) -> object:
+    """What an operator keeps in this Python worker, made once. Spark hands a worker from operator to
+    operator, so it keeps what belongs to one of them at a time."""
+    if (operator, key) not in _held:
+        let_go()
+        _held[operator, key] = make()
+    return _held[operator, key]
+
+
+def let_go() -> None:
+    """Gives back the memory of operators that this Python worker ran before."""
+    if not _held and not _powers:
+        return
+    _held.clear()
+    _powers.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library
+    if trim is not None:
+        trim(0)
+
+
 def unused(names: list[str], wish: str) -> str:
     """A column name that none of ``names`` clashes with."""
     taken = {n.lower() for n in names}

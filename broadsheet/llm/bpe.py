@@ -30,6 +30,8 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
+from broadsheet.llm.arrow_text import held
+
 WORDS_KEPT = 100_000
 _SEAMS_KEPT = 250_000
 _ROWS = 128  # texts looked at together
@@ -218,16 +220,10 @@ class TrieEncoder:
         return out
 
 
-_encoders: dict[str, TrieEncoder] = {}
-
-
 def _encoder(shared) -> TrieEncoder:
     """The encoder of this Python worker; its tables are built once."""
     vocabulary = shared.value
-    if vocabulary.digest not in _encoders:
-        _encoders.clear()
-        _encoders[vocabulary.digest] = TrieEncoder(vocabulary)
-    return _encoders[vocabulary.digest]
+    return held("bpe", vocabulary.digest, lambda: TrieEncoder(vocabulary))
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", to: str = "token_ids") -> DataFrame:

@@ -36,7 +36,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from broadsheet.llm.arrow_text import columns, per_row, row_blocks, scramble, unused, words_of
+from broadsheet.llm.arrow_text import columns, let_go, per_row, row_blocks, scramble, unused, words_of
 from broadsheet.session import cut_lineage, spread
 
 WORDS = 3
@@ -177,6 +177,7 @@ def sketches(docs: DataFrame, size: int = WORDS) -> DataFrame:
     """doc, digest of the text, keys (empty for texts without a word), number of words. ``docs`` has doc and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             keys, sizes = [], []
             offsets, data = columns(batch, "text")

@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
+from broadsheet.llm.arrow_text import held
+
 MARK = "▁"  # stands for a space
 CHARACTERS_KEPT = 4_000_000
 _PAIRS_KEPT = 400_000
@@ -282,16 +284,10 @@ class Backtracker:
         return "".join(out)
 
 
-_coders: dict[str, Backtracker] = {}
-
-
 def _coder(shared) -> Backtracker:
     """The coder of this Python worker; its tables are built once."""
     pieces = shared.value
-    if pieces.digest not in _coders:
-        _coders.clear()
-        _coders[pieces.digest] = Backtracker(pieces)
-    return _coders[pieces.digest]
+    return held("pieces", pieces.digest, lambda: Backtracker(pieces))
 
 
 def _shared(rows: DataFrame, path: str):

@@ -27,7 +27,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from broadsheet.llm.arrow_text import Rolling, columns, per_row, row_blocks, words_of
+from broadsheet.llm.arrow_text import Rolling, columns, held, per_row, row_blocks, words_of
 
 SAMPLE = 8_000
 THRESHOLD = 0.7
@@ -315,16 +315,10 @@ class Restorer:
         return out
 
 
-_restorers: dict[str, Restorer] = {}
-
-
 def _restorer(model: np.ndarray) -> Restorer:
     """The restorer of this Python worker, so that later tasks know the words of earlier ones."""
     key = sha256(model.tobytes()).hexdigest()
-    if key not in _restorers:
-        _restorers.clear()
-        _restorers[key] = Restorer(model)
-    return _restorers[key]
+    return held("toxicity", key, lambda: Restorer(model))
 
 
 def _features(encoded: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -481,3 +481,13 @@ def test_pipeline_keeps_clean_documents(spark, sf):
 def test_every_operator_is_registered():
     names = contract.queries()
     assert {re.match(r"op(\d+)_", n).group(1) for n in names if n.startswith("op")} == {str(k) for k in range(1, 11)} and "pipeline" in names
+
+
+def test_a_worker_keeps_the_tables_of_one_operator():
+    model = toxicity.log_model(np.ones((64, 64, 64)))
+    first = toxicity._restorer(model)
+    assert toxicity._restorer(model) is first
+    encoder = bpe._encoder(type("Shared", (), {"value": bpe.Vocabulary(tokenizer_path())}))
+    assert list(arrow_text._held.values()) == [encoder]
+    arrow_text.let_go()
+    assert not arrow_text._held
