@@ -349,8 +349,9 @@ def repeats(known: DataFrame, key: str, text: str, length: int = LENGTH, gram: i
     offset = f"int(place & {(1 << 48) - 1})"
 
     def with_bytes(some: DataFrame) -> DataFrame:
-        # ``known`` as it is, so that this join and the last one read the same shuffled documents.
-        return some.join(known.hint("merge"), [key, "_tag"]).select(
+        # The columns that ``digests`` has, in its order, so that this join and its last one read the same shuffled documents;
+        # others stay out, as their names may be those of the spans.
+        return some.join(known.select(key, text, "_tag").hint("merge"), [key, "_tag"]).select(
             "bucket", F.col(key).cast("long").alias("doc"), "place",
             F.expr(f"substring(cast(`{text}` AS binary), {offset} + 1, more + {length})").alias("bytes"),
         )

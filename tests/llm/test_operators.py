@@ -467,6 +467,14 @@ def test_removal_from_odd_rows(odd, empty):
     assert suffixes.deduplicated(odd).columns == odd.columns and suffixes.deduplicated(empty).count() == 0
 
 
+def test_removal_from_documents_with_columns_named_like_those_of_spans(spark):
+    said = " ".join(_words(60, 33))
+    rows = [(k, said + str(k), k, k, "h", "b") for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, place long, more int, hash string, bytes string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in suffixes.removed(docs).collect()}
+    assert got == suffixes.brute({r[0]: r[1].encode() for r in rows})
+
+
 # --- pipeline
 
 
