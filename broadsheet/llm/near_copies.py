@@ -46,6 +46,7 @@ BANDS, ROWS, PICKED = 24, 1, 2
 LEVELS = 2
 _ENOUGH = 64  # runs of a text that new keys are drawn from, at least
 _STEP = 1.26  # length bands; texts similar enough differ by a factor of 1 / SIMILARITY at most
+_FOREST = 1 << 17  # edges that a task merges on its own
 _BLOCK = 512  # members of a bucket that meet as many others at a time
 _BINS = 64, 2048  # counts of a text's words that bound what it has in common with others: about one a word, within these limits
 
@@ -437,13 +438,66 @@ def linked(members: DataFrame, docs: DataFrame, size: int = WORDS, least: float
     return _settled(every, roots, sequences, least)
 
 
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of the edges, and of each the smallest node these edges connect it with."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    up = np.arange(len(nodes))
+    while (up[x] != up[y]).any():
+        was, low = up.copy(), np.minimum(up[x], up[y])
+        np.minimum.at(up, was[x], low)
+        np.minimum.at(up, was[y], low)
+        while (up[up] != up).any():
+            up = up[up]
+    return nodes, nodes[up]
+
+
+def _forests(edges: DataFrame) -> DataFrame:
+    """node and root of what the edges (a, b) of each task connect, ``_FOREST`` of them at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def merged() -> pa.RecordBatch:
+            nodes, roots = _forest(*np.concatenate(held, axis=1))
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(roots)], names=["node", "root"])
+
+        for batch in batches:
+            held.append(np.stack([batch.column("a").to_numpy(), batch.column("b").to_numpy()]))
+            if sum(x.shape[1] for x in held) >= _FOREST:
+                yield merged()
+        if held:
+            yield merged()
+
+    return edges.select("a", "b").mapInArrow(run, "node long, root long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node and root (smallest member) of everything that edges (a, b) connect."""
+    # Tasks merge what they hold first. Where that leaves each node one root it is done, else stars are merged by
+    # rounds of joins: many small rounds cost the driver more than the work itself.
+    edges = cut_lineage(edges.select("a", "b"))
+    many = math.ceil(edges.count() / _FOREST)
+    stars = cut_lineage(_forests(edges.coalesce(max(1, many))))
+    if many < 2:
+        return stars
+    labels = cut_lineage(stars.groupBy("node").agg(F.min("root").alias("root"), F.max("root").alias("high")))
+    if labels.filter("root <> high").isEmpty():
+        return labels.select("node", "root")
+    return _joined_up(stars.select(F.col("node").alias("a"), F.col("root").alias("b")))
+
+
+def _joined_up(edges: DataFrame) -> DataFrame:
+    """The same by rounds of joins, however many edges there are; a node's edge to itself connects nothing but keeps it."""
     both = cut_lineage(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut_lineage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
     while True:
         near = _join(both, labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
         lower = _join(labels, near, "node").select("node", F.least("root", "near").alias("root"), F.col("root").alias("old"))
+        # The root a node had moves with it, as all that hang on it do: else a path in mixed order takes as many rounds as it is long.
+        moves = lower.unionByName(lower.select(F.col("old").alias("node"), "root", F.lit(None).cast("long").alias("old")))
+        lower = moves.groupBy("node").agg(F.min("root").alias("root"), F.max("old").alias("old"))
         roots = lower.select(F.col("node").alias("root"), F.col("root").alias("up"))
         moved = cut_lineage(_join(lower, roots, "root").select("node", F.least("root", "up").alias("root"), "old"))
         if moved.filter("root <> old").isEmpty():

@@ -156,6 +156,25 @@ def test_members_that_meet_in_blocks_are_compared_like_all_pairs(spark, monkeypa
     assert all((of[i] == of[j]) == (classes[i] == classes[j]) for i in range(len(texts)) for j in range(i))
 
 
+def test_components_take_few_jobs(spark, monkeypatch):
+    """A path in any order, a large star and two triangles: merged in one task, and by several tasks with joins after them."""
+    rng = random.Random(4)
+    names = rng.sample(range(-(10**12), 10**12), 400)
+    edges = [*zip(names[:200], names[1:200]), *((names[200], n) for n in names[201:394]), *(t for k in (394, 397) for t in ((names[k], names[k + 1]), (names[k + 1], names[k + 2]), (names[k + 2], names[k])))]
+    rng.shuffle(edges)
+    want = {n: min(part) for part in (names[:200], names[200:394], names[394:397], names[397:]) for n in part}
+    frame = spark.createDataFrame(edges, "a long, b long").repartition(5)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("few", "few")
+    got = near_copies.components(frame).collect()
+    jobs = len(tracker.getJobIdsForGroup("few"))
+    spark.sparkContext.setJobGroup("many", "many")
+    monkeypatch.setattr(near_copies, "_FOREST", 60)
+    more = near_copies.components(frame).collect()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted(map(tuple, got)) == sorted(map(tuple, more)) == sorted(want.items()) and jobs <= 8, jobs
+
+
 def test_near_copies_of_the_given_documents_are_found(spark):
     """At least nine of ten pairs of different texts that are similar word by word are in one class, and no other pairs link classes."""
     docs = table(spark, "/root/testdata/sf0.01", "documents")
