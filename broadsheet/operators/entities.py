@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from broadsheet.functions import similarity, textclean
-from broadsheet.operators.ranking import top_per_group
+from broadsheet.operators.ranking import number_within, top_per_group
 from broadsheet.session import cut_lineage, spread
 
 # Fixed value: least similarity at which two names are the same entity.
 THRESHOLD = 0.88
+# The best match is looked for at or above this first, and below it for names that have none there only: the more names
+# there are, the more of them have one, and far fewer pairs meet.
+_CLOSE = 0.92
+# Names that are decided together at first; each further lot is twice as large.
+_FIRST_LOT = 20_000
 
 _ELEMENT = "struct<raw_name:string,name:string,entity_type:string,type:string>"
 _TABLE = "struct<raw_name:array<string>,entity_type:array<string>,name:array<string>,type:array<string>>"
@@ -122,15 +127,32 @@ def similar_pairs(left: DataFrame, right: DataFrame, threshold: float = THRESHOL
     return scored.filter(F.col("similarity") >= threshold).distinct()
 
 
+def _steps(threshold: float) -> list[float]:
+    return [*(t for t in (_CLOSE,) if t > threshold), threshold]
+
+
+def _without(words: DataFrame, matched: DataFrame) -> DataFrame:
+    return words.join(matched.select("type", "word").distinct().hint("merge"), ["type", "word"], "left_anti")
+
+
 def fuzzy_lookup(names: DataFrame, lexicon: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Best lexicon canonical of the same type per (type, word); ties by name."""
-    canonicals = lexicon.filter("canonical_name is not null").select(
+    canonicals = cut_lineage(lexicon.filter("canonical_name is not null").select(
         F.col("entity_type").alias("type"), F.lower("canonical_name").alias("word"), "canonical_name"
-    ).distinct()
-    words = names.select("type", "word").distinct()
-    pairs = similar_pairs(words, canonicals.select("type", "word").distinct(), threshold)
-    named = pairs.join(canonicals.withColumnRenamed("word", "right_word"), ["type", "right_word"])
-    return _best(named.select("type", F.col("left_word").alias("word"), "canonical_name", "similarity"))
+    ).distinct())
+    others = canonicals.select("type", "word").distinct()
+    kinds = F.broadcast(canonicals.select("type").distinct())  # as few as there are types of entities
+    words = cut_lineage(names.select("type", "word").distinct().join(kinds, "type", "left_semi"))
+    # Only equal words score 1, so they need no keys. (Scored, as a literal here fails in Spark's optimizer once checkpointed.)
+    score = similarity.jaro_winkler(F.col("word"), F.col("word")).alias("similarity")
+    found = words.join(canonicals.hint("merge"), ["type", "word"]).select("type", "word", "canonical_name", score)
+    left = cut_lineage(_without(words, others))
+    for least in _steps(threshold):
+        pairs = cut_lineage(similar_pairs(left, others, least).select("type", F.col("left_word").alias("word"), "right_word", "similarity"))
+        named = pairs.join(canonicals.withColumnRenamed("word", "right_word"), ["type", "right_word"])
+        found = found.unionByName(named.select("type", "word", "canonical_name", "similarity"))
+        left = cut_lineage(_without(left, pairs)) if least > threshold else left
+    return _best(found)
 
 
 def _best(options: DataFrame) -> DataFrame:
@@ -146,8 +168,9 @@ def resolve(mention_rows: DataFrame, lexicon: DataFrame, threshold: float = THRE
     1. one row per case-folded name, the first seen, with its type;
     2. exact lexicon hits are answered;
     3. names without any similar existing canonical may become canonicals;
-       among those, a name whose earlier similar candidates are all decided is
-       decided itself, round by round, each round one join of small pair rows;
+       in lots of growing size, those similar to a canonical of an earlier lot
+       are none; of the others a name whose earlier similar candidates are all
+       decided is decided itself, round by round, each a join of small pair rows;
     4. every unanswered name takes the best of the existing canonicals and the
        new canonicals before it, else itself.
     """
@@ -182,21 +205,39 @@ def resolve(mention_rows: DataFrame, lexicon: DataFrame, threshold: float = THRE
 
 
 def _new_canonicals(open_names: DataFrame, existing: DataFrame, threshold: float) -> DataFrame:
-    """(type, word, canonical_name, similarity): new canonicals that precede and match each name."""
-    possible = open_names.join(existing.select("type", "word"), ["type", "word"], "left_anti")
-    possible = cut_lineage(possible.select("type", "word", "seq", "name"))
-    pairs = similar_pairs(open_names.select("type", "word"), possible.select("type", "word"), threshold)
-    left = open_names.select("type", F.col("word").alias("left_word"), F.col("seq").alias("left_seq"))
-    right = possible.select("type", F.col("word").alias("right_word"), F.col("seq").alias("right_seq"), "name")
-    earlier = pairs.join(left, ["type", "left_word"]).join(right, ["type", "right_word"])
-    earlier = earlier.filter("right_seq < left_seq").select(
-        "type", F.col("left_word").alias("word"), F.col("right_word").alias("other"), "name", "similarity"
-    )
-    earlier = cut_lineage(earlier)
-
-    # Only pairs inside the possible canonicals decide who becomes one.
-    waiting = earlier.select("type", "word", "other").join(possible.select("type", "word"), ["type", "word"], "left_semi")
-    waiting = cut_lineage(waiting)
+    """(type, word, canonical_name, similarity): new canonicals that precede a name and may be its best match."""
+    possible = _without(open_names.select("type", "word", "seq", "name"), existing)
+    possible = cut_lineage(number_within(possible, [], ["seq"], "nth"))
+    total, end, lot = possible.count(), 0, _FIRST_LOT
+    chosen = possible.limit(0).select("type", "word", "seq", "name")
+    # Names in order, lot by lot: those similar to a canonical of an earlier lot aren't compared with each other.
+    while end < total:
+        some = possible.filter((F.col("nth") > end) & (F.col("nth") <= end + lot)).select("type", "word", "seq", "name")
+        for least in _steps(threshold) if end else ():
+            some = cut_lineage(_without(some, similar_pairs(some.select("type", "word"), chosen.select("type", "word"), least).select("type", F.col("left_word").alias("word"))))
+        chosen = cut_lineage(chosen.unionByName(_first_of_all(some, threshold)))
+        end, lot = end + lot, 2 * lot
+
+    leaders = chosen.select("type", F.col("word").alias("right_word"), F.col("seq").alias("right_seq"), F.col("name").alias("canonical_name"))
+    left, found = cut_lineage(_without(open_names.select("type", "word", "seq"), chosen)), None
+    for least in _steps(threshold):
+        pairs = similar_pairs(left.select("type", "word"), chosen.select("type", "word"), least)
+        named = pairs.withColumnRenamed("left_word", "word").join(left, ["type", "word"]).join(leaders, ["type", "right_word"])
+        options = cut_lineage(named.filter("right_seq < seq").select("type", "word", "canonical_name", "similarity"))
+        found = options if found is None else found.unionByName(options)
+        if least > threshold:
+            left = cut_lineage(_without(_without(left, options), existing.filter(F.col("similarity") >= least)))
+    return found
+
+
+def _first_of_all(possible: DataFrame, threshold: float) -> DataFrame:
+    """Those of ``possible`` (type, word, seq, name) that become canonicals: no canonical before them is similar."""
+    possible = cut_lineage(possible)
+    pairs = similar_pairs(possible.select("type", "word"), possible.select("type", "word"), threshold)
+    left = possible.select("type", F.col("word").alias("left_word"), F.col("seq").alias("left_seq"))
+    right = possible.select("type", F.col("word").alias("right_word"), F.col("seq").alias("right_seq"))
+    earlier = pairs.filter("left_word <> right_word").join(left, ["type", "left_word"]).join(right, ["type", "right_word"])
+    waiting = cut_lineage(earlier.filter("right_seq < left_seq").select("type", F.col("left_word").alias("word"), F.col("right_word").alias("other")))
     decided = cut_lineage(
         possible.select("type", "word").join(waiting.select("type", "word"), ["type", "word"], "left_anti")
         .withColumn("is_canonical", F.lit(True))
@@ -214,19 +255,6 @@ def _new_canonicals(open_names: DataFrame, existing: DataFrame, threshold: float
         )
         verdicts = cut_lineage(verdicts.unionByName(ready))
         waiting = cut_lineage(waiting.join(verdicts.select("type", "word"), ["type", "word"], "left_anti"))
-    chosen = verdicts.filter("is_canonical").select("type", F.col("word").alias("other"))
-    matched = earlier.join(chosen, ["type", "other"], "left_semi")
-    return matched.select("type", "word", F.col("name").alias("canonical_name"), "similarity")
-
-
-def lexicon_additions(lexicon: DataFrame, additions: DataFrame, now: Column) -> DataFrame:
-    """Rows the lexicon gains: insert-or-ignore by exact raw name; the first of several additions wins."""
-    fresh = additions.join(lexicon.select("raw_name"), "raw_name", "left_anti")
-    return fresh.groupBy("raw_name").agg(
-        F.min(F.struct("canonical_name", "entity_type")).alias("v")
-    ).select("raw_name", "v.canonical_name", "v.entity_type", now.cast("timestamp_ntz").alias("created_at"))
+    return possible.join(verdicts.filter("is_canonical").select("type", "word"), ["type", "word"], "left_semi")
 
 
-def add_to_lexicon(lexicon: DataFrame, additions: DataFrame, now: Column) -> DataFrame:
-    """The lexicon with its additions."""
-    return lexicon.unionByName(lexicon_additions(lexicon, additions, now))

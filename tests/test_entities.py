@@ -90,6 +90,40 @@ def test_resolution_equals_one_by_one(spark, seed):
     _same_as_sequential(spark, mentions, lexicon)
 
 
+def test_resolution_in_lots_equals_one_by_one(spark, monkeypatch):
+    """Names are decided lot by lot, and the first lots spare later ones most of their pairs."""
+    monkeypatch.setattr(entities, "_FIRST_LOT", 15)
+    met, pairs = [], entities.similar_pairs
+
+    def counted(left, right, least):
+        found = pairs(left, right, least)
+        met.append(found.count())
+        return found
+
+    monkeypatch.setattr(entities, "similar_pairs", counted)
+    rng = random.Random(8)
+    mentions = [(f"a{i // 4}", name, rng.choice(["PERSON", "ORG"])) for i, name in enumerate(_names(8, 150, "ab"))]
+    lexicon = [(n, n.title(), rng.choice(["PERSON", "ORG"])) for n in dict.fromkeys(n.strip() for n in _names(58, 12, "ab"))]
+    _same_as_sequential(spark, mentions, lexicon)
+    words = {n.strip().lower(): k for _, n, k in reversed(mentions)}
+    every = sum(words[a] == words[b] and brute.jaro_winkler(a, b) >= 0.88 for a in words for b in words)
+    assert sum(met) < every, (sum(met), every)
+
+
+def test_best_of_the_lexicon_equals_all_pairs(spark):
+    """Equal, close and less close names, and a type that the lexicon lacks."""
+    names = sorted({n.strip().lower() for n in _names(6, 120, "abcdefg")})
+    known = sorted({n.strip().lower() for n in _names(6, 60, "abcdefg")})
+    frame = spark.createDataFrame([(t, w) for w in names for t in ("ORG", "LOC")], "type string, word string")
+    got = {r.word: (r.type, r.canonical_name, r.similarity) for r in entities.fuzzy_lookup(frame, _lexicon(spark, [(n, n.upper(), "ORG") for n in known])).collect()}
+    want = {}
+    for a in names:
+        best = min((-brute.jaro_winkler(a, b), b.upper()) for b in known)
+        if -best[0] >= 0.88:
+            want[a] = ("ORG", best[1], -best[0])
+    assert got == want and {s == 1 for _, _, s in want.values()} == {True, False}
+
+
 def test_resolution_cases(spark):
     lexicon = [("Eskom Holdings", "Eskom", "ORG"), ("La CEDEAO", "ECOWAS", "ORG"), ("Sénégal", "Senegal", "LOC")]
     mentions = [
