@@ -14,8 +14,9 @@ leaves open, matches at least ``SIMILARITY`` of the words of the longer one.
     runs that stand in fewer of them than half their bucket holds: families part, and go through 3 again, level by level,
     until none is apart or ``LEVELS`` are done.
 5.  Members of one bucket, of any level, that are still in different components are all compared with each other: block by block
-    by a bound on the words two texts have in common, then by alignment where that bound allows a link. So no link between
-    texts that share a bucket is lost. The bounds alone grow with the square of what a bucket holds of different components.
+    by the words two texts have in common, in any order, then by alignment where those allow a link. A pair that shares several buckets
+    meets in one of them. A task hands on only links between what it hasn't connected yet, fewer than it got rows, and no pairs. So
+    no link between texts that share a bucket is lost. The comparisons, inside tasks, grow with the square of what a bucket holds of different components.
 6.  Linked documents form classes (connected components, with pointer jumping).
 
 Defined cases: words are those of ``arrow_text.words_of``; texts of fewer words than a run are one
@@ -47,8 +48,7 @@ LEVELS = 2
 _ENOUGH = 64  # runs of a text that new keys are drawn from, at least
 _STEP = 1.26  # length bands; texts similar enough differ by a factor of 1 / SIMILARITY at most
 _FOREST = 1 << 17  # edges that a task merges on its own
-_BLOCK = 512  # members of a bucket that meet as many others at a time
-_BINS = 64, 2048  # counts of a text's words that bound what it has in common with others: about one a word, within these limits
+_BLOCK, _BLOCK_BYTES = 512, 1 << 21  # members of a bucket, and bytes of their words, that meet as many others at a time
 
 
 def shingles(rows: np.ndarray, words: np.ndarray, count: int, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -335,67 +335,99 @@ def _keyed_anew(left: DataFrame, sequences: DataFrame, size: int, salt: int) ->
 
 
 def _blocks(rest: DataFrame) -> DataFrame:
-    """deal, side, node and root: who of ``rest`` (bucket, node, root) meets whom. In a deal all of side 0 meet all of
+    """deal, side, bucket, node and root: who of ``rest`` (bucket, node, root, bytes) meets whom. In a deal all of side 0 meet all of
     side 1, those of side 2 each other. A component that fills blocks of its own isn't compared with itself."""
-    held = rest.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-    mixed = held.groupBy("bucket").agg(F.sum(F.when(F.col("n") < _BLOCK, F.col("n"))).alias("mixed"))
-    own = F.xxhash64("root", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / _BLOCK)))
-    shared = F.xxhash64(F.pmod(F.xxhash64("root"), F.ceil(F.col("mixed") / _BLOCK)))
+    fills = F.greatest(F.count("*") / F.lit(_BLOCK), F.sum("bytes") / F.lit(_BLOCK_BYTES)).alias("fills")
+    held = rest.groupBy("bucket", "root").agg(fills)
+    mixed = held.groupBy("bucket").agg(F.sum(F.when(F.col("fills") < 1, F.col("fills"))).alias("mixed"))
+    own = F.xxhash64("root", F.pmod(F.xxhash64("node"), F.ceil("fills")))
+    shared = F.xxhash64(F.pmod(F.xxhash64("root"), F.ceil("mixed")))
     placed = _join(_join(rest, held, ["bucket", "root"]), mixed, "bucket")
-    placed = cut_lineage(placed.select("bucket", "node", "root", F.when(F.col("n") < _BLOCK, shared).otherwise(own).alias("block")))
+    placed = cut_lineage(placed.select("bucket", "node", "root", F.when(F.col("fills") < 1, shared).otherwise(own).alias("block")))
     some = placed.groupBy("bucket", "block").agg(F.min("root").alias("low"), F.max("root").alias("high"))
     first, second = (some.select("bucket", F.struct("block", "low", "high").alias(name)) for name in ("x", "y"))
     met = _join(first, second, "bucket").filter("x.block <= y.block AND least(x.low, y.low) < greatest(x.high, y.high)")
     seat = lambda name, side: F.struct(F.col(f"{name}.block").alias("block"), F.lit(side).alias("side"))
     seats = F.when(F.col("x.block") == F.col("y.block"), F.array(seat("x", 2))).otherwise(F.array(seat("x", 0), seat("y", 1)))
     deals = met.select("bucket", F.xxhash64("bucket", "x.block", "y.block").alias("deal"), F.explode(seats).alias("seat")).select("bucket", "deal", "seat.*")
-    return _join(placed, deals, ["bucket", "block"]).select("deal", "side", "node", "root")
+    return _join(placed, deals, ["bucket", "block"]).select("deal", "side", "bucket", "node", "root")
 
 
-def _bags(sequences: DataFrame) -> DataFrame:
-    """node, size and counts of the hashed words of its text; a bin of the smaller one of two bags is a sum of bins of the other."""
+class _Common:
+    """How many values lists have in common; each list holds a value once."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [np.frombuffer(x, np.uint32) for x in batch.column("said").to_pylist()]
-            bins = [min(max(1 << len(x).bit_length() >> 1, _BINS[0]), _BINS[1]) for x in texts]
-            bags = [np.bincount(x & np.uint32(b - 1), minlength=b).astype(np.uint32).tobytes() for x, b in zip(texts, bins, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([len(x) for x in texts], pa.int64()), pa.array(bags, pa.binary())], names=["node", "size", "bag"])
+    def __init__(self, rows: np.ndarray, values: np.ndarray, count: int):
+        found, at, held = np.unique(values, return_inverse=True, return_counts=True)
+        several = held[at] > 1
+        self._ids, self._bounds = at[several], per_row(rows[several], count)
+        self._mark = np.zeros(len(found), bool)
 
-    return sequences.mapInArrow(run, "node long, size long, bag binary")
+    def of(self, row: int, begin: int) -> np.ndarray:
+        """With list ``row``, for each list from ``begin`` on."""
+        own = self._ids[self._bounds[row] : self._bounds[row + 1]]
+        self._mark[own] = True
+        sums = np.concatenate([[0], np.cumsum(self._mark[self._ids[self._bounds[begin] :]])])
+        self._mark[own] = False
+        bounds = self._bounds[begin:] - self._bounds[begin]
+        return sums[bounds[1:]] - sums[bounds[:-1]]
 
 
 def _meeting(rows: list[dict], least: float) -> pa.RecordBatch:
-    """The pairs of a deal, of different components, that may be similar by the counts of their words."""
+    """Links (a, b) that connect whatever the similar pairs of a deal connect: fewer than it has components. Pairs that meet
+    in an earlier bucket too are left to that one."""
     rows = sorted(rows, key=lambda r: r["side"])
-    bags = [np.frombuffer(r["bag"], np.uint32) for r in rows]
-    bins = min(map(len, bags))
-    bags = np.stack([x.reshape(-1, bins).sum(0) for x in bags]).astype(np.uint32)
-    nodes, roots, sizes, sides = (np.array([r[c] for r in rows], np.int64) for c in ("node", "root", "size", "side"))
+    texts = [np.frombuffer(r["said"], np.uint32) for r in rows]
+    nodes, roots, sides = (np.array([r[c] for r in rows], np.int64) for c in ("node", "root", "side"))
+    sizes = np.array([len(x) for x in texts])
+    at = np.repeat(np.arange(len(rows)), sizes)
+    words = _Common(at, _labelled(at, np.concatenate(texts).astype(np.uint64)), len(rows))
+    earlier = [np.array(r["earlier"], np.int64) for r in rows]
+    met = _Common(np.repeat(np.arange(len(rows)), [len(x) for x in earlier]), np.concatenate(earlier), len(rows))
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for i in np.flatnonzero(sides != 1):
         begin = i + 1 if sides[i] == 2 else int(np.searchsorted(sides, 1))
-        at = np.flatnonzero((roots[begin:] != roots[i]) & (np.minimum(sizes[begin:], sizes[i]) >= least * np.maximum(sizes[begin:], sizes[i]) - 1e-9)) + begin
-        if len(at):
-            bound = np.minimum(bags[at], bags[i]).sum(1) / np.maximum(sizes[at], sizes[i])
-            close = bound >= least - 1e-9
-            found.append((np.full(int(close.sum()), i), at[close], bound[close]))
+        longer = np.maximum(sizes[begin:], sizes[i])
+        open_ = (roots[begin:] != roots[i]) & (np.minimum(sizes[begin:], sizes[i]) >= least * longer - 1e-9)
+        if open_.any():
+            open_ &= met.of(i, begin) == 0
+        if open_.any():
+            bound = words.of(i, begin) / longer
+            close = np.flatnonzero(open_ & (bound >= least - 1e-9))
+            found.append((np.full(len(close), i), close + begin, bound[close]))
     i, j, bound = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-    swapped = nodes[i] > nodes[j]
-    i, j = np.where(swapped, j, i), np.where(swapped, i, j)
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in (nodes[i], nodes[j], roots[i], roots[j], bound)], names=["a", "b", "x", "y", "bound"])
+    # The likeliest pairs first: what they link settles others.
+    order = np.argsort(-bound, kind="stable")
+    up = np.unique(roots, return_inverse=True)[1].tolist()
+    mine, above = list(up), list(range(max(up) + 1))
+
+    def top(x: int) -> int:
+        while above[x] != x:
+            above[x] = x = above[above[x]]
+        return x
+
+    links: list[tuple[int, int]] = []
+    for k, m in zip(i[order].tolist(), j[order].tolist(), strict=True):
+        x, y = top(mine[k]), top(mine[m])
+        if x != y and similarity(texts[k], texts[m], least):
+            above[max(x, y)] = min(x, y)
+            links.append((nodes[k], nodes[m]))
+    a, b = np.array(links, np.int64).reshape(-1, 2).T
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
-def _close(seated: DataFrame, bags: DataFrame, least: float) -> DataFrame:
-    """a, b, their components x and y, and a bound of their similarity: the distinct pairs of all deals that may be similar."""
+def _links(rest: DataFrame, sequences: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) that connect what the similar pairs of each bucket in ``rest`` (bucket, node, root) connect: fewer than it has rows in deals."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (row for batch in batches for row in batch.to_pylist())
+        rows = (row for batch in batches for k in range(0, batch.num_rows, 64) for row in batch.slice(k, 64).to_pylist())
         for _, deal in itertools.groupby(rows, key=lambda r: r["deal"]):
             yield _meeting(list(deal), least)
 
-    dealt = spread(_join(seated, bags, "node"), "deal").sortWithinPartitions("deal")
-    return dealt.mapInArrow(run, "a long, b long, x long, y long, bound double").dropDuplicates(["a", "b"])
+    sized = _join(rest, sequences.select("node", F.length("said").alias("bytes")), "node")
+    buckets = rest.groupBy("node").agg(F.collect_set("bucket").alias("buckets"))
+    seated = _join(_join(_blocks(sized), buckets, "node"), sequences, "node")
+    seated = seated.select("deal", "side", "node", "root", "said", F.filter("buckets", lambda x: x < F.col("bucket")).alias("earlier"))
+    return spread(seated, "deal").sortWithinPartitions("deal").mapInArrow(run, "a long, b long")
 
 
 def _settled(placed: DataFrame, roots: DataFrame | None, sequences: DataFrame, least: float) -> DataFrame | None:
@@ -403,16 +435,9 @@ def _settled(placed: DataFrame, roots: DataFrame | None, sequences: DataFrame, l
     rest = _apart(placed, None, roots)
     if rest.isEmpty():
         return roots
-    bags = _bags(_join(sequences, rest.select("node").distinct(), "node", "left_semi"))
-    close = cut_lineage(_close(_blocks(rest), bags, least))
-    _release(close)
-    # The likeliest pair of two components may link them, which settles their others.
-    likeliest = close.groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.max_by(F.struct("a", "b"), F.struct("bound", "a", "b")).alias("pair"))
-    first = cut_lineage(likeliest.select("pair.*"))
-    roots = _with_links(roots, first, sequences, least)
-    others = _join(close.select("a", "b"), first, ["a", "b"], "left_anti")
-    between = _rooted(_rooted(others, roots, "a", "x"), roots, "b", "y").filter("x <> y")
-    return _with_links(roots, between.select("a", "b"), sequences, least)
+    links = cut_lineage(_links(rest, sequences, least))
+    _release(links)
+    return roots if links.isEmpty() else _linked(roots, links)
 
 
 def linked(members: DataFrame, docs: DataFrame, size: int = WORDS, least: float = SIMILARITY) -> DataFrame | None:

@@ -156,6 +156,34 @@ def test_members_that_meet_in_blocks_are_compared_like_all_pairs(spark, monkeypa
     assert all((of[i] == of[j]) == (classes[i] == classes[j]) for i in range(len(texts)) for j in range(i))
 
 
+def test_settling_a_bucket_hands_on_fewer_rows_than_it_has_pairs(spark, monkeypatch):
+    """Forty near copies of one text and forty texts of the same words in any order share a bucket: no step writes their pairs."""
+    rng, made = random.Random(12), []
+    base, words = [f"b{k}" for k in range(60)], [f"w{k}" for k in range(60)]
+    texts = [" ".join([*base[:k], f"edit{k}", *base[k + 1 :]]) for k in range(40)]
+    texts += [" ".join(rng.sample(words, len(words))) for _ in range(40)]
+    members, docs, nodes = _one_bucket(spark, texts)
+    plain = near_copies.cut_lineage
+
+    def counted(rows):
+        made.append(plain(rows))
+        return made[-1]
+
+    sequences = near_copies._sequences(docs.selectExpr("xxhash64(digest) AS node", "text"))
+    # All share two buckets; the pairs meet in the first of them only.
+    placed = members.selectExpr("explode(array(1L, 2L)) AS bucket", "node")
+    monkeypatch.setattr(near_copies, "cut_lineage", counted)
+    monkeypatch.setattr(near_copies, "_BLOCK", 16)
+    roots = {r["node"]: r["root"] for r in near_copies._settled(placed, None, sequences, near_copies.SIMILARITY).collect()}
+    monkeypatch.setattr(near_copies, "cut_lineage", plain)
+    copies = {nodes[k] for k in range(40)}
+    assert {roots[n] for n in copies} == {min(copies)} and all(roots.get(nodes[k], nodes[k]) == nodes[k] for k in range(40, 80))
+    assert max(rows.count() for rows in made) <= 2 * 80 * 6
+    deals = near_copies._blocks(placed.selectExpr("bucket", "node", "node AS root", "240L AS bytes"))
+    links = near_copies._links(placed.selectExpr("bucket", "node", "node AS root"), sequences, near_copies.SIMILARITY)
+    assert 39 <= links.count() < deals.count() and links.count() < 40 * 12
+
+
 def test_components_take_few_jobs(spark, monkeypatch):
     """A path in any order, a large star and two triangles: merged in one task, and by several tasks with joins after them."""
     rng = random.Random(4)
