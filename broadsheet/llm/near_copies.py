@@ -15,8 +15,11 @@ leaves open, matches at least ``SIMILARITY`` of the words of the longer one.
     until none is apart or ``LEVELS`` are done.
 5.  Members of one bucket, of any level, that are still in different components are all compared with each other: block by block
     by the words two texts have in common, in any order, then by alignment where those allow a link. A pair that shares several buckets
-    meets in one of them. A task hands on only links between what it hasn't connected yet, fewer than it got rows, and no pairs. So
-    no link between texts that share a bucket is lost. The comparisons, inside tasks, grow with the square of what a bucket holds of different components.
+    meets in one of them; of buckets with the same members one is enough. A task hands on only links between what it hasn't connected yet,
+    fewer than it got rows, and no pairs. A member goes to as many deals as its bucket has blocks. Where its words that are rarest in crowded
+    buckets, of which similar texts share one, are fewer than that, the bucket is parted by those words instead, so that rows stay within the
+    words of the texts, unless many blocks share one of their rarest words, too. So no link between texts that share a bucket is lost.
+    The comparisons, inside tasks, grow with the square of what a bucket, or a part, holds of different components.
 6.  Linked documents form classes (connected components, with pointer jumping).
 
 Defined cases: words are those of ``arrow_text.words_of``; texts of fewer words than a run are one
@@ -49,6 +52,7 @@ _ENOUGH = 64  # runs of a text that new keys are drawn from, at least
 _STEP = 1.26  # length bands; texts similar enough differ by a factor of 1 / SIMILARITY at most
 _FOREST = 1 << 17  # edges that a task merges on its own
 _BLOCK, _BLOCK_BYTES = 512, 1 << 21  # members of a bucket, and bytes of their words, that meet as many others at a time
+_SLOTS = 16  # bits of a word's hash under which it is counted
 
 
 def shingles(rows: np.ndarray, words: np.ndarray, count: int, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -253,13 +257,19 @@ def _rooted(rows: DataFrame, roots: DataFrame | None, name: str = "node", to: st
     return _join(rows, roots.select(F.col("node").alias(name), F.col("root").alias(to)), name, "left").withColumn(to, F.coalesce(to, name))
 
 
+def _several(rest: DataFrame) -> DataFrame:
+    """Rows (bucket, node, root and others) of buckets that hold several components; of buckets with the same members those of one."""
+    members = F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("one"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("other")
+    several = rest.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), *members).filter("low < high")
+    return _join(rest, several.groupBy("n", "one", "other").agg(F.min("bucket").alias("bucket")).select("bucket"), "bucket")
+
+
 def _apart(left: DataFrame, tried: DataFrame | None, roots: DataFrame | None) -> DataFrame:
     """bucket, node and root of members in no component of a head their bucket was compared with, where these are several."""
     rest = _rooted(left, roots)
     if tried is not None:
         rest = _join(rest, _rooted(tried, roots, "head").select("bucket", "root").distinct(), ["bucket", "root"], "left_anti")
-    several = rest.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("bucket")
-    return cut_lineage(_join(rest, several, "bucket").select("bucket", "node", "root"))
+    return cut_lineage(_several(rest).select("bucket", "node", "root"))
 
 
 def _linked(roots: DataFrame | None, pairs: DataFrame) -> DataFrame:
@@ -334,11 +344,77 @@ def _keyed_anew(left: DataFrame, sequences: DataFrame, size: int, salt: int) ->
     return listed.mapInArrow(keyed, "node long, size long, keys array<long>")
 
 
+def _filled(rest: DataFrame) -> DataFrame:
+    """How many members, bytes and blocks of them (a fraction below one) each component has in each bucket of ``rest``."""
+    fills = F.greatest(F.count("*") / F.lit(_BLOCK), F.sum("bytes") / F.lit(_BLOCK_BYTES)).alias("fills")
+    return rest.groupBy("bucket", "root").agg(fills, F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+
+
+def _crowded(rest: DataFrame, least: float) -> DataFrame:
+    """Buckets whose members would go to more deals than similar texts have words of which they share one."""
+    own = F.when(F.col("fills") < 1, 0).otherwise(F.ceil("fills"))
+    mixed = F.ceil(F.sum(F.when(F.col("fills") < 1, F.col("fills")).otherwise(0.0)))
+    sums = _filled(rest).withColumn("own", own).groupBy("bucket").agg(
+        F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.sum(F.col("n") * F.col("own")).alias("spared"), (F.sum("own") + mixed).alias("blocks")
+    )
+    return sums.filter(F.col("n") * F.col("blocks") - F.col("spared") > F.col("n") * 2 + F.col("bytes") / 4 * (1 - least)).select("bucket")
+
+
+def _marked(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Words of the texts in ``said``, told apart by their occurrence number, and their rows: block by block."""
+    offsets, data = columns(batch, "said")
+    for first, last in row_blocks(offsets):
+        words = np.frombuffer(data[offsets[first] : offsets[last]].tobytes(), np.uint32).astype(np.uint64)
+        rows = np.repeat(np.arange(last - first), np.diff(offsets[first : last + 1]) // 4)
+        yield first, last, rows, _labelled(rows, words) if len(rows) else words
+
+
+def _rarest(sequences: DataFrame, least: float) -> DataFrame:
+    """node and those words of each of ``sequences`` that come first in one order of all words, the rare ones before: so many that
+    similar texts, which share ``least`` of the longer one's words, share one of these."""
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << _SLOTS, np.int64)
+        for batch in batches:
+            for _, _, _, words in _marked(batch):
+                counts += np.bincount((words >> np.uint64(64 - _SLOTS)).astype(np.int64), minlength=len(counts))
+        slots = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(counts[slots])], names=["slot", "n"])
+
+    # No more rows than there are slots. Any order is right; a good one makes small parts.
+    found = sequences.select("said").mapInArrow(seen, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    held = np.zeros(1 << _SLOTS, np.int64)
+    held[found.column("slot").to_numpy()] = found.column("n").to_numpy()
+    shared = sequences.sparkSession.sparkContext.broadcast(held)
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes = batch.column("node").to_numpy()
+            for first, last, rows, words in _marked(batch):
+                order = np.lexsort((words, shared.value[(words >> np.uint64(64 - _SLOTS)).astype(np.int64)], rows))
+                bounds = per_row(rows, last - first)
+                sizes = np.diff(bounds)
+                kept = np.arange(len(rows)) - bounds[rows] <= (sizes - np.ceil(least * sizes - 1e-9))[rows]
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[first:last][rows[kept]]), pa.array(words[order[kept]].view(np.int64))], names=["node", "word"])
+
+    return sequences.select("node", "said").mapInArrow(rarest, "node long, word long")
+
+
+def _parted(rest: DataFrame, sequences: DataFrame, least: float) -> DataFrame:
+    """``rest`` (bucket, node, root, bytes) with crowded buckets parted by the rarest words of their members: parts are buckets, too."""
+    crowded = cut_lineage(_crowded(rest, least))
+    if crowded.isEmpty():
+        return rest
+    dealt = cut_lineage(_join(rest, crowded, "bucket", "left_semi"))
+    words = _rarest(_join(sequences, dealt.select("node").distinct(), "node", "left_semi"), least)
+    parts = _join(dealt, words, "node").select(F.xxhash64("bucket", "word").alias("bucket"), "node", "root", "bytes")
+    return cut_lineage(_several(_join(rest, crowded, "bucket", "left_anti").unionByName(parts)))
+
+
 def _blocks(rest: DataFrame) -> DataFrame:
     """deal, side, bucket, node and root: who of ``rest`` (bucket, node, root, bytes) meets whom. In a deal all of side 0 meet all of
     side 1, those of side 2 each other. A component that fills blocks of its own isn't compared with itself."""
-    fills = F.greatest(F.count("*") / F.lit(_BLOCK), F.sum("bytes") / F.lit(_BLOCK_BYTES)).alias("fills")
-    held = rest.groupBy("bucket", "root").agg(fills)
+    held = _filled(rest).select("bucket", "root", "fills")
     mixed = held.groupBy("bucket").agg(F.sum(F.when(F.col("fills") < 1, F.col("fills"))).alias("mixed"))
     own = F.xxhash64("root", F.pmod(F.xxhash64("node"), F.ceil("fills")))
     shared = F.xxhash64(F.pmod(F.xxhash64("root"), F.ceil("mixed")))
@@ -415,27 +491,33 @@ def _meeting(rows: list[dict], least: float) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
+def _sized(sequences: DataFrame) -> DataFrame:
+    return sequences.select("node", F.length("said").alias("bytes"))
+
+
 def _links(rest: DataFrame, sequences: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) that connect what the similar pairs of each bucket in ``rest`` (bucket, node, root) connect: fewer than it has rows in deals."""
+    """Pairs (a, b) that connect what the similar pairs of each bucket in ``rest`` (bucket, node, root, bytes if known) connect: fewer than it
+    has rows in deals."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (row for batch in batches for k in range(0, batch.num_rows, 64) for row in batch.slice(k, 64).to_pylist())
         for _, deal in itertools.groupby(rows, key=lambda r: r["deal"]):
             yield _meeting(list(deal), least)
 
-    sized = _join(rest, sequences.select("node", F.length("said").alias("bytes")), "node")
+    if "bytes" not in rest.columns:
+        rest = cut_lineage(_join(rest, _sized(sequences), "node"))
     buckets = rest.groupBy("node").agg(F.collect_set("bucket").alias("buckets"))
-    seated = _join(_join(_blocks(sized), buckets, "node"), sequences, "node")
+    seated = _join(_blocks(rest), _join(sequences, buckets, "node"), "node")
     seated = seated.select("deal", "side", "node", "root", "said", F.filter("buckets", lambda x: x < F.col("bucket")).alias("earlier"))
     return spread(seated, "deal").sortWithinPartitions("deal").mapInArrow(run, "a long, b long")
 
 
 def _settled(placed: DataFrame, roots: DataFrame | None, sequences: DataFrame, least: float) -> DataFrame | None:
     """Components after comparing all members of the buckets ``placed`` (bucket, node) that are in different ones."""
-    rest = _apart(placed, None, roots)
+    rest = cut_lineage(_several(_join(placed, _rooted(_sized(sequences), roots), "node", "left")))
     if rest.isEmpty():
         return roots
-    links = cut_lineage(_links(rest, sequences, least))
+    links = cut_lineage(_links(_parted(rest, sequences, least), sequences, least))
     _release(links)
     return roots if links.isEmpty() else _linked(roots, links)
 

@@ -184,6 +184,35 @@ def test_settling_a_bucket_hands_on_fewer_rows_than_it_has_pairs(spark, monkeypa
     assert 39 <= links.count() < deals.count() and links.count() < 40 * 12
 
 
+def test_buckets_with_the_same_members_are_settled_once(spark):
+    members, docs, nodes = _one_bucket(spark, [f"{k} " + " ".join(_words(30, k)) for k in range(6)])
+    placed = members.selectExpr("explode(array(1L, 2L, 3L)) AS bucket", "node").union(members.filter("first < 3").selectExpr("4L", "node"))
+    got = near_copies._apart(placed, None, None).collect()
+    assert {(r["bucket"], r["node"]) for r in got} == {(1, n) for n in nodes.values()} | {(4, nodes[k]) for k in range(3)} and len(got) == 9
+
+
+def test_rows_that_a_crowded_bucket_deals_grow_with_its_members(spark, monkeypatch):
+    """Ever more texts share a passage and differ otherwise; each has one copy with every eighth word changed."""
+    monkeypatch.setattr(near_copies, "_BLOCK", 4)
+    dealt, plain = [], near_copies._blocks
+
+    def counted(rest):
+        dealt.append(plain(rest).count())
+        return plain(rest)
+
+    monkeypatch.setattr(near_copies, "_blocks", counted)
+    for many in (100, 400):
+        texts, passage = [], [f"common{k}" for k in range(12)]
+        for family in range(many):
+            own = [f"f{family}x{k}" for k in range(20)]
+            texts += [" ".join([*passage, *own]), " ".join([*passage, *(f"n{w}" if k % 8 == 3 else w for k, w in enumerate(own))])]
+        members, docs, nodes = _one_bucket(spark, texts)
+        sequences = near_copies._sequences(docs.selectExpr("xxhash64(digest) AS node", "text"))
+        roots = {r["node"]: r["root"] for r in near_copies._settled(members.selectExpr("1L AS bucket", "node"), None, sequences, near_copies.SIMILARITY).collect()}
+        assert all(roots[nodes[k]] == roots[nodes[k + 1]] == min(nodes[k], nodes[k + 1]) for k in range(0, 2 * many, 2))
+    assert dealt[1] <= 5 * dealt[0] and dealt[1] <= 800 * 8, dealt
+
+
 def test_components_take_few_jobs(spark, monkeypatch):
     """A path in any order, a large star and two triangles: merged in one task, and by several tasks with joins after them."""
     rng = random.Random(4)
