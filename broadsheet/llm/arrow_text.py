@@ -29,9 +29,7 @@ def held(operator: str, key: str, make: Callable[[], object]) -> object:
 
 
 def let_go() -> None:
-    """Gives back the memory of operators that this Python worker ran before."""
-    if not _held and not _powers:
-        return
+    """Gives back the memory of operators that this Python worker ran before, also what only its allocators still hold."""
     _held.clear()
     _powers.clear()
     gc.collect()

@@ -25,10 +25,11 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from broadsheet.llm.arrow_text import columns, per_row, row_blocks, scramble, words_of
+from broadsheet.llm.arrow_text import columns, let_go, per_row, row_blocks, scramble, words_of
 
 SEED = 3
 BLOCK_BYTES = 8 << 20
+_TEXT_BYTES = 1 << 18  # of documents that are read at a time
 MATCH, MISMATCH, GAP = 3, -2, -2
 THRESHOLD = 0.45
 
@@ -172,7 +173,7 @@ def _found(rows: np.ndarray, words: np.ndarray, count: int, items: Items, least:
 
 def _word_blocks(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     offsets, data = columns(batch, "text")
-    for first, last in row_blocks(offsets):
+    for first, last in row_blocks(offsets, _TEXT_BYTES):
         rows, starts, ends, rolling = words_of(offsets[first : last + 1], data)
         yield last - first, rows, rolling.of(starts, ends)
 
@@ -181,6 +182,7 @@ def _held(texts: DataFrame, shared) -> dict[int, int]:
     """How often each word of a block of items stands in ``texts`` (column text), of those that do: no more than the block has."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         known = np.unique(shared.value[0].words)
         counts = np.zeros(len(known), np.int64)
         for batch in batches:
@@ -198,6 +200,7 @@ def _held(texts: DataFrame, shared) -> dict[int, int]:
 def _searcher(shared, least: float):
     @F.pandas_udf("array<struct<item_id: string, score: double, first_word: long, last_word: long>>")
     def search(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        let_go()
         table, names = shared.value
         for batch in batches:
             rows = pa.RecordBatch.from_arrays([pa.array(batch.tolist(), pa.string())], names=["text"])

@@ -37,14 +37,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from broadsheet.llm.arrow_text import BLOCK_BYTES, Rolling, columns, row_blocks
+from broadsheet.llm.arrow_text import BLOCK_BYTES, Rolling, columns, let_go, row_blocks
 from broadsheet.session import cut_lineage
 
 LENGTH = 100
 GRAM = 28
 #: A difference cover of the numbers modulo 7: each difference occurs among 1, 2 and 4.
 PERIOD, COVER = 7, (1, 2, 4)
-BATCH = 8_000
+BATCH = 4_000
 HOT = 2_000
 _HELD = 400_000
 _LOW = 20  # bits of a position inside a block
@@ -111,6 +111,7 @@ def _tag(text: str):
 
 def _span_rows(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         held: list[np.ndarray] = []
         size = 0
 
@@ -297,6 +298,8 @@ def _bucket_repeats(length: int):
                 bucket = name
                 rows.append((doc, place, said))
         yield settled(rows)
+        rows.clear()
+        let_go()
 
     return run
 
@@ -382,11 +385,19 @@ def _cut(said: bytes, stretches: list[tuple[int, int]], length: int) -> tuple[by
     return b"".join(kept), removed, runs
 
 
-def removed(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """``docs`` with the columns ``kept`` (remaining bytes), ``n_bytes``, ``n_removed`` and ``n_spans``."""
+def _with_stretches(docs: DataFrame, key: str, text: str, length: int, gram: int) -> DataFrame:
+    """``docs`` with the repeated stretches of each text in the column ``_stretches``, null if it has none."""
     known = _known(docs, key, text)
     first = F.col("place").bitwiseAND(F.lit((1 << 48) - 1)).alias("first")
     stretches = repeats(known, key, text, length, gram).groupBy(key, "_tag").agg(F.collect_list(F.struct(first, "more")).alias("_stretches"))
+    # Both joins read the same shuffled documents.
+    found = known.hint("merge").join(stretches, [key, "_tag"], "left").drop("_tag")
+    nameless = docs.filter(F.col(key).isNull()).withColumn("_stretches", F.lit(None).cast(stretches.schema["_stretches"].dataType))
+    return found.unionByName(nameless)
+
+
+def removed(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """``docs`` with the columns ``kept`` (remaining bytes), ``n_bytes``, ``n_removed`` and ``n_spans``."""
 
     @F.pandas_udf("kept binary, n_bytes long, n_removed long, n_spans long")
     def cut(text: pd.Series, found: pd.Series) -> pd.DataFrame:
@@ -397,10 +408,8 @@ def removed(docs: DataFrame, key: str = "doc_id", text: str = "text", length: in
             rows.append((kept, len(said), gone, runs))
         return pd.DataFrame(rows, columns=["kept", "n_bytes", "n_removed", "n_spans"])
 
-    # Both joins read the same shuffled documents.
-    found = known.hint("merge").join(stretches, [key, "_tag"], "left").drop("_tag")
-    nameless = docs.filter(F.col(key).isNull()).withColumn("_stretches", F.lit(None).cast(stretches.schema["_stretches"].dataType))
-    return found.unionByName(nameless).withColumn("_cut", cut(F.col(text).cast("string"), "_stretches")).select(*docs.columns, "_cut.*")
+    rows = _with_stretches(docs, key, text, length, gram)
+    return rows.withColumn("_cut", cut(F.col(text).cast("string"), "_stretches")).select(*docs.columns, "_cut.*")
 
 
 def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
@@ -412,12 +421,17 @@ def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", length: in
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """``docs`` with repeated strings cut out of the text; halves of a character at a cut go too."""
+
+    # One step of Python: a second one behind it would take a worker more for each task.
     @F.pandas_udf("string")
-    def decoded(kept: pd.Series) -> pd.Series:
-        return kept.map(lambda b: bytes(b).decode("utf-8", "ignore"))
+    def remaining(text: pd.Series, found: pd.Series) -> pd.Series:
+        return pd.Series(
+            [None if some is None else _cut((value or "").encode("utf-8"), [(s["first"], s["more"]) for s in some], length)[0].decode("utf-8", "ignore") for value, some in zip(text, found, strict=True)],
+            dtype=object,
+        )
 
-    rows = removed(docs, key, text, length)
-    changed = F.when(F.col("n_removed") > 0, decoded("kept")).otherwise(F.col(text))
+    rows = _with_stretches(docs, key, text, length, GRAM)
+    changed = F.coalesce(remaining(F.col(text).cast("string"), "_stretches"), F.col(text))
     return rows.withColumn(text, changed).select(*docs.columns)
 
 

@@ -554,6 +554,26 @@ def test_removal_from_documents_with_columns_named_like_those_of_spans(spark):
 # --- pipeline
 
 
+def test_removal_takes_one_python_worker_for_each_task(spark):
+    phrase = " ".join(_words(40, 3))
+    texts = [(1, phrase + " é", "en", "a"), (2, "é" + phrase + "é", "en", "a"), (3, phrase, "en", "a"), (4, "", "en", "a"), (5, None, "en", "a"), (None, phrase, "en", "a")]
+    cut = suffixes.deduplicated(_docs(spark, texts))
+    # Rows with an id and those without, each in tasks of their own.
+    assert cut._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 2
+    assert {r.doc_id: r.text for r in cut.collect()} == {1: phrase + " é", 2: "éé", 3: "", 4: "", 5: None, None: phrase}
+
+
+def test_a_worker_gives_back_what_its_allocators_hold():
+    resident = lambda: int(open("/proc/self/statm").read().split()[1]) * 4096
+    arrow_text.let_go()
+    before = resident()
+    kept, made = [], [np.ones(1 << 13) for _ in range(4_000)]  # too small to be mapped on their own
+    kept.append(np.ones(1 << 13))  # and the last one stays, so that the heap can't shrink
+    del made
+    arrow_text.let_go()
+    assert resident() - before < 100 << 20
+
+
 def test_pipeline_keeps_clean_documents(spark, sf):
     import corpus_pipeline
 
